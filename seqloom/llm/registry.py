@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, topk, url_rules
+from . import chat, secrets, sharding, topk, url_rules
 from .sql import TWINS
 
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_rendezvous_sharding": sharding.op1_rendezvous_sharding,
         "op3_url_rules": url_rules.op3_url_rules,
         "op4_nra_topk": topk.op4_nra_topk,
+        "op5_secret_ownership": secrets.op5_secret_ownership,
+        "op7_chat_format": chat.op7_chat_format,
     }
 
 

@@ -66,3 +66,55 @@ SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.rv, CASE WHEN pat.pat
        CASE WHEN best.rule IS NULL THEN pat.pat END AS pattern
 FROM p LEFT JOIN best USING (page_id) LEFT JOIN pat USING (page_id)
 """
+
+
+def _span_sql() -> str:
+    from . import secrets
+
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    patterns = [(0, "assign", secrets.ASSIGN, 2), (1, "access", secrets.ACCESS, 0), (2, "hex", secrets.HEX, 0), (3, "mixed", secrets.MIXED, 0)]
+    return " UNION ALL ".join(
+        f"SELECT rid, {order} AS o, '{kind}' AS kind, string_split_regex(t, {quoted(p)}) AS ps, regexp_extract_all(t, {quoted(p)}, 0) AS ms, regexp_extract_all(t, {quoted(p)}, {g}) AS vs FROM d"
+        for order, kind, p, g in patterns
+    )
+
+
+TWINS["op5_secret_ownership"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+raw AS ({_span_sql()}),
+pos AS (
+  SELECT rid, o, kind, ms[i] AS m, vs[i] AS v,
+    coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM raw)
+), hit AS (
+  SELECT rid, o, kind, s::BIGINT AS s, (s + length(m))::BIGINT AS e, v FROM pos
+  WHERE CASE kind WHEN 'assign' THEN length(v) >= 6 WHEN 'mixed' THEN regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]') ELSE true END
+), own AS (
+  SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repositories FROM hit JOIN d USING (rid) GROUP BY v
+), kept AS (SELECT hit.*, owners, repositories FROM hit JOIN own USING (v) WHERE kind <> 'mixed' OR owners = 1),
+agg AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, o) FILTER (kind <> 'mixed') AS base, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, o) AS spans,
+    count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners = 2) AS n_shared, count(*) FILTER (owners >= 3) AS n_copied, max(repositories) AS most_repositories
+  FROM kept GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(n_copied, 0) AS n_copied, coalesce(most_repositories, 0) AS most_repositories
+FROM d LEFT JOIN agg USING (rid)
+"""
+
+TWINS["op7_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    length(replace(replace(replace(coalesce(text, ''), '\', '\\'), '###', '\h\h\h'), '</turn>', '\l/turn>')) AS xl,
+    length(replace(replace(replace(replace(coalesce(role, ''), '\', '\\'), '###', '\h\h\h'), '</turn>', '\l/turn>'), ':', '\c')) AS rl, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(r, chr(10), x, chr(10)), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY n) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(rl + xl + 14)::BIGINT AS formatted_chars, false AS rewrites
+FROM t GROUP BY conv_id
+"""
