@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, secrets, sharding, topk, url_rules
+from . import chat, secrets, sharding, simhash, topk, url_rules
 from .sql import TWINS
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_nra_topk": topk.op4_nra_topk,
         "op5_secret_ownership": secrets.op5_secret_ownership,
         "op7_chat_format": chat.op7_chat_format,
+        "op8_simhash_dedup": simhash.op8_simhash_dedup,
     }
 
 
