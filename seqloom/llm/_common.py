@@ -139,3 +139,45 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = out * _BASE + hashes[k : k + n]
     return mix(out)
+
+
+# Documents by id without shuffling the texts of all
+
+BLOOM_BITS = 1 << 26
+
+
+def _bloom_places(ids: np.ndarray) -> np.ndarray:
+    x = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return np.concatenate([x & np.uint64(BLOOM_BITS - 1), (x >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)]).astype(np.int64)
+
+
+def bloom_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size (8 MB) over the longs in the first column of ``ids``; it lets more pass as it fills."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_bloom_places(batch.column(0).to_numpy(zero_copy_only=False)))
+            words, where = np.unique(at >> 6, return_inverse=True)
+            bits = np.zeros(len(words), dtype=np.uint64)
+            np.bitwise_or.at(bits, where, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.int64()), "bits": pa.array(bits.view(np.int64), pa.int64())})
+
+    name = ids.columns[0]
+    rows = ids.filter(F.col(name).isNotNull()).mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(BLOOM_BITS >> 6, dtype=np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def maybe_in(df: DataFrame, key: str, bloom: np.ndarray) -> DataFrame:
+    """The rows of ``df`` whose long ``key`` is in the filter, and a few others; its size in memory is fixed."""
+    sent = df.sparkSession.sparkContext.broadcast(bloom)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(key).fill_null(0).to_numpy(zero_copy_only=False)
+            at = _bloom_places(ids)
+            hit = (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.filter(pa.array((hit[: len(ids)] & hit[len(ids) :]).astype(bool)))
+
+    return df.mapInArrow(keep, df.schema)
