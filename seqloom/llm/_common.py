@@ -15,6 +15,10 @@ _SPACE[list(SPACE_BYTES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: All ASCII but letters and digits.
+NOT_LETTERS = np.zeros(256, dtype=bool)
+NOT_LETTERS[:128] = [not chr(c).isalnum() for c in range(128)]
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -74,9 +78,10 @@ def text_buffer(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return (LOWER[raw] if lower else raw), at - at[0]
 
 
-def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all texts in ``raw``, and the number of the first word of each text (one more at the end)."""
-    word = ~_SPACE[raw]
+def words_of(raw: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts in ``raw``, and the number of the first word of each text (one more at the
+    end). ``between``: which bytes stand between words."""
+    word = ~between[raw]
     first = np.zeros(len(raw) + 1, dtype=bool)
     first[at] = True
     before = np.empty(len(raw), dtype=bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, secrets, sharding, simhash, substrings, topk, url_rules
+from . import chat, secrets, sharding, simhash, substrings, topk, toxicity, url_rules
 from .sql import TWINS
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_ownership": secrets.op5_secret_ownership,
         "op7_chat_format": chat.op7_chat_format,
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
+        "op9_fm_toxicity": toxicity.op9_fm_toxicity,
         "op10_lsm_substring_dedup": substrings.op10_lsm_substring_dedup,
     }
 
