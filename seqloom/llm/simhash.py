@@ -17,13 +17,13 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_slices, cut, mix, parallelism, table, text_buffer, text_or_empty, windows, word_hashes, words_of
+from ._common import batch_slices, bloom_of, cut, maybe_in, mix, parallelism, table, text_buffer, text_or_empty, windows, word_hashes, words_of
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -321,3 +321,84 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     known = rooted.join(ids, "root").select(F.col("node").alias("_print"), "component_id")
     return prints.join(known, "_print").select("doc_id", F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near-duplicates of the pipeline
+
+
+def near_print(shingles: np.ndarray, words: int = NEAR_WORDS) -> np.ndarray:
+    """64 bits per word over a set of shingle hashes: a bit is 1 if set in over half of them."""
+    n = len(shingles)
+    out = np.zeros(words, dtype=np.uint64)
+    for w in range(words):
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, n, 1 << 16):
+            raw = mix(shingles[at : at + (1 << 16)] + np.uint64(w)).astype(">u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+        out[w] = int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big") if n else 0
+    return out
+
+
+def shingle_sets(texts: pa.Array, size: int = NEAR_SHINGLE) -> Iterator[np.ndarray]:
+    """The set of hashes of the ``size``-word shingles of each text, lower-cased (fewer words: the whole; none: empty), sorted."""
+    raw, at = text_buffer(texts, lower=True)
+    starts, ends, first = words_of(raw, at)
+    hashes = word_hashes(raw, starts, ends)
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        yield np.unique(windows(hashes[lo:hi], min(size, hi - lo))) if hi > lo else np.zeros(0, np.uint64)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text")
+        names, prints = [], []
+        for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
+            part = texts.slice(lo, hi - lo)
+            names += [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in part.to_pylist()]
+            prints += [near_print(s) for s in shingle_sets(part)]
+        prints = np.stack(prints) if prints else np.zeros((0, NEAR_WORDS), np.uint64)
+        columns = {"doc_id": batch.column("doc_id"), "node": pa.array(names, pa.string())}
+        yield pa.RecordBatch.from_pydict(columns | {f"_f{w}": pa.array(prints[:, w].view(np.int64), pa.int64()) for w in range(NEAR_WORDS)})
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text")
+        for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
+            sets = list(shingle_sets(texts.slice(lo, hi - lo)))
+            offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(lo, hi - lo), "shingles": shingles})
+
+
+def near_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY, masks: Sequence[Sequence[int]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, node`` of every row of ``docs(doc_id, text)`` (a node is an exact text, by its MD5) and ``node, root`` of nodes that
+    are linked by similarity of their shingle sets; texts without words have similarity 1 with each other."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = cut(docs.mapInArrow(_sketch, "doc_id long, node string, " + ", ".join(f"_f{w} long" for w in range(NEAR_WORDS))))
+    prints = [f"_f{w}" for w in range(NEAR_WORDS)]
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(p).alias(p) for p in prints])
+    links = cut(hamming_links(nodes.select("node", *prints), prints, NEAR_RADIUS, masks or sampled_masks(NEAR_TABLES, NEAR_SAMPLE, NEAR_WORDS)))
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    wanted = cut(ends.join(nodes.select("node", "doc_id"), "node"))
+    texts = maybe_in(docs, "doc_id", bloom_of(wanted.select("doc_id"))).withColumn("node", F.md5("text"))
+    sets = texts.join(wanted, ["doc_id", "node"]).select("node", "text").mapInArrow(_sets, "node string, shingles array<long>")
+    sets = cut(sets.dropDuplicates(["node"]))
+    pairs = links.join(sets.toDF("a", "_left"), "a").join(sets.toDF("b", "_right"), "b")
+    same = F.size(F.array_intersect("_left", "_right"))
+    alike = pairs.filter(same >= similarity * (F.size("_left") + F.size("_right") - same)).select("a", "b")
+    return rows.select("doc_id", "node"), components(alike)
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """One row of each group stays, the one with the smallest doc_id (ties: smallest MD5, then any of equal rows); columns as they are.
+
+    Rows without a doc_id go only if a row with one, or another like them, is in their group.
+    """
+    rows, roots = near_groups(docs, similarity)
+    grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("node").alias("node"))
+    stays = cut(grouped.groupBy("root").agg(F.min(rank).alias("_r")).select(F.col("_r.d").alias("_stay_id"), F.col("_r.node").alias("_stay_node"), F.col("_r.n").alias("_stay_null")))
+    named = docs.withColumn("_node", F.md5(text_or_empty())).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_null", F.col("doc_id").isNull())
+    keys = stays.select(F.coalesce("_stay_id", F.lit(0)).alias("_id"), F.col("_stay_node").alias("_node"), F.col("_stay_null").alias("_null"))
+    return named.join(keys, ["_id", "_node", "_null"], "left_semi").dropDuplicates(["_id", "_node", "_null"]).select(*docs.columns)

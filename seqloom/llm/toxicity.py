@@ -24,8 +24,8 @@ from ._common import NOT_LETTERS, batch_slices, mix, table, text_buffer, word_ha
 
 FIT_ROWS = 6000
 TERMS, RANK = 2048, 4
-EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.1, 1e-4
-LEAST_Z = 3.0
+EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.1, 1e-5
+LEAST_Z = 2.4
 BEGINNINGS = (4, 5)
 _SLICE = 1 << 20
 _FILTER_BITS = 20
