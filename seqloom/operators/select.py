@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,14 +124,22 @@ def prune_by_variance(values: DataFrame, key: str, value: str, threshold: float
 
 
 def column_correlations(rows: DataFrame, vector: str, dims: int) -> DataFrame:
-    """``i, j, cor`` of all pairs i < j of a vector's components, by one pass of sums per pair."""
-    x = F.col(vector)
-    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(dims)] + [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(dims) for j in range(i, dims)]
-    one = rows.select(F.transform(x, lambda v: v.cast("double")).alias(vector)).agg(F.count(F.lit(1)).alias("n"), *sums)
-    n = F.col("n").cast("double")
-    cov = lambda i, j: F.col(f"p{min(i, j)}_{max(i, j)}") / n - F.col(f"s{i}") / n * F.col(f"s{j}") / n
-    pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (cov(i, j) / F.sqrt(cov(i, i) * cov(j, j))).alias("cor")) for i in range(dims) for j in range(i + 1, dims)]
-    return one.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.i", "_p.j", "_p.cor")
+    """``i, j, cor`` of all pairs i < j of a vector's components: each task adds up one matrix of products, whatever its rows."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, p = 0, np.zeros(dims), np.zeros((dims, dims))
+        for batch in batches:
+            column = batch.column(0)
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)[:, :dims]
+            n, s, p = n + len(x), s + x.sum(axis=0), p + x.T @ x
+        i, j = np.triu_indices(dims)
+        yield pa.RecordBatch.from_pydict({"i": i, "j": j, "n": np.full(len(i), float(n)), "si": s[i], "sj": s[j], "p": p[i, j]})
+
+    parts = rows.select(vector).filter(F.col(vector).isNotNull()).mapInArrow(sums, "i long, j long, n double, si double, sj double, p double")
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "p")]).withColumn("c", F.col("p") / F.col("n") - F.col("si") / F.col("n") * F.col("sj") / F.col("n"))
+    own = total.filter("i = j").select(F.col("i").alias("d"), F.col("c").alias("v"))
+    cross = total.filter("i < j").join(F.broadcast(own.toDF("i", "vi")), "i").join(F.broadcast(own.toDF("j", "vj")), "j")
+    return cross.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.when(F.col("vi") * F.col("vj") > 0, F.col("c") / F.sqrt(F.col("vi") * F.col("vj"))).alias("cor"))
 
 
 def greedy_correlation(pairs: DataFrame, dims: int, max_cor: float = 0.7) -> list[int]:
