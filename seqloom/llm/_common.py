@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table written in the shared folder: compressed, and read again by columns."""
+    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -151,38 +153,41 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
 BLOOM_BITS = 1 << 26
 
 
-def _bloom_places(ids: np.ndarray) -> np.ndarray:
+def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
     x = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return np.concatenate([x & np.uint64(BLOOM_BITS - 1), (x >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)]).astype(np.int64)
+    return np.concatenate([x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
 
 
-def bloom_of(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size (8 MB) over the longs in the first column of ``ids``; it lets more pass as it fills."""
+def bloom_of(ids: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A Bloom filter of fixed size (bits / 8 bytes) over the longs in the first column of ``ids``; it lets more pass as it fills."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_bloom_places(batch.column(0).to_numpy(zero_copy_only=False)))
+            at = np.unique(_bloom_places(batch.column(0).to_numpy(zero_copy_only=False), bits))
             words, where = np.unique(at >> 6, return_inverse=True)
-            bits = np.zeros(len(words), dtype=np.uint64)
-            np.bitwise_or.at(bits, where, np.uint64(1) << (at & 63).astype(np.uint64))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.int64()), "bits": pa.array(bits.view(np.int64), pa.int64())})
+            masks = np.zeros(len(words), dtype=np.uint64)
+            np.bitwise_or.at(masks, where, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.int64()), "bits": pa.array(masks.view(np.int64), pa.int64())})
 
     name = ids.columns[0]
-    rows = ids.filter(F.col(name).isNotNull()).mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(BLOOM_BITS >> 6, dtype=np.uint64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    rows = ids.filter(F.col(name).isNotNull()).mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, dtype=np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def bloom_has(bloom: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _bloom_places(ids, len(bloom) << 6)
+    hit = ((bloom[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    return hit[: len(ids)] & hit[len(ids) :]
+
+
 def maybe_in(df: DataFrame, key: str, bloom: np.ndarray) -> DataFrame:
     """The rows of ``df`` whose long ``key`` is in the filter, and a few others; its size in memory is fixed."""
     sent = df.sparkSession.sparkContext.broadcast(bloom)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(key).fill_null(0).to_numpy(zero_copy_only=False)
-            at = _bloom_places(ids)
-            hit = (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            yield batch.filter(pa.array((hit[: len(ids)] & hit[len(ids) :]).astype(bool)))
+            yield batch.filter(pa.array(bloom_has(sent.value, batch.column(key).fill_null(0).to_numpy(zero_copy_only=False))))
 
     return df.mapInArrow(keep, df.schema)

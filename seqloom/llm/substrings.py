@@ -5,10 +5,10 @@ neighbouring windows mostly share one and equal windows always do. The index hol
 and largest document that has it), bucketed by fingerprint: a new batch becomes a run, is merge-joined with the runs of history
 without any shuffle, and runs are compacted into one when there are too many. Fingerprints that two documents have are the candidates.
 
-They are then verified: the windows under a candidate fingerprint are digested (128 bits over the words themselves), and a
-window counts as repeated if its digest's first document is smaller than its own. Only documents with candidates move
-their texts; a Bloom filter of fixed size keeps the others where they are. Documents of equal words need no windows: all but
-the first of them go as a whole.
+They are then verified: the windows under a candidate fingerprint are digested (96 bits over the words themselves), and a
+window counts as repeated if its digest's first document is smaller than its own. Up to ``MOST_SHARED`` candidates, a Bloom filter of fixed
+size finds their windows where the texts stand, and what it lets pass beside them matches nothing; with more, occurrences and
+texts are joined to the candidates instead. Documents of equal words need no windows: all but the first of them go as a whole.
 """
 
 from __future__ import annotations
@@ -24,11 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_slices, bloom_of, checkpoint_dir, cut, maybe_in, parallelism, table, text_buffer, text_or_empty, windows, word_hashes, words_of
+from ._common import batch_slices, bloom_has, bloom_of, checkpoint_dir, cut, maybe_in, parallelism, table, text_buffer, text_or_empty, windows, word_hashes, words_of
 
 WINDOW, GRAM = 13, 3
 #: Batches in which a whole table enters the index, and the number of runs that compaction leaves standing.
 BATCHES, MAX_RUNS = 2, 1
+#: Bits of the filter of shared fingerprints (32 MB), and how many it is used for.
+FILTER_BITS, MOST_SHARED = 1 << 28, 1 << 26
+#: Most copies of whole documents that are sent to the tasks; beyond, copies are treated like any other document.
+MOST_COPIES = 1 << 22
 _SLICE = 1 << 20
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -131,26 +135,60 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": pa.array(n, pa.int64()), "sha": pa.array(sha, pa.string())})
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the windows of each text whose fingerprint is among its candidates."""
-    names = ("d1", "d2", "doc_id", "cid", "pos")
+_WINDOW_SCHEMA = "d1 long, d2 int, doc_id long, cid long, pos int"
+
+
+def _window_rows(doc_id: int, words: list[bytes], chosen) -> Iterator[pa.RecordBatch]:
+    """Digests of the windows of one text whose fingerprints ``chosen`` picks."""
+    if len(words) < WINDOW:
+        return
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    at = np.flatnonzero(chosen(fingerprints(np.frombuffer(joined, np.uint8), starts, ends)))
+    if not len(at):
+        return
+    cid = int.from_bytes(hashlib.sha256(joined).digest()[:8], "big", signed=True)
+    for lo in range(0, len(at), 1 << 16):
+        part = at[lo : lo + (1 << 16)]
+        digest = b"".join([xxhash.xxh3_128_digest(joined[s:e]) for s, e in zip(starts[part].tolist(), ends[part + WINDOW - 1].tolist(), strict=True)])
+        pair = np.frombuffer(digest, dtype=np.int64).reshape(-1, 2)
+        columns = {"d1": (pair[:, 0], pa.int64()), "d2": (pair[:, 1].astype(np.int32), pa.int32()), "doc_id": (np.full(len(part), doc_id), pa.int64()), "cid": (np.full(len(part), cid), pa.int64()), "pos": (part, pa.int32())}
+        yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for c, (v, t) in columns.items()})
+
+
+def _merged(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Fewer, larger batches."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("hs"), strict=True):
-            words = _normal(text)
-            if len(words) < WINDOW:
-                continue
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            starts = np.r_[0, ends[:-1] + 1]
-            prints = fingerprints(np.frombuffer(joined, np.uint8), starts, ends)
-            at = np.flatnonzero(np.isin(prints, wanted.values.to_numpy().view(np.uint64)))
-            cid = int.from_bytes(hashlib.sha256(joined).digest()[:8], "big", signed=True)
-            for lo in range(0, len(at), 1 << 16):
-                part = at[lo : lo + (1 << 16)]
-                digest = b"".join([xxhash.xxh3_128_digest(joined[s:e]) for s, e in zip(starts[part].tolist(), ends[part + WINDOW - 1].tolist(), strict=True)])
-                pair = np.frombuffer(digest, dtype=np.int64).reshape(-1, 2)
-                columns = (pair[:, 0], pair[:, 1], np.full(len(part), doc_id), np.full(len(part), cid), part)
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(names, columns, strict=True)})
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _joined_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("hs"), strict=True):
+                wanted_prints = wanted.values.to_numpy().view(np.uint64)
+                yield from _window_rows(doc_id, _normal(text), lambda prints, w=wanted_prints: np.isin(prints, w))
+
+    yield from _merged(each())
+
+
+def _filtered_windows(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    yield from _window_rows(doc_id, _normal(text), lambda prints: bloom_has(sent.value, prints.view(np.int64)))
+
+        yield from _merged(each())
+
+    return run
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,20 +210,21 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.string() if c.startswith("kept") else pa.int64()) for c, v in out.items()})
 
 
-def repeated_windows(docs: DataFrame, candidates: DataFrame, facts: DataFrame) -> DataFrame:
-    """doc_id, cid, places of the windows that start in a smaller document, for documents whose words are the first of their kind."""
-    first = facts.filter("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("_first"))
-    copies = facts.join(first, "sha").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") > F.col("_first")).alias("_all")).filter("_all").select("doc_id")
-    found = occurrences(docs).join(candidates, "h").join(copies, "doc_id", "left_anti")
-    touched = cut(found.groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
-    texts = maybe_in(docs, "doc_id", bloom_of(touched.select("doc_id")))
-    windows_of = texts.join(touched, "doc_id").mapInArrow(_digests, "d1 long, d2 long, doc_id long, cid long, pos long")
-    windows_of = cut(windows_of)
-    earliest = windows_of.groupBy("d1", "d2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last")
-    return windows_of.join(earliest, ["d1", "d2"]).filter("doc_id > _first").groupBy("doc_id", "cid").agg(F.collect_set("pos").alias("places"))
+def repeated_windows(docs: DataFrame, candidates: DataFrame, most_shared: int = MOST_SHARED) -> DataFrame:
+    """doc_id, cid, places of the windows that start in a smaller document."""
+    docs = docs.filter("doc_id IS NOT NULL")
+    if candidates.count() <= most_shared:
+        sent = docs.sparkSession.sparkContext.broadcast(bloom_of(candidates, FILTER_BITS))
+        found = docs.mapInArrow(_filtered_windows(sent), _WINDOW_SCHEMA)
+    else:
+        touched = cut(occurrences(docs).join(candidates, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
+        texts = maybe_in(docs, "doc_id", bloom_of(touched.select("doc_id")))
+        found = texts.join(touched, "doc_id").mapInArrow(_joined_windows, _WINDOW_SCHEMA)
+    earliest = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last")
+    return found.join(earliest.select("d1", "d2", "_first"), ["d1", "d2"]).filter("doc_id > _first").groupBy("doc_id", "cid").agg(F.collect_set("pos").alias("places"))
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, most_shared: int = MOST_SHARED) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of ``docs(doc_id, text)``; windows are judged on the input.
 
     Null and empty texts have no words. Rows without a doc_id are smaller than none and keep all. Rows with one
@@ -193,21 +232,23 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """
     spark = docs.sparkSession
     facts = cut(docs.mapInArrow(_facts, "doc_id long, n_words long, sha string"))
+    first = facts.filter("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("_first"))
+    copies = cut(facts.join(first, "sha").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") > F.col("_first")).alias("_all")).filter("_all").select("doc_id"))
+    own = docs.join(F.broadcast(copies), "doc_id", "left_anti") if copies.count() <= MOST_COPIES else docs
     lo, hi = facts.agg(F.min("doc_id"), F.max("doc_id")).first()
     index, candidates = FingerprintIndex(spark), None
     if lo is not None:
         edges = [lo + (hi + 1 - lo) * k // batches for k in range(batches + 1)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            found = index.add(docs.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
+            found = index.add(own.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
             candidates = found if candidates is None else candidates.unionByName(found)
     if candidates is None:
         return facts.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    places = cut(repeated_windows(docs, candidates.distinct(), facts))
+    places = cut(repeated_windows(own, candidates.distinct(), most_shared))
     index.drop()
-    texts = maybe_in(docs, "doc_id", bloom_of(places.select("doc_id")))
+    texts = maybe_in(own, "doc_id", bloom_of(places.select("doc_id")))
     kept = texts.join(places, "doc_id").mapInArrow(_kept, "doc_id long, cid long, n_removed long, kept_sha256 string, kept string")
     kept = kept.select("doc_id", "cid", "n_removed", "kept_sha256").distinct()
-    first = facts.filter("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("_first"))
     cid = F.conv(F.substring("sha", 1, 16), 16, -10).cast("long")
     ranked = facts.join(first, "sha", "left").withColumn("cid", cid).join(kept, ["doc_id", "cid"], "left")
     copy = (F.col("doc_id") > F.col("_first")) & (F.col("n_words") >= WINDOW)
