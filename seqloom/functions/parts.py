@@ -78,10 +78,26 @@ def window_at(sequence: Column, start: Column, size: int, gap: str = GAP) -> Col
     return F.rpad(F.substring(sequence, start, F.lit(size)), size, gap)
 
 
+def letters_of(sequence: Column) -> Column:
+    """The letters as an array (empty for an empty sequence)."""
+    return F.filter(F.split(sequence, ""), lambda a: a != "")
+
+
+def window_of(letters: Column, start: Column, size: int) -> Column:
+    """``size`` letters from a 1-based start, picked one by one: a substring walks to its start, a slice copies the whole array."""
+    return F.concat(*[F.get(letters, start + (k - 1)) for k in range(size)])
+
+
+def bound_once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` refers to it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def sliding_windows(sequence: Column, size: int) -> Column:
     """Array of all windows; empty if the sequence is shorter."""
     n = F.length(sequence) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(sequence, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    every = bound_once(letters_of(sequence), lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - size + 1, F.lit(1))), lambda i: window_of(x, i, size)))
+    return F.when(n > 0, every).otherwise(F.array().cast("array<string>"))
 
 
 def explode_anchors(df_seq: DataFrame, pos: str = "pos", size: int = 9) -> DataFrame:

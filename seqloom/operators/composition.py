@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import GAP, LETTERS, UNIT, letter_counts
+from ..functions.parts import sliding_windows
 from .stats import round_half_up
 
 
@@ -24,13 +25,14 @@ def letter_fractions(df: DataFrame, sequence: Column, keep: Sequence[str] = ("en
 
 
 def kmers(sequence: Column, k: int) -> Column:
-    n = F.length(sequence) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(sequence, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return sliding_windows(sequence, k)
 
 
 def kmer_fractions(df: DataFrame, sequence: Column, k: int, keep: Sequence[str] = ("entry",)) -> DataFrame:
     """``keep, kmer, n, fraction`` of the k-mers that occur; the denominator is the number of k-mers."""
-    rows = df.select(*keep, F.explode(kmers(sequence, k)).alias("kmer"), (F.length(sequence) - k + 1).alias("_n"))
+    # computed before the rows are made: beside the explode it would be computed, and the sequence carried, once a row
+    base = df.select(*keep, (F.length(sequence) - k + 1).alias("_n"), kmers(sequence, k).alias("_k"))
+    rows = base.select(*keep, "_n", F.explode("_k").alias("kmer"))
     return rows.groupBy(*keep, "kmer", "_n").agg(F.count(F.lit(1)).alias("n")).select(*keep, "kmer", "n", (F.col("n") / F.col("_n")).alias("fraction"))
 
 

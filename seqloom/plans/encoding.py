@@ -63,7 +63,7 @@ def scale_composition(spark: SparkSession, sf: str) -> DataFrame:
     "acc_lag",
     f"""WITH {SEQ}, {SCALE_ROWS}, r AS (SELECT entry, i, aa FROM (SELECT entry, unnest(range(1, length(sequence) + 1)) AS i, unnest(string_split(sequence, '')) AS aa FROM seq WHERE length(sequence) > 0)),
     x AS (SELECT entry, scale_id, i, value AS s, lag_ AS lag, lead(value, lag_) OVER (PARTITION BY entry, scale_id, lag_ ORDER BY i) AS nxt FROM r JOIN lscales USING (aa), (VALUES (1), (2)) l(lag_)),
-    a AS (SELECT entry, scale_id, lag, count(*) AS n, sum(s)::BIGINT AS t, sum(s * nxt)::BIGINT AS p, sum(s) FILTER (nxt IS NOT NULL)::BIGINT + sum(nxt)::BIGINT AS e FROM x GROUP BY ALL)
+    a AS (SELECT entry, scale_id, lag, count(*) AS n, sum(s)::BIGINT AS t, sum(s::BIGINT * nxt::BIGINT)::BIGINT AS p, sum(s) FILTER (nxt IS NOT NULL)::BIGINT + sum(nxt)::BIGINT AS e FROM x GROUP BY ALL)
     SELECT d.entry, k.scale_id, l.lag::INT AS lag, CASE WHEN n > l.lag THEN {rhu("(p::DOUBLE - t::DOUBLE / n * e::DOUBLE + (n - l.lag)::DOUBLE * (t::DOUBLE / n) * (t::DOUBLE / n)) / (n - l.lag)::DOUBLE / 1e5::DOUBLE / 1e5::DOUBLE", 6)} END AS acc
     FROM seq d CROSS JOIN (SELECT DISTINCT scale_id FROM lscales) k CROSS JOIN (VALUES (1), (2)) l(lag) LEFT JOIN a ON a.entry = d.entry AND a.scale_id = k.scale_id AND a.lag = l.lag""",
 )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core, encoding  # noqa: F401
+from . import core, design, encoding  # noqa: F401
 from .catalog import QUERIES, TWINS
 
 
