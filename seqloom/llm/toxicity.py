@@ -24,8 +24,9 @@ from ._common import NOT_LETTERS, batch_slices, mix, table, text_buffer, word_ha
 
 FIT_ROWS = 6000
 TERMS, RANK = 2048, 4
-EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.1, 1e-5
-LEAST_Z = 2.4
+EPOCHS, STEPS, BATCH, RATE, DECAY = 30, 3000, 64, 0.1, 1e-5
+#: Least log-likelihood ratio of a term (a chi-square of one degree, over some 100,000 terms).
+LEAST_RATIO = 12.0
 BEGINNINGS = (4, 5)
 _SLICE = 1 << 20
 _FILTER_BITS = 20
@@ -83,15 +84,17 @@ class Machine:
 
 
 def select_terms(doc: np.ndarray, term: np.ndarray, label: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """The terms whose shares of the two labels differ by most standard errors; ties by number."""
+    """The terms that tell most of the label by the log-likelihood ratio of their counts; ties by number."""
     known, place = np.unique(term, return_inverse=True)
+    with_ = np.bincount(place, minlength=len(known)).astype(float)
     one = np.bincount(place, weights=label[doc], minlength=len(known))
-    all_ = np.bincount(place, minlength=len(known))
-    n1, n0 = label.sum(), len(label) - label.sum()
-    p1, p0 = (one + 0.5) / (n1 + 1), (all_ - one + 0.5) / (n0 + 1)
-    z = (p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
-    fit = np.flatnonzero((np.abs(z) >= LEAST_Z) & (all_ >= 3))
-    return np.sort(known[fit[np.lexsort((known[fit], -np.abs(z[fit])))][:most]])
+    n, ones = float(len(label)), label.sum()
+    g = np.zeros(len(known))
+    for seen, here, all_here in ((one, with_, ones), (with_ - one, with_, n - ones), (ones - one, n - with_, ones), (n - ones - with_ + one, n - with_, n - ones)):
+        expected = here * all_here / n
+        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    fit = np.flatnonzero(g >= LEAST_RATIO)
+    return np.sort(known[fit[np.lexsort((known[fit], -g[fit]))][:most]])
 
 
 def fit_machine(doc: np.ndarray, term: np.ndarray, label: np.ndarray, seed: int = 7) -> Machine:
@@ -109,8 +112,9 @@ def fit_machine(doc: np.ndarray, term: np.ndarray, label: np.ndarray, seed: int
     rng = np.random.default_rng(seed)
     m = Machine(terms, float(np.log(ones / (n - ones))), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), RANK)))
     g_bias, g_w, g_v = 1e-6, np.full(len(terms), 1e-6), np.full((len(terms), RANK), 1e-6)
-    for _ in range(EPOCHS):
-        for rows in np.array_split(rng.permutation(n), max(1, n // BATCH)):
+    batches = max(1, n // BATCH)
+    for _ in range(max(EPOCHS, STEPS // batches)):
+        for rows in np.array_split(rng.permutation(n), batches):
             sizes = starts[rows + 1] - starts[rows]
             row = np.repeat(np.arange(len(rows)), sizes)
             at = place[np.repeat(starts[rows] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())]
