@@ -38,6 +38,8 @@ NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 NEAR_WORDS, NEAR_RADIUS = 2, 34
 #: Tables of so many sampled bits. At similarity 0.8 a table misses a link with probability 1 - 0.848 ** 14 = 0.9.
 NEAR_TABLES, NEAR_SAMPLE = 40, 14
+#: Closest rows of each row that are verified beside the spanning forest of a bucket, as a link of the forest may turn out too weak.
+NEAR_CLOSEST = 2
 
 
 # Bit planes
@@ -164,11 +166,15 @@ def block_links(prints: np.ndarray, radius: int, step: int = 64) -> Iterator[tup
                 yield int(i), _lanes(near[row])
 
 
-def forest_of_bucket(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one larger bucket, each row joined to its closest row of each part it links to."""
+def forest_of_bucket(prints: np.ndarray, radius: int, closest: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the links of one larger bucket, each row joined to its closest row of each part it links to; and of each row
+    the ``closest`` later rows."""
     label = np.arange(len(prints))
     out = []
     for i, others in block_links(prints, radius):
+        if closest:
+            order = np.argsort(distances(prints, np.full(len(others), i), others), kind="stable")
+            out += [(i, int(o)) for o in others[order[:closest]]]
         labels = label[others]
         new = labels != label[i]
         if not new.any():
@@ -183,8 +189,17 @@ def forest_of_bucket(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def forest_of_chunk(prints: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning forests of all buckets of a chunk of rows sorted by bucket."""
+def _closest(i: np.ndarray, j: np.ndarray, far: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Of each row, on either side of a link, the ``most`` links of least distance."""
+    row, link = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((link, far[link], row))
+    row, link = row[order], link[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return [(int(i[k]), int(j[k])) for k in np.unique(link[place < most])]
+
+
+def forest_of_chunk(prints: np.ndarray, group: np.ndarray, radius: int, closest: int = 0) -> list[tuple[int, int]]:
+    """Spanning forests of all buckets of a chunk of rows sorted by bucket, and the closest links of each row."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     size = np.repeat(sizes, sizes)
@@ -194,9 +209,12 @@ def forest_of_chunk(prints: np.ndarray, group: np.ndarray, radius: int) -> list[
         i, j = small_links(prints[few], group[few], radius)
         i, j = few[i], few[j]
         forest = Forest(len(group))
-        out += [(a, b) for a, b in zip(*(x[np.argsort(distances(prints, i, j), kind="stable")].tolist() for x in (i, j)), strict=True) if forest.join(a, b)]
+        far = distances(prints, i, j)
+        order = np.argsort(far, kind="stable")
+        out += [(a, b) for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True) if forest.join(a, b)]
+        out += _closest(i, j, far, closest) if closest else []
     for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        out += [(s + a, s + b) for a, b in forest_of_bucket(prints[s : s + n], radius)]
+        out += [(s + a, s + b) for a, b in forest_of_bucket(prints[s : s + n], radius, closest)]
     return out
 
 
@@ -228,13 +246,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(columns: Sequence[str], radius: int, node_type: pa.DataType):
+def _forest(columns: Sequence[str], radius: int, node_type: pa.DataType, closest: int):
     schema = pa.schema([("a", node_type), ("b", node_type)])
 
     def links(whole: pa.Table) -> pa.RecordBatch:
         prints = np.stack([whole.column(c).to_numpy().view(np.uint64) for c in columns], axis=1)
         group = np.cumsum(np.any([np.r_[False, (x := whole.column(c).to_numpy())[1:] != x[:-1]] for c in ("_key", "_i", "_j")], axis=0))
-        found = forest_of_chunk(prints, group, radius)
+        found = forest_of_chunk(prints, group, radius, closest)
         nodes = whole.column("node")
         a, b = (nodes.take(pa.array([f[side] for f in found], pa.int64())).combine_chunks() for side in (0, 1))
         return pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else (pa.array([], node_type) if isinstance(x, pa.ChunkedArray) else x) for x in (a, b)], schema=schema)
@@ -257,9 +275,9 @@ def _forest(columns: Sequence[str], radius: int, node_type: pa.DataType):
     return run
 
 
-def hamming_links(prints: DataFrame, columns: Sequence[str], radius: int, masks: Sequence[Sequence[int]]) -> DataFrame:
+def hamming_links(prints: DataFrame, columns: Sequence[str], radius: int, masks: Sequence[Sequence[int]], closest: int = 0) -> DataFrame:
     """Links ``a, b`` between the nodes of ``prints(node, *columns)`` within ``radius`` that agree under one mask: for each bucket a
-    spanning forest. Nodes must be distinct."""
+    spanning forest, and the ``closest`` links of each row. Nodes must be distinct."""
     spark = prints.sparkSession
     key = lambda t, mask: F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m)).cast("long")) for c, m in zip(columns, mask, strict=True)])
     keyed = prints.withColumn("_key", F.explode(F.array(*[key(t, m) for t, m in enumerate(masks)])))
@@ -273,7 +291,7 @@ def hamming_links(prints: DataFrame, columns: Sequence[str], radius: int, masks:
     )
     kind = dict(prints.dtypes)["node"]
     dealt = tiles.repartition(parallelism(spark), "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
-    return dealt.mapInArrow(_forest(columns, radius, pa.string() if kind == "string" else pa.int64()), f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(_forest(columns, radius, pa.string() if kind == "string" else pa.int64(), closest), f"a {kind}, b {kind}").distinct()
 
 
 # The contract's fingerprint
@@ -367,7 +385,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
             sets = list(shingle_sets(texts.slice(lo, hi - lo)))
             offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-            shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+            shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(lo, hi - lo), "shingles": shingles})
 
 
@@ -378,15 +396,15 @@ def near_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY, masks: Seq
     rows = cut(docs.mapInArrow(_sketch, "doc_id long, node string, " + ", ".join(f"_f{w} long" for w in range(NEAR_WORDS))))
     prints = [f"_f{w}" for w in range(NEAR_WORDS)]
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(p).alias(p) for p in prints])
-    links = cut(hamming_links(nodes.select("node", *prints), prints, NEAR_RADIUS, masks or sampled_masks(NEAR_TABLES, NEAR_SAMPLE, NEAR_WORDS)))
+    links = cut(hamming_links(nodes.select("node", *prints), prints, NEAR_RADIUS, masks or sampled_masks(NEAR_TABLES, NEAR_SAMPLE, NEAR_WORDS), NEAR_CLOSEST))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     wanted = cut(ends.join(nodes.select("node", "doc_id"), "node"))
     texts = maybe_in(docs, "doc_id", bloom_of(wanted.select("doc_id"))).withColumn("node", F.md5("text"))
-    sets = texts.join(wanted, ["doc_id", "node"]).select("node", "text").mapInArrow(_sets, "node string, shingles array<long>")
+    sets = texts.join(wanted, ["doc_id", "node"]).select("node", "text").mapInArrow(_sets, "node string, shingles array<int>")
     sets = cut(sets.dropDuplicates(["node"]))
     pairs = links.join(sets.toDF("a", "_left"), "a").join(sets.toDF("b", "_right"), "b")
-    same = F.size(F.array_intersect("_left", "_right"))
-    alike = pairs.filter(same >= similarity * (F.size("_left") + F.size("_right") - same)).select("a", "b")
+    pairs = pairs.withColumn("_same", F.size(F.array_intersect("_left", "_right"))).withColumn("_all", F.size("_left") + F.size("_right"))
+    alike = pairs.filter(F.col("_same") >= similarity * (F.col("_all") - F.col("_same"))).select("a", "b")
     return rows.select("doc_id", "node"), components(alike)
 
 
