@@ -27,12 +27,25 @@ _MIX_B = np.uint64(0x94D049BB133111EB)
 _HASH_BYTES = 1 << 18
 
 
+#: Arrow batches to Python workers: few rows, and few bytes where rows are long.
+BATCH_ROWS, BATCH_BYTES = "2000", str(8 << 20)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep batches of texts small, in the JVM's buffers as in the workers; sizes set by the user stay."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) in (None, "10000", "9223372036854775807", "64MB", "67108864"):
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    bounded_batches(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
