@@ -192,8 +192,9 @@ def score_texts(docs: DataFrame, machine: Machine, out: str = "score") -> DataFr
 
 
 def reject_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows whose text scores below 0.5, as they are."""
-    return score_texts(docs, machine, "_toxicity").filter(F.col("_toxicity") < 0.5).drop("_toxicity")
+    """The rows whose text scores below 0.5, or no higher than a text without known terms, as they are."""
+    least = float(machine.scores(pa.array([""]))[0])
+    return score_texts(docs, machine, "_toxicity").filter((F.col("_toxicity") < 0.5) | (F.col("_toxicity") <= least)).drop("_toxicity")
 
 
 def op9_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
