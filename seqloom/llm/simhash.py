@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_slices, bloom_of, cut, maybe_in, mix, parallelism, table, text_buffer, text_or_empty, windows, word_hashes, words_of
+from ._common import batch_slices, bloom_has, bloom_of, cut, mix, parallelism, table, text_buffer, text_or_empty, windows, word_hashes, words_of
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -379,14 +379,24 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(columns | {f"_f{w}": pa.array(prints[:, w].view(np.int64), pa.int64()) for w in range(NEAR_WORDS)})
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text")
-        for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
-            sets = list(shingle_sets(texts.slice(lo, hi - lo)))
-            offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-            shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(lo, hi - lo), "shingles": shingles})
+def _sets_of(sent):
+    """A worker's pass over documents: the name and the shingle set of those whose doc_id is in the filter sent, or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            wanted = bloom_has(sent.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+            part = batch.filter(pa.array(wanted))
+            texts = part.column("text")
+            for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
+                some = texts.slice(lo, hi - lo)
+                names = [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in some.to_pylist()]
+                sets = list(shingle_sets(some))
+                offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+                shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").slice(lo, hi - lo), "node": pa.array(names, pa.string()), "shingles": shingles})
+
+    return run
 
 
 def near_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY, masks: Sequence[Sequence[int]] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -399,9 +409,10 @@ def near_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY, masks: Seq
     links = cut(hamming_links(nodes.select("node", *prints), prints, NEAR_RADIUS, masks or sampled_masks(NEAR_TABLES, NEAR_SAMPLE, NEAR_WORDS), NEAR_CLOSEST))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     wanted = cut(ends.join(nodes.select("node", "doc_id"), "node"))
-    texts = maybe_in(docs, "doc_id", bloom_of(wanted.select("doc_id"))).withColumn("node", F.md5("text"))
-    sets = texts.join(wanted, ["doc_id", "node"]).select("node", "text").mapInArrow(_sets, "node string, shingles array<int>")
-    sets = cut(sets.dropDuplicates(["node"]))
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("doc_id")))
+    sets = docs.mapInArrow(_sets_of(sent), "doc_id long, node string, shingles array<int>")
+    sets = sets.join(wanted.toDF("_node", "_id"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = cut(sets.select("node", "shingles").dropDuplicates(["node"]))
     pairs = links.join(sets.toDF("a", "_left"), "a").join(sets.toDF("b", "_right"), "b")
     pairs = pairs.withColumn("_same", F.size(F.array_intersect("_left", "_right"))).withColumn("_all", F.size("_left") + F.size("_right"))
     alike = pairs.filter(F.col("_same") >= similarity * (F.col("_all") - F.col("_same"))).select("a", "b")
