@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parts import bound_once, letters_of, window_of
 from ..functions.splits import Split
 from .metrics import centers, expand_intervals, with_centers
 from .models import correlation
@@ -17,9 +18,9 @@ def labelled_windows(df_seq: DataFrame, size: int, labels: str = "labels", seque
     one label per residue, separated by commas. Positions start at 1."""
     half = size // 2
     middle = F.sequence(F.lit(half + 1), F.length(sequence) - half)
-    rows = df_seq.filter(F.length(sequence) >= size).withColumn("_labels", F.split(labels, ","))
-    cut = F.transform(middle, lambda p: F.struct(p.alias("pos"), F.substring(F.col(sequence), p - half, F.lit(size)).alias("window"), F.get("_labels", p - 1).alias("label")))
-    return rows.select(entry, F.inline(cut))
+    both = F.struct(letters_of(F.col(sequence)).alias("s"), F.split(labels, ",").alias("l"))
+    cut = bound_once(both, lambda x: F.transform(middle, lambda p: F.struct(p.alias("pos"), window_of(x["s"], p - half, size).alias("window"), F.get(x["l"], p - 1).alias("label"))))
+    return df_seq.filter(F.length(sequence) >= size).select(entry, F.inline(cut))
 
 
 def annotate(intervals: DataFrame, entry: str, order: str, value: str) -> DataFrame:
