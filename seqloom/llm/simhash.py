@@ -277,8 +277,8 @@ def _forest(columns: Sequence[str], radius: int, node_type: pa.DataType, closest
 
 def hamming_links(prints: DataFrame, columns: Sequence[str], radius: int, masks: Sequence[Sequence[int]], closest: int = 0) -> DataFrame:
     """Links ``a, b`` between the nodes of ``prints(node, *columns)`` within ``radius`` that agree under one mask: for each bucket a
-    spanning forest, and the ``closest`` links of each row. Nodes must be distinct; buckets are read in their order, so that tasks run
-    again give the same links."""
+    spanning forest, and the ``closest`` links of each row. Nodes must be distinct; buckets are read in an order of their own, fixed
+    so that tasks run again give the same links, and different so that ties are not broken alike in all of them."""
     spark = prints.sparkSession
     key = lambda t, mask: F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m)).cast("long")) for c, m in zip(columns, mask, strict=True)])
     keyed = prints.withColumn("_key", F.explode(F.array(*[key(t, m) for t, m in enumerate(masks)])))
@@ -291,7 +291,7 @@ def hamming_links(prints: DataFrame, columns: Sequence[str], radius: int, masks:
         .select("node", *columns, "_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
     )
     kind = dict(prints.dtypes)["node"]
-    dealt = tiles.repartition(parallelism(spark), "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j", "node")
+    dealt = tiles.repartition(parallelism(spark), "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j", F.xxhash64("_key", "node"), "node")
     return dealt.mapInArrow(_forest(columns, radius, pa.string() if kind == "string" else pa.int64(), closest), f"a {kind}, b {kind}").distinct()
 
 
