@@ -1,7 +1,7 @@
 """Substring dedup with a log-structured index of window fingerprints.
 
-A window is 13 consecutive words. Its fingerprint is the best of the eleven 3-word grams inside it (the longest, ties by hash), so
-neighbouring windows mostly share one and equal windows always do. The index holds sorted immutable runs of (fingerprint, smallest
+A window is 13 consecutive words. Its fingerprint is the best of the eleven 3-word grams inside it (the most letters, whatever stands between the
+words; ties by hash), so neighbouring windows mostly share one and equal windows always do. The index holds sorted immutable runs of (fingerprint, smallest
 and largest document that has it), bucketed by fingerprint: a new batch becomes a run, is merge-joined with the runs of history
 without any shuffle, and runs are compacted into one when there are too many. Fingerprints that two documents have are the candidates.
 
@@ -43,7 +43,8 @@ def fingerprints(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, window:
     n = len(starts) - window + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    letters = np.minimum((ends[gram - 1 :] - starts[: len(grams)]), 63).astype(np.uint64)
+    lengths = np.r_[0, np.cumsum(ends - starts)]
+    letters = np.minimum(lengths[gram:] - lengths[: len(grams)], 63).astype(np.uint64)
     best = ((np.uint64(63) - letters) << np.uint64(58)) | (grams >> np.uint64(6))
     wide, span = window - gram + 1, 1
     while 2 * span <= wide:

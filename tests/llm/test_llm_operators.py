@@ -223,6 +223,28 @@ def test_substrings(spark, texts, most_shared):
     assert Counter(tuple(r) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("most_shared", [substrings.MOST_SHARED, 0])
+def test_substrings_whatever_stands_between_words(spark, most_shared):
+    rng = random.Random(11)
+    passages = [sentence(rng, rng.randrange(13, 40)).split() for _ in range(12)]
+    rows = []
+    for i in range(48):
+        between = [" ", "  ", "\r\n", "\n\n", "\t", "\n        "]
+        passage = passages[i % 12]
+        rows.append((i, sentence(rng, 5) + "  " + "".join(w + (between[(i // 12) % 2] if i < 24 else rng.choice(between)) for w in passage) + sentence(rng, 5)))
+    first, split = {}, [(d, t.split()) for d, t in rows]
+    for d, w in split:
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), d)
+    want = {}
+    for d, w in split:
+        gone = {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < d for p in range(k, k + 13)}
+        want[d] = len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
+    assert sum(n > 0 for n, _ in want.values()) == 36
+    got = substrings.remove_repeats(frame(spark, rows), batches=3, most_shared=most_shared).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want
+
+
 def test_index_runs_merge(spark):
     index = substrings.FingerprintIndex(spark, max_runs=1)
     rng = random.Random(5)
