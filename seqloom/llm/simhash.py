@@ -13,6 +13,7 @@ holds a hot bucket. A tile returns a spanning forest of its links, not all pairs
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import batch_slices, bloom_has, bloom_of, cut, mix, parallelism, table, text_buffer, text_or_empty, windows, word_hashes, words_of
@@ -40,6 +41,8 @@ NEAR_WORDS, NEAR_RADIUS = 2, 34
 NEAR_TABLES, NEAR_SAMPLE = 40, 14
 #: Closest rows of each row that are verified beside the spanning forest of a bucket, as a link of the forest may turn out too weak.
 NEAR_CLOSEST = 2
+#: Shingles are ordered by how common their bucket is in one of so many texts.
+ORDER_BUCKETS, ORDER_TEXTS = 1 << 18, 16
 
 
 # Bit planes
@@ -400,14 +403,8 @@ def _sets_of(sent):
     return run
 
 
-def near_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY, masks: Sequence[Sequence[int]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, node`` of every row of ``docs(doc_id, text)`` (a node is an exact text, by its MD5) and ``node, root`` of nodes that
-    are linked by similarity of their shingle sets; texts without words have similarity 1 with each other."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = cut(docs.mapInArrow(_sketch, "doc_id long, node string, " + ", ".join(f"_f{w} long" for w in range(NEAR_WORDS))))
-    prints = [f"_f{w}" for w in range(NEAR_WORDS)]
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(p).alias(p) for p in prints])
-    links = cut(hamming_links(nodes.select("node", *prints), prints, NEAR_RADIUS, masks or sampled_masks(NEAR_TABLES, NEAR_SAMPLE, NEAR_WORDS), NEAR_CLOSEST))
+def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """The ``links`` (a, b) whose shingle sets are as similar; each set comes from the row of ``docs`` that ``nodes(node, doc_id)`` names."""
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     wanted = cut(ends.join(nodes.select("node", "doc_id"), "node"))
     sent = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("doc_id")))
@@ -416,8 +413,107 @@ def near_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY, masks: Seq
     sets = cut(sets.select("node", "shingles").dropDuplicates(["node"]))
     pairs = links.join(sets.toDF("a", "_left"), "a").join(sets.toDF("b", "_right"), "b")
     pairs = pairs.withColumn("_same", F.size(F.array_intersect("_left", "_right"))).withColumn("_all", F.size("_left") + F.size("_right"))
-    alike = pairs.filter(F.col("_same") >= similarity * (F.col("_all") - F.col("_same"))).select("a", "b")
-    return rows.select("doc_id", "node"), components(alike)
+    return pairs.filter(F.col("_same") >= similarity * (F.col("_all") - F.col("_same"))).select("a", "b")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(ORDER_BUCKETS, dtype=np.int64)
+    for batch in batches:
+        texts = batch.column("text")
+        for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
+            shingles = np.concatenate(list(shingle_sets(texts.slice(lo, hi - lo))))
+            total += np.bincount((shingles & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64), minlength=ORDER_BUCKETS)
+    yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(ORDER_BUCKETS, dtype=np.int64)
+    for batch in batches:
+        for counts in batch.column("counts"):
+            total += np.frombuffer(counts.as_buffer(), dtype=np.int64)
+    yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def shingle_order(docs: DataFrame) -> np.ndarray:
+    """How common the shingles of each bucket are, counted in some of the texts. Any order of shingles finds the same pairs; one with the
+    common ones last finds them through few others."""
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(ORDER_TEXTS)) == 0).select("text")
+    parts = some.mapInArrow(_counted, "counts binary").repartition(4).mapInArrow(_added, "counts binary").collect()
+    return sum((np.frombuffer(r["counts"], dtype=np.int64) for r in parts), np.zeros(ORDER_BUCKETS, dtype=np.int64))
+
+
+def first_shingles(shingles: np.ndarray, order: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's shingles in the order: so many that any set as similar shares one of its own first ones."""
+    n = len(shingles)
+    keep = n - math.ceil(similarity * n - 1e-9) + 1
+    return shingles[np.lexsort((shingles, order[(shingles & np.uint64(len(order) - 1)).astype(np.int64)]))[:keep]]
+
+
+def _postings(sent, similarity: float):
+    """A worker's pass over the documents whose doc_id is in the filter sent, or null: their first shingles, and each one's place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom, order = sent.value
+        for batch in batches:
+            ids = batch.column("doc_id")
+            part = batch.filter(pa.array(bloom_has(bloom, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)))
+            texts = part.column("text")
+            for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
+                some = texts.slice(lo, hi - lo)
+                names = [int.from_bytes(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True) for t in some.to_pylist()]
+                sets = list(shingle_sets(some))
+                firsts = [first_shingles(s, order, similarity) if len(s) else np.zeros(1, np.uint64) for s in sets]  # empty sets meet at 0
+                many = [len(f) for f in firsts]
+                columns = {
+                    "token": pa.array(np.concatenate(firsts).view(np.int64), pa.int64()), "h": pa.array(np.repeat(np.array(names, np.int64), many), pa.int64()),
+                    "pos": pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in many]), pa.int32()), "n": pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), many), pa.int32()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def unjoined_pairs(docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: every pair of nodes of different ``roots(node, root)`` that can be as similar, by the first shingles that they share.
+
+    Two sets with similarity t have at least t / (1 + t) of their summed sizes in common, so they share one of their first shingles, and
+    from the first that they share on, enough must be left in both. Shingles that one root alone has are dropped before anything is paired.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((bloom_of(nodes.select("doc_id")), shingle_order(docs)))
+    short = lambda c: F.conv(F.substring(c, 1, 16), 16, -10).cast("long")
+
+    def shared(df: DataFrame, by: str) -> DataFrame:
+        all_of = Window.partitionBy("token")
+        return df.withColumn("_lo", F.min(by).over(all_of)).withColumn("_hi", F.max(by).over(all_of)).filter("_lo < _hi").drop("_lo", "_hi")
+
+    posted = shared(docs.mapInArrow(_postings(sent, similarity), "token long, h long, pos int, n int"), "h")
+    known = roots.select(short("node").alias("h"), short("root").alias("r"))
+    posted = cut(shared(posted.join(known, "h", "left").withColumn("r", F.coalesce("r", "h")), "r"))
+    groups = posted.groupBy("token", "r").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    long_enough = lambda hi, lo: F.col(hi) >= similarity * F.col(lo) - 1e-6
+    met = groups.toDF("token", "r", "lo", "hi").join(groups.toDF("token", "_r", "_lo", "_hi"), "token").filter((F.col("r") < F.col("_r")) & long_enough("hi", "_lo") & long_enough("_hi", "lo"))
+    pairs = met.select("token", "r", "_r").join(posted, ["token", "r"]).join(posted.toDF(*["token" if c == "token" else f"_{c}" for c in posted.columns]), ["token", "_r"])
+    left = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos"))
+    fit = long_enough("n", "_n") & long_enough("_n", "n") & (left >= similarity / (1 + similarity) * (F.col("n") + F.col("_n")) - 1e-6)
+    pairs = pairs.filter(fit).select("h", "_h").distinct()
+    named = nodes.select(short("node").alias("h"), "node")
+    return pairs.join(named.toDF("h", "a"), "h").join(named.toDF("_h", "b"), "_h").select("a", "b")
+
+
+def near_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY, masks: Sequence[Sequence[int]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, node`` of every row of ``docs(doc_id, text)`` (a node is an exact text, by its MD5) and ``node, root`` of nodes that
+    are linked by similarity of their shingle sets; texts without words have similarity 1 with each other.
+
+    Links of fingerprints join most of each group cheaply; then every other pair that can be as similar is verified, so none is lost."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = cut(docs.mapInArrow(_sketch, "doc_id long, node string, " + ", ".join(f"_f{w} long" for w in range(NEAR_WORDS))))
+    prints = [f"_f{w}" for w in range(NEAR_WORDS)]
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(p).alias(p) for p in prints])
+    nodes = cut(nodes)
+    links = cut(hamming_links(nodes.select("node", *prints), prints, NEAR_RADIUS, masks or sampled_masks(NEAR_TABLES, NEAR_SAMPLE, NEAR_WORDS), NEAR_CLOSEST))
+    alike = cut(verified(docs, nodes, links, similarity))
+    rest = cut(unjoined_pairs(docs, nodes, components(alike), similarity))
+    return rows.select("doc_id", "node"), components(alike.unionByName(verified(docs, nodes, rest, similarity)))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:

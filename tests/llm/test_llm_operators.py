@@ -349,6 +349,30 @@ def test_near_duplicates(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_near_duplicates_at_the_border(spark):
+    rng = random.Random(21)
+    new = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    rows = []
+    for i in range(400):  # 77 of 95 shingles in common, 0.81
+        words = new(90)
+        at = rng.randrange(4, 80)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:at] + new(5) + words[at + 5 :]))]
+    template = new(90)
+    for i in range(150):  # a template whose texts have 0.7 in common, each with a copy at 0.81
+        words = new(8) + template[8:82] + new(8)
+        at = rng.randrange(20, 70)
+        rows += [(1000 + 2 * i, " ".join(words)), (1001 + 2 * i, " ".join(words[:at] + new(5) + words[at + 5 :]))]
+    sets = list(simhash.shingle_sets(pa.array([t for _, t in rows])))
+    for i in (0, 400, 799, 850, 1000):
+        k = i - i % 2
+        both = len(np.intersect1d(sets[k], sets[k + 1]))
+        assert both >= 0.8 * (len(sets[k]) + len(sets[k + 1]) - both)
+    same = len(np.intersect1d(sets[800], sets[802]))
+    assert 0.6 * (2 * 86 - same) < same < 0.8 * (2 * 86 - same)
+    got = [r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()]
+    assert sorted(got) == [d for d, _ in rows if d % 2 == 0]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
