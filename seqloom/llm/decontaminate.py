@@ -4,7 +4,7 @@ Words are canonicalised: lower-cased and stripped of punctuation at their ends;
 sentence, or words that are all capitals) ``<name>``, units after a number ``<unit>``. Windows of 13 canonical words of the items and of every
 text are joined by hash. A hit is then laid out along its diagonal (text position minus item position): the item's longest run of
 consecutive windows there must be consistent in its slots, that is, equal fillers of the item stay equal in the text and different ones
-different. A verbatim passage trivially is; a passage whose every slot was refilled consistently is a re-parameterised question.
+different; of a run that isn't, the verbatim stretches that hold a window count. A verbatim passage trivially is; a passage whose every slot was refilled consistently is a re-parameterised question.
 Windows of slots mostly say nothing and don't count: half of a window's words at least must be literal.
 
 The index of item windows goes to the tasks in blocks of at most ``BLOCK_WINDOWS`` (a benchmark needs one); more blocks make more
@@ -112,6 +112,12 @@ def consistent(item_literal: np.ndarray, text_literal: np.ndarray, kind: np.ndar
     return True
 
 
+def stretches(holds: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """First and last place (not included) of the runs of ``least`` places or more that hold."""
+    edges = np.flatnonzero(np.diff(np.r_[False, holds, False].astype(np.int8)))
+    return [(lo, hi) for lo, hi in edges.reshape(-1, 2).tolist() if hi - lo >= least]
+
+
 class ItemIndex:
     """Sorted template windows of items, and the items' words for the check of the slots."""
 
@@ -124,7 +130,8 @@ class ItemIndex:
         self.filter[(self.h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def hits(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int, bool]]:
-        """Text number, item_id, first word in the text, first word in the item, words, verbatim: of each consistent run."""
+        """Text number, item_id, first word in the text, first word in the item, words, verbatim: of each consistent run, or else of the
+        verbatim stretches of a run."""
         doc, pos, h, literal, kind, first = template_windows(texts, self.window)
         some = np.flatnonzero(self.filter[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(self.h, h[some], "left"), np.searchsorted(self.h, h[some], "right")
@@ -141,9 +148,12 @@ class ItemIndex:
                 theirs = slice(first[d] + a + shift, first[d] + a + shift + n)
                 if not np.array_equal(self.kind[mine], kind[theirs]):
                     continue
-                verbatim = bool(np.array_equal(self.literal[mine], literal[theirs]))
-                if verbatim or consistent(self.literal[mine], literal[theirs], self.kind[mine]):
-                    yield d, int(self.ids[item]), a + shift, a, n, verbatim
+                same = self.literal[mine] == literal[theirs]
+                if same.all() or consistent(self.literal[mine], literal[theirs], self.kind[mine]):
+                    yield d, int(self.ids[item]), a + shift, a, n, bool(same.all())
+                    continue
+                for lo, hi in stretches(same, self.window):
+                    yield d, int(self.ids[item]), a + lo + shift, a + lo, hi - lo, True
 
 
 def _find(index):

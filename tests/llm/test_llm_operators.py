@@ -298,6 +298,18 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame(spark, rows), items.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_passages(spark):
+    rng = random.Random(4)
+    a, b, c = (sentence(rng, 20) for _ in range(3))
+    item = f"{a} on Monday {b} on Monday {c}"
+    edited = f"{a} on Monday {b} on Tuesday {c}"
+    rows = [(1, "so " + edited), (2, edited.replace("Tuesday", "Friday")), (3, f"{a} on Tuesday {b} on Tuesday {c}"), (4, " ".join(a.split()[-5:]) + " on Monday and " + c[:20])]
+    items = spark.createDataFrame([(10, item)], "item_id long, text string")
+    got = {(r.doc_id, r.doc_word, r.item_word, r.n_words, r.verbatim) for r in decontaminate.find_leaks(frame(spark, rows), items).collect()}
+    assert got == {(1, 1, 0, 43, True), (1, 45, 44, 20, True), (2, 0, 0, 43, True), (2, 44, 44, 20, True), (3, 0, 0, 64, False)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(frame(spark, rows), items).collect()} == {4}
+
+
 def test_shares():
     assert mixing.share_out(90, [1, 1, 1], [10, 100, 100]) == [10, 40, 40]
     budgets = mixing.leaf_budgets({("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 5}, {}, 60, 1)
