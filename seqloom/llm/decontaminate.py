@@ -4,8 +4,9 @@ Words are canonicalised: lower-cased and stripped of punctuation at their ends;
 sentence, or words that are all capitals) ``<name>``, units after a number ``<unit>``. Windows of 13 canonical words of the items and of every
 text are joined by hash. A hit is then laid out along its diagonal (text position minus item position): the item's longest run of
 consecutive windows there must be consistent in its slots, that is, equal fillers of the item stay equal in the text and different ones
-different; of a run that isn't, the verbatim stretches that hold a window count. A verbatim passage trivially is; a passage whose every slot was refilled consistently is a re-parameterised question.
-Windows of slots mostly say nothing and don't count: half of a window's words at least must be literal.
+different; of a run that isn't, only its verbatim windows count. A passage whose every slot was refilled consistently is a re-parameterised question.
+Template windows of slots mostly say nothing and don't count: half of a window's words at least must be literal. Beside them all windows
+are joined as they read in lower case, whatever their words are, so a verbatim passage is found in any letter case.
 
 The index of item windows goes to the tasks in blocks of at most ``BLOCK_WINDOWS`` (a benchmark needs one); more blocks make more
 passes over the texts. Texts are never shuffled for the join, only their hits.
@@ -21,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, batch_slices, table, text_buffer, text_or_empty, windows, word_hashes, words_of
+from ._common import batch_slices, table, text_buffer, text_or_empty, windows, word_hashes, words_of
 
 WINDOW = 13
 LEAST_LITERALS = 7
@@ -42,16 +43,38 @@ _NUM, _NAME, _UNIT = (np.uint64(x) for x in (11, 12, 13))
 LITERAL, NUM, NAME, UNIT = range(4)
 
 
-def canonical(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical hash, literal hash and kind of each word."""
-    n = len(starts)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+def _trimmed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = starts.copy(), ends.copy()
     for _ in range(3):  # up to three marks at either end
         lo += (hi - lo > 1) & _TRIM[raw[lo]]
         hi -= (hi - lo > 1) & _TRIM[raw[hi - 1]]
-    literal = word_hashes(LOWER[raw], lo, hi)
+    return lo, hi
+
+
+def lower_case(texts: pa.Array) -> pa.Array:
+    """Texts in lower case, also beyond ASCII; a sharp s is ss, as it is in capitals. The words stay as many."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.fill_null("")
+    try:
+        return pa.compute.replace_substring(pa.compute.utf8_lower(texts), "ß", "ss")
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        return pa.array([t.decode("utf-8", "replace").lower().replace("ß", "ss") for t in texts.cast(pa.binary()).to_pylist()], pa.string())
+
+
+def literals(texts: pa.Array) -> np.ndarray:
+    """Literal hash of each word: lower-cased, without marks at its ends."""
+    raw, at = text_buffer(lower_case(texts))
+    starts, ends, _ = words_of(raw, at)
+    return word_hashes(raw, *_trimmed(raw, starts, ends))
+
+
+def canonical(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Canonical hash and kind of each word."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    lo, hi = _trimmed(raw, starts, ends)
     digits = np.r_[0, np.cumsum(_DIGIT[raw])]
     capitals = np.r_[0, np.cumsum(_UPPER[raw])]
     n_digits, n_capitals = digits[hi] - digits[lo], capitals[hi] - capitals[lo]
@@ -67,7 +90,7 @@ def canonical(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.n
     out = literal.copy()
     for k, h in ((NUM, _NUM), (NAME, _NAME), (UNIT, _UNIT)):
         out[kind == k] = h
-    return out, literal, kind
+    return out, kind
 
 
 def _newline_between(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -86,20 +109,22 @@ def _unit_hashes() -> np.ndarray:
     return _UNIT_HASHES[0]
 
 
-def template_windows(texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Of all windows that count: text number, start (word number within the text), template hash; then literal and slot hashes of all
-    words and the first word of each text."""
+def text_windows(texts: pa.Array, window: int = WINDOW) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """Of the template windows that count, then of all windows as they read: text number, start (word number within the text), hash; after
+    these, literal hashes and kinds of all words and the first word of each text."""
     raw, at = text_buffer(texts)
     starts, ends, first = words_of(raw, at)
-    canon, literal, kind = canonical(raw, starts, ends, first)
-    hashes = windows(canon, window)
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))[: len(hashes)]
-    literals = np.r_[0, np.cumsum(kind == LITERAL)]
-    fit = np.zeros(0, bool)
-    if len(hashes):
-        fit = (np.arange(len(hashes)) + window <= first[1:][doc]) & (literals[window:] - literals[: len(hashes)] >= LEAST_LITERALS)
-    where = np.flatnonzero(fit)
-    return doc[where], where - first[doc[where]], hashes[where], literal, kind, first
+    literal = literals(texts)
+    canon, kind = canonical(raw, starts, ends, first, literal)
+    doc = np.repeat(np.arange(len(texts)), np.diff(first))[: max(len(canon) - window + 1, 0)]
+    whole = np.arange(len(doc)) + window <= first[1:][doc] if len(doc) else np.zeros(0, bool)
+    n_literals = np.r_[0, np.cumsum(kind == LITERAL)]
+    counts = whole & (n_literals[window : window + len(doc)] - n_literals[: len(doc)] >= LEAST_LITERALS)
+    found = []
+    for words, fit in ((canon, counts), (literal, whole)):
+        where = np.flatnonzero(fit)
+        found.append((doc[where], where - first[doc[where]], windows(words, window)[where]))
+    return found, literal, kind, first
 
 
 def consistent(item_literal: np.ndarray, text_literal: np.ndarray, kind: np.ndarray) -> bool:
@@ -112,48 +137,58 @@ def consistent(item_literal: np.ndarray, text_literal: np.ndarray, kind: np.ndar
     return True
 
 
-def stretches(holds: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """First and last place (not included) of the runs of ``least`` places or more that hold."""
-    edges = np.flatnonzero(np.diff(np.r_[False, holds, False].astype(np.int8)))
-    return [(lo, hi) for lo, hi in edges.reshape(-1, 2).tolist() if hi - lo >= least]
-
-
-class ItemIndex:
-    """Sorted template windows of items, and the items' words for the check of the slots."""
+class WindowIndex:
+    """Sorted windows of items."""
 
-    def __init__(self, ids: list[int], texts: list[str], window: int = WINDOW):
-        self.ids, self.window = np.asarray(ids, dtype=np.int64), window
-        item, pos, h, self.literal, self.kind, self.first = template_windows(pa.array(texts, pa.string()), window)
-        order = np.lexsort((pos, item, h))
+    def __init__(self, item: np.ndarray, pos: np.ndarray, h: np.ndarray, window: int):
+        self.window, order = window, np.lexsort((pos, item, h))
         self.h, self.item, self.pos = h[order], item[order], pos[order]
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def hits(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int, bool]]:
-        """Text number, item_id, first word in the text, first word in the item, words, verbatim: of each consistent run, or else of the
-        verbatim stretches of a run."""
-        doc, pos, h, literal, kind, first = template_windows(texts, self.window)
+    def runs(self, doc: np.ndarray, pos: np.ndarray, h: np.ndarray) -> Iterator[tuple[tuple[int, int, int], int, int]]:
+        """Of each run of windows along a diagonal: (text, item, shift), first word in the item, words."""
         some = np.flatnonzero(self.filter[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(self.h, h[some], "left"), np.searchsorted(self.h, h[some], "right")
-        runs: dict[tuple[int, int, int], list[int]] = {}
+        diagonals: dict[tuple[int, int, int], list[int]] = {}
         for i in np.flatnonzero(hi > lo).tolist():
             w = some[i]
             for j in range(lo[i], hi[i]):
-                runs.setdefault((int(doc[w]), int(self.item[j]), int(pos[w] - self.pos[j])), []).append(int(self.pos[j]))
-        for (d, item, shift), places in runs.items():
+                diagonals.setdefault((int(doc[w]), int(self.item[j]), int(pos[w] - self.pos[j])), []).append(int(self.pos[j]))
+        for diagonal, places in diagonals.items():
             at = np.unique(places)
             for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                a, n = int(run[0]), int(run[-1] - run[0]) + self.window
-                mine = slice(self.first[item] + a, self.first[item] + a + n)
-                theirs = slice(first[d] + a + shift, first[d] + a + shift + n)
-                if not np.array_equal(self.kind[mine], kind[theirs]):
-                    continue
-                same = self.literal[mine] == literal[theirs]
-                if same.all() or consistent(self.literal[mine], literal[theirs], self.kind[mine]):
-                    yield d, int(self.ids[item]), a + shift, a, n, bool(same.all())
-                    continue
-                for lo, hi in stretches(same, self.window):
-                    yield d, int(self.ids[item]), a + lo + shift, a + lo, hi - lo, True
+                yield diagonal, int(run[0]), int(run[-1] - run[0]) + self.window
+
+
+class ItemIndex:
+    """Windows of items, as templates and as they read, and the items' words for the check of the slots."""
+
+    def __init__(self, ids: list[int], texts: list[str], window: int = WINDOW):
+        self.ids, self.window = np.asarray(ids, dtype=np.int64), window
+        found, self.literal, self.kind, self.first = text_windows(pa.array(texts, pa.string()), window)
+        self.templates, self.verbatim = (WindowIndex(*f, window) for f in found)
+
+    def hits(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int, bool]]:
+        """Text number, item_id, first word in the text, first word in the item, words, verbatim: of each verbatim or consistent run; runs
+        inside another of their diagonal don't count."""
+        (templates, verbatim), literal, kind, first = text_windows(texts, self.window)
+        runs: dict[tuple[int, int, int], list[tuple[int, int, bool]]] = {}
+        for (d, item, shift), a, n in self.verbatim.runs(*verbatim):
+            mine, theirs = self.first[item] + a, first[d] + a + shift
+            if np.array_equal(self.literal[mine : mine + n], literal[theirs : theirs + n]):
+                runs.setdefault((d, item, shift), []).append((a, a + n, True))
+        for (d, item, shift), a, n in self.templates.runs(*templates):
+            mine = slice(self.first[item] + a, self.first[item] + a + n)
+            theirs = slice(first[d] + a + shift, first[d] + a + shift + n)
+            if np.array_equal(self.kind[mine], kind[theirs]) and consistent(self.literal[mine], literal[theirs], self.kind[mine]):
+                runs.setdefault((d, item, shift), []).append((a, a + n, False))
+        for (d, item, shift), found in runs.items():
+            end = -1
+            for a, b, same in sorted(found, key=lambda r: (r[0], -r[1], not r[2])):
+                if b > end:
+                    yield d, int(self.ids[item]), a + shift, a, b - a, same
+                    end = b
 
 
 def _find(index):

@@ -310,6 +310,19 @@ def test_decontamination_of_edited_passages(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(frame(spark, rows), items).collect()} == {4}
 
 
+def test_decontamination_of_slots_and_letter_case(spark):
+    prose = "am Montag fährt Jürgen über die Straße nach Köln und kauft dort Äpfel für seine Tante Änne aus Österreich"
+    title = "The Old Man And The Sea By The River Of The Long Lost Northern Kingdom Of Snow"
+    names = "Alice, Bob, Carol, Dave, Erin, Frank, Grace, Heidi, Ivan, Judy, Mallory, Niaj, Olivia, Peggy"
+    sums = "3 + 4 = 7 ; 12 * 5 = 60 ; 90 - 41 = 49 ; 8 / 2 = 4"
+    items = list(enumerate([prose, title, names, sums]))
+    copies = {(10 * i + k, i): c for i, t in items for k, c in enumerate((t, t.upper(), t.lower(), f"before that {t.upper()} and after"))}
+    rows = [(d, t) for (d, _), t in copies.items()] + [(98, " ".join(reversed(names.split())))]
+    leaks = decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in leaks if r.verbatim} == set(copies) == {(r.doc_id, r.item_id) for r in leaks}
+    assert {r.n_words for r in leaks if r.item_id == 0} == {len(prose.split())}
+
+
 def test_shares():
     assert mixing.share_out(90, [1, 1, 1], [10, 100, 100]) == [10, 40, 40]
     budgets = mixing.leaf_budgets({("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 5}, {}, 60, 1)
