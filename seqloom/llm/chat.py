@@ -5,9 +5,9 @@ prefix. Where a prefix's output begins with the output before it, the rest is th
 template rewrites history, which is reported with the turn at which it first did. Two probes of one letter in
 place of the text show where the text stands inside its span, which gives the loss mask of assistant turns.
 
-Conversations stream through a task turn by turn in sorted order. Prefixes restart every ``CHUNK`` turns from the turn before, so
-memory and work per turn stay bounded however long a conversation is; only templates that look back further than that
-would need a larger CHUNK.
+Conversations stream through a task turn by turn in sorted order. Prefixes are whole, unless a template states how many turns it looks
+back (``look_back``, 0 if a turn's output needs no other turn): then they restart every ``CHUNK`` turns from the turns that it can
+see, so memory and work per turn stay bounded however long a conversation is.
 """
 
 from __future__ import annotations
@@ -48,6 +48,9 @@ def marked_turns(turns: list[Turn]) -> str:
     return "".join(f"{MARK} {escape(role).replace(':', '\\c')}: {escape(text)}{END}\n" for role, text in turns)
 
 
+marked_turns.look_back = 0
+
+
 def read_back(output: str) -> list[Turn]:
     """The turns of an output of ``marked_turns``."""
     turns = []
@@ -68,12 +71,15 @@ class Piece:
 
 
 def render_incrementally(turns: Iterable[Turn], template: Template = marked_turns, chunk: int = CHUNK) -> Iterator[Piece]:
-    """A piece for each turn; the outputs joined are the rendering, unless a piece says that history was rewritten."""
+    """A piece for each turn; the outputs joined are the rendering, unless a piece says that history was rewritten.
+
+    ``chunk`` only bounds the prefixes of a template with a ``look_back``, which neither reads nor rewrites turns before those."""
+    look_back = getattr(template, "look_back", None)
     prefix: list[Turn] = []
     before = ""
     for role, text in turns:
-        if len(prefix) > chunk:
-            prefix = prefix[-1:]
+        if look_back is not None and len(prefix) > max(chunk, look_back):
+            prefix = prefix[-max(look_back, 1) :]
             before = template(prefix)
         now = template([*prefix, (role, text)])
         a, b = template([*prefix, (role, "a")]), template([*prefix, (role, "b")])

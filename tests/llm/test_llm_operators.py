@@ -146,6 +146,22 @@ def test_chat(spark):
     assert [p.rewrote for p in chat.render_incrementally([("u", "a"), ("u", "b")], rewriting)] == [False, True]
 
 
+def test_chat_renders_whole_prefixes():
+    turns = [("u" if i % 2 else "assistant", f"t{i}") for i in range(80)]
+    numbered = lambda turns: "".join(f"{i}:{'first' if not i else role}:{t}\n" for i, (role, t) in enumerate(turns))
+    assert "".join(p.output for p in chat.render_incrementally(turns, numbered)) == numbered(turns)
+    dropping = lambda turns: "".join(f"[{t}]" for i, (_, t) in enumerate(turns) if i or len(turns) <= 50)
+    assert [i for i, p in enumerate(chat.render_incrementally(turns, dropping)) if p.rewrote] == [50]
+    seen = []
+
+    def pairs(turns):
+        seen.append(len(turns))
+        return "".join(f"[{a[1]}>{b[1]}]" for a, b in zip([("", ""), *turns], turns, strict=False))
+
+    pairs.look_back = 1
+    assert "".join(p.output for p in chat.render_incrementally(turns, pairs)) == pairs(turns) and max(seen[:-1]) <= chat.CHUNK + 1
+
+
 def contract_print(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", lower)
