@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -41,17 +42,22 @@ def least_correlation(clustered: DataFrame, vector: str) -> float:
     return float(row[0]) if row[0] is not None else 1.0
 
 
-def optimal_clusters(df: DataFrame, key: str, vector: str, least: float = 0.3, most: int = 128, seed: int = 1) -> DataFrame:
+def optimal_clusters(df: DataFrame, key: str, vector: str, least: float = 0.3, most: int | None = None, seed: int = 1) -> DataFrame:
     """The fewest clusters, among doublings and then halvings of the step, in which every row correlates with its centre.
 
-    Each trial is one distributed fit over the persisted vectors; there are log(most) + 3 trials at most.
+    Each trial is one distributed fit over the persisted vectors; there are log(most) + 3 trials at most (``most``: the number of rows, or
+    fewer). If even so many clusters don't do, a warning says so.
     """
     df = df.select(key, vector).persist()
+    most = df.count() if most is None else most
     low, k = 1, 2
     best = clusters(df, key, vector, k, seed)
     while least_correlation(best, vector) < least and k < most:
         low, k = k, min(2 * k, most)
         best = clusters(df, key, vector, k, seed)
+    if least_correlation(best, vector) < least:
+        warnings.warn(f"with {k} clusters some rows still correlate with their centre below {least}", stacklevel=2)
+        return best
     high = k
     while high - low > max(1, high // 4):
         middle = (low + high) // 2
@@ -156,34 +162,39 @@ def eliminate(df: DataFrame, vector: str, label: str, keep: int, step: int = 16)
     return dims
 
 
-def applicability(df: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 5, percentile: float = 95.0, most: int = 2000) -> DataFrame:
-    """``key, distance, ood``: mean distance to the k nearest rows of a reference sample of at most ``most`` rows (by hash), after scaling by
-    its means and deviations, and whether it exceeds the sample's own percentile."""
-    rows = reference.orderBy(F.xxhash64(key), key).limit(most).select(key, vector).collect()
-    ids, x = np.array([r[key] for r in rows]), np.array([r[vector] for r in rows], dtype=float)
-    mean, std = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-    z = (x - mean) / std
-
-    def nearest(q: np.ndarray, own: np.ndarray) -> np.ndarray:
-        d = np.sqrt(np.maximum((q**2).sum(1)[:, None] - 2 * q @ z.T + (z**2).sum(1), 0))
-        d[own[:, None] == ids[None, :]] = np.inf
-        return np.sort(d, axis=1)[:, :k].mean(axis=1)
-
-    threshold = float(np.percentile(nearest(z, ids), percentile))
-    sent = df.sparkSession.sparkContext.broadcast((z, ids))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z, ids = sent.value
-        for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo : lo + 512]
-                q = (np.array(part[vector].tolist(), dtype=float) - mean) / std
+def applicability(df: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 5, percentile: float = 95.0, block: int = 1024) -> DataFrame:
+    """``key, distance, ood``: mean distance to the k nearest other reference rows (fewer if there are no more), after scaling by the means and
+    deviations of all reference rows, and its ratio to the percentile of the reference rows' own (no number if that is 0).
+
+    Blocks of ``block`` rows meet block by block; each meeting hands on k distances a row."""
+    scale = reference.select(F.posexplode(F.transform(vector, lambda v: v.cast("double"))).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("d").collect()
+    mean, std = np.array([r["m"] for r in scale]), np.array([r["s"] if r["s"] > 0 else 1.0 for r in scale])
+    n = reference.count()
+    k = max(1, min(k, n - 1))
+
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        rows = rows.select(F.struct(F.col(key).alias("k"), F.transform(vector, lambda v: v.cast("double")).alias("v")).alias("r"), F.pmod(F.xxhash64(key), F.lit(max(1, -(-size // block)))).alias("b"))
+        return rows.groupBy("b").agg(F.collect_list("r").alias("r")).select(F.col("r.k").alias(f"{name}k"), F.col("r.v").alias(f"{name}v"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, theirs = batch.column("qk")[i].values, batch.column("rk")[i].values
+                q, z = ((batch.column(c)[i].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(mean)) - mean) / std for c in ("qv", "rv"))
                 d = np.sqrt(np.maximum((q**2).sum(1)[:, None] - 2 * q @ z.T + (z**2).sum(1), 0))
-                d[part[key].to_numpy()[:, None] == ids[None, :]] = np.inf
-                m = np.sort(d, axis=1)[:, :k].mean(axis=1)
-                yield pd.DataFrame({key: part[key].to_numpy(), "distance": m, "ood": m / threshold})
+                d[ids.to_numpy(zero_copy_only=False)[:, None] == theirs.to_numpy(zero_copy_only=False)[None, :]] = np.inf
+                top = np.sort(d, axis=1)[:, :k].tolist()
+                yield pa.RecordBatch.from_pydict({key: ids, "top": pa.array([[x for x in row if x < np.inf] for row in top], pa.list_(pa.float64()))})
+
+    known = blocks(reference, n, "r")
+
+    def nearest(rows: DataFrame, size: int) -> DataFrame:
+        met = blocks(rows, size, "q").crossJoin(known).mapInArrow(meet, f"{key} {dict(df.dtypes)[key]}, top array<double>")
+        top = met.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+        return top.select(key, (F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("top"), F.lit(0))).alias("distance"))
 
-    return df.select(key, vector).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, distance double, ood double")
+    threshold = nearest(reference, n).agg(F.percentile("distance", F.lit(percentile / 100))).first()[0]
+    return nearest(df, df.count()).withColumn("ood", F.col("distance") / threshold if threshold else F.lit(float("nan")))
 
 
 def swap_scales(features: Sequence[tuple[str, float]], scales: Mapping[str, Sequence[float]], grade: Mapping[str, int], least: float = 0.7) -> dict[str, str]:

@@ -19,7 +19,7 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query("aaclust_fit")
 def aaclust_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters in which every vector correlates with its centre."""
-    return M.optimal_clusters(_vectors(spark, sf), "vec_id", "embedding", 0.3, 64).select("vec_id", "cluster")
+    return M.optimal_clusters(_vectors(spark, sf), "vec_id", "embedding", 0.3).select("vec_id", "cluster")
 
 
 @query("pu_pca")

@@ -33,6 +33,26 @@ def test_models(spark):
     assert far.filter("k >= 30").agg(F.min("ood")).first()[0] > far.filter("k < 30").agg(F.avg("ood")).first()[0]
 
 
+def test_applicability_of_all_reference_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2600, 3)) * [1, 5, 0.1] + rng.integers(0, 4, (2600, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    z = (x - x[:2500].mean(0)) / x[:2500].std(0)
+    d = np.sqrt(((z[:, None] - z[None, :2500]) ** 2).sum(2))
+    d[np.arange(2500), np.arange(2500)] = np.inf
+    want = np.sort(d, axis=1)[:, :5].mean(1)
+    got = M.applicability(df, df.filter("k < 2500"), "k", "v").orderBy("k").collect()
+    assert np.allclose([r["distance"] for r in got], want, atol=1e-5)
+    assert np.allclose([r["ood"] for r in got], want / np.percentile(want[:2500], 95), atol=1e-4)
+
+
+def test_clusters_double_until_all_correlate(spark):
+    x = np.random.default_rng(5).normal(size=(300, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    got = M.optimal_clusters(df, "k", "v", 0.6)
+    assert M.least_correlation(got, "v") >= 0.6 and got.select("cluster").distinct().count() > 128
+
+
 def test_correlations_and_scaling(spark):
     x, df = vectors(spark)
     cor = np.corrcoef(x.T)
