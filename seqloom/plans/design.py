@@ -216,4 +216,4 @@ def evolve_variants(spark: SparkSession, sf: str) -> DataFrame:
 
     wild = load(spark, sf, "benchmark").select(canonical_sequence(F.coalesce("text", F.lit(""))).alias("s"), "item_id").orderBy(F.desc(F.length("s")), "item_id").first()["s"]
     mean = lambda v: lambda s: sum(v[LETTERS.index(a)] for a in s) / max(len(s), 1)
-    return M.front_table(spark, M.evolve(wild, range(1, min(len(wild), 40) + 1), [mean(scale_values(0)), mean(scale_values(1))]))
+    return M.front_table(spark, M.evolve(wild, range(1, len(wild) + 1), [mean(scale_values(0)), mean(scale_values(1))]))

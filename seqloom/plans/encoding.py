@@ -194,5 +194,5 @@ def column_correlations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("prune_correlation")
 def prune_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    kept = S.greedy_correlation(S.column_correlations(load(spark, sf, "embeddings").select("embedding"), "embedding", 32), 32, 0.05)
+    kept = S.greedy_correlation(S.column_correlations(load(spark, sf, "embeddings").select("embedding"), "embedding", DIMS), DIMS, 0.05)
     return spark.createDataFrame([(k,) for k in kept], "dim int")

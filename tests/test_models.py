@@ -61,6 +61,20 @@ def test_correlations_and_scaling(spark):
     assert np.allclose(scaled, (x - x.min(0)) / (x.max(0) - x.min(0)))
 
 
+def test_queries_take_all_dimensions_and_positions(spark, tmp_path):
+    from seqloom.plans import design, encoding
+
+    h = np.ones((1, 1))
+    while len(h) < encoding.DIMS:
+        h = np.block([[h, h], [h, -h]])
+    h[:, 63] = h[:, 62]
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(h)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [r["dim"] for r in encoding.prune_correlation(spark, str(tmp_path)).collect()] == list(range(63))
+    wild = "ACDEFGHIKLMNPQRSTVWY" * 4
+    spark.createDataFrame([(1, wild)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert any(r["sequence"][40:] != wild[40:] for r in design.evolve_variants(spark, str(tmp_path)).collect())
+
+
 def test_swap_and_choice(spark):
     scales = {"a": [1, 2, 3], "b": [2, 4, 6], "c": [3, 1, 2]}
     assert M.swap_scales([("T-S-b", 0), ("T-S-c", 0)], scales, {"a": 0, "b": 1, "c": 2}) == {"T-S-b": "a", "T-S-c": "c"}
