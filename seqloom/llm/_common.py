@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,14 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, with underscores in front of it until no column is called so (letter case doesn't count)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -166,6 +174,11 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
 BLOOM_BITS = 1 << 26
 
 
+def bloom_bits(n: int) -> int:
+    """16 bits an id, from 1 MB to 32 MB; a filter of more ids lets more rows pass, which the join after it sorts out."""
+    return 1 << min(max(16 * n, 1 << 23).bit_length(), 28)
+
+
 def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
     x = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     return np.concatenate([x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)

@@ -13,7 +13,6 @@ holds a hot bucket. A tile returns a spanning forest of its links, not all pairs
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
@@ -21,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_slices, bloom_has, bloom_of, cut, mix, parallelism, table, text_buffer, text_or_empty, windows, word_hashes, words_of
+from ._common import batch_slices, bloom_bits, bloom_has, bloom_of, cut, free_name, mix, parallelism, table, text_buffer, text_or_empty, windows, word_hashes, words_of
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -35,14 +34,14 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 #: Near-duplicates of the pipeline: word shingles of five, Jaccard 0.8 or more.
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
-#: 128 bits; at similarity 0.8 a link differs in 19.4 bits on average, with a deviation of 4.1.
-NEAR_WORDS, NEAR_RADIUS = 2, 34
-#: Tables of so many sampled bits. At similarity 0.8 a table misses a link with probability 1 - 0.848 ** 14 = 0.9.
-NEAR_TABLES, NEAR_SAMPLE = 40, 14
-#: Closest rows of each row that are verified beside the spanning forest of a bucket, as a link of the forest may turn out too weak.
-NEAR_CLOSEST = 2
-#: Shingles are ordered by how common their bucket is in one of so many texts.
-ORDER_BUCKETS, ORDER_TEXTS = 1 << 18, 16
+#: 128 bits; at similarity 0.8 a link differs in 19.4 bits on average, with a deviation of 4.1: one in 400,000 is beyond the radius.
+NEAR_WORDS, NEAR_RADIUS = 2, 38
+#: Bands of so many min-wise shingles; at similarity 0.8 two texts share none of them with probability (1 - 0.8 ** 2) ** 12 = 5e-6.
+NEAR_BANDS, NEAR_ROWS = 12, 2
+#: Shingles of a part of a group whose pairs are verified in one task (each text counts ``VERIFY_LEAST`` at least).
+VERIFY_SHINGLES, VERIFY_LEAST = 1 << 19, 64
+#: Most hot buckets or groups that are sent to the tasks; with more they are joined.
+MOST_HOT = 1 << 17
 
 
 # Bit planes
@@ -169,40 +168,24 @@ def block_links(prints: np.ndarray, radius: int, step: int = 64) -> Iterator[tup
                 yield int(i), _lanes(near[row])
 
 
-def forest_of_bucket(prints: np.ndarray, radius: int, closest: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one larger bucket, each row joined to its closest row of each part it links to; and of each row
-    the ``closest`` later rows."""
+def forest_of_bucket(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of one larger bucket."""
     label = np.arange(len(prints))
     out = []
     for i, others in block_links(prints, radius):
-        if closest:
-            order = np.argsort(distances(prints, np.full(len(others), i), others), kind="stable")
-            out += [(i, int(o)) for o in others[order[:closest]]]
         labels = label[others]
         new = labels != label[i]
         if not new.any():
             continue
-        others, labels = others[new], labels[new]
-        order = np.argsort(distances(prints, np.full(len(others), i), others), kind="stable")
-        _, first = np.unique(labels[order], return_index=True)
-        chosen = order[first]
-        out += [(i, int(others[c])) for c in chosen]
-        joined = np.append(labels[chosen], label[i])
+        labels, first = np.unique(labels[new], return_index=True)
+        out += [(i, int(c)) for c in others[new][first]]
+        joined = np.append(labels, label[i])
         label[np.isin(label, joined)] = joined.min()
     return out
 
 
-def _closest(i: np.ndarray, j: np.ndarray, far: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Of each row, on either side of a link, the ``most`` links of least distance."""
-    row, link = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
-    order = np.lexsort((link, far[link], row))
-    row, link = row[order], link[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    return [(int(i[k]), int(j[k])) for k in np.unique(link[place < most])]
-
-
-def forest_of_chunk(prints: np.ndarray, group: np.ndarray, radius: int, closest: int = 0) -> list[tuple[int, int]]:
-    """Spanning forests of all buckets of a chunk of rows sorted by bucket, and the closest links of each row."""
+def forest_of_chunk(prints: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Spanning forests of all buckets of a chunk of rows sorted by bucket."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     size = np.repeat(sizes, sizes)
@@ -210,14 +193,10 @@ def forest_of_chunk(prints: np.ndarray, group: np.ndarray, radius: int, closest:
     few = np.flatnonzero((size > 1) & (size <= SMALL))
     if len(few):
         i, j = small_links(prints[few], group[few], radius)
-        i, j = few[i], few[j]
         forest = Forest(len(group))
-        far = distances(prints, i, j)
-        order = np.argsort(far, kind="stable")
-        out += [(a, b) for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True) if forest.join(a, b)]
-        out += _closest(i, j, far, closest) if closest else []
+        out += [(a, b) for a, b in zip(few[i].tolist(), few[j].tolist(), strict=True) if forest.join(a, b)]
     for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        out += [(s + a, s + b) for a, b in forest_of_bucket(prints[s : s + n], radius, closest)]
+        out += [(s + a, s + b) for a, b in forest_of_bucket(prints[s : s + n], radius)]
     return out
 
 
@@ -231,31 +210,17 @@ def pigeonhole_masks(bits: int = BITS, radius: int = RADIUS) -> list[list[int]]:
     return [[(x | y) >> s & int(_ALL) for s in range(0, bits, 64)] for x, y in combinations(parts, 2)]
 
 
-def sampled_masks(tables: int, sample: int, words: int, seed: int = 1) -> list[list[int]]:
-    """Masks of ``sample`` bits each; the bits are dealt from shuffled decks, so all are used about as often."""
-    rng = np.random.default_rng(seed)
-    out, deck = [], []
-    for _ in range(tables):
-        bits: set[int] = set()
-        while len(bits) < sample:
-            deck = deck or rng.permutation(64 * words).tolist()
-            bits.add(deck.pop())
-        whole = sum(1 << b for b in bits)
-        out.append([whole >> s & int(_ALL) for s in range(0, 64 * words, 64)])
-    return out
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(columns: Sequence[str], radius: int, node_type: pa.DataType, closest: int):
+def _forest(columns: Sequence[str], radius: int, node_type: pa.DataType):
     schema = pa.schema([("a", node_type), ("b", node_type)])
 
     def links(whole: pa.Table) -> pa.RecordBatch:
         prints = np.stack([whole.column(c).to_numpy().view(np.uint64) for c in columns], axis=1)
         group = np.cumsum(np.any([np.r_[False, (x := whole.column(c).to_numpy())[1:] != x[:-1]] for c in ("_key", "_i", "_j")], axis=0))
-        found = forest_of_chunk(prints, group, radius, closest)
+        found = forest_of_chunk(prints, group, radius)
         nodes = whole.column("node")
         a, b = (nodes.take(pa.array([f[side] for f in found], pa.int64())).combine_chunks() for side in (0, 1))
         return pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else (pa.array([], node_type) if isinstance(x, pa.ChunkedArray) else x) for x in (a, b)], schema=schema)
@@ -278,24 +243,35 @@ def _forest(columns: Sequence[str], radius: int, node_type: pa.DataType, closest
     return run
 
 
-def hamming_links(prints: DataFrame, columns: Sequence[str], radius: int, masks: Sequence[Sequence[int]], closest: int = 0) -> DataFrame:
-    """Links ``a, b`` between the nodes of ``prints(node, *columns)`` within ``radius`` that agree under one mask: for each bucket a
-    spanning forest, and the ``closest`` links of each row. Nodes must be distinct; buckets are read in an order of their own, fixed
-    so that tasks run again give the same links, and different so that ties are not broken alike in all of them."""
-    spark = prints.sparkSession
-    key = lambda t, mask: F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m)).cast("long")) for c, m in zip(columns, mask, strict=True)])
-    keyed = prints.withColumn("_key", F.explode(F.array(*[key(t, m) for t, m in enumerate(masks)])))
-    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    parts = F.ceil(F.col("_n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
-    tiles = (
-        keyed.join(sizes, "_key").withColumn("_parts", parts).withColumn("_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select("node", *columns, "_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    )
+def with_parts(df: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """``df`` with ``_parts``: that of its key in ``sizes(_of, _parts)``, which names the hot keys only, else 1. Hot keys are few, so they go
+    to the tasks and no row is moved to learn that its key isn't hot."""
+    sizes = cut(sizes)
+    few = F.broadcast(sizes) if sizes.count() <= MOST_HOT else sizes
+    return df.join(few, F.col(key) == F.col("_of"), "left").drop("_of").withColumn("_parts", F.coalesce(F.col("_parts").cast("int"), F.lit(1)))
+
+
+def in_tiles(df: DataFrame, key: str, node: str = "node") -> DataFrame:
+    """Rows with ``_own``, the part of each by a hash of its node, copied to all tiles ``_i <= _j`` of two parts of its key."""
+    dealt = df.withColumn("_own", F.pmod(F.xxhash64(F.lit(7), node), F.col("_parts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_other", "_parts")
+    return dealt.repartition(parallelism(df.sparkSession), key, "_i", "_j").sortWithinPartitions(key, "_i", "_j", node)
+
+
+def mask_keys(columns: Sequence[str], masks: Sequence[Sequence[int]]) -> list[Column]:
+    """A bucket for each mask: what the fingerprint has under it."""
+    return [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m)).cast("long")) for c, m in zip(columns, mask, strict=True)]) for t, mask in enumerate(masks)]
+
+
+def hamming_links(prints: DataFrame, columns: Sequence[str], radius: int, keys: Sequence[Column]) -> DataFrame:
+    """Links ``a, b`` between the nodes of ``prints(node, *columns)`` within ``radius`` that have one of the bucket ``keys`` in common: a
+    spanning forest of each bucket, or of each tile of a hot one. Nodes must be distinct; buckets are read in the order of their nodes,
+    so tasks run again give the same links."""
+    keyed = prints.select("node", *columns, F.explode(F.array(*keys)).alias("_key"))
+    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TILE)
+    dealt = in_tiles(with_parts(keyed, "_key", sizes.select(F.col("_key").alias("_of"), F.ceil(F.col("_n") / TILE).alias("_parts"))), "_key")
     kind = dict(prints.dtypes)["node"]
-    dealt = tiles.repartition(parallelism(spark), "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j", F.xxhash64("_key", "node"), "node")
-    return dealt.mapInArrow(_forest(columns, radius, pa.string() if kind == "string" else pa.int64(), closest), f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(_forest(columns, radius, pa.string() if kind == "string" else pa.int64()), f"a {kind}, b {kind}").distinct()
 
 
 # The contract's fingerprint
@@ -337,7 +313,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     prints = cut(docs.mapInArrow(_fingerprints, "doc_id long, _print long"))
     nodes = cut(prints.groupBy(F.col("_print").alias("node")).agg(F.min("doc_id").alias("_first")))
-    links = hamming_links(nodes.select("node", F.col("node").alias("_print")), ["_print"], RADIUS, pigeonhole_masks())
+    links = hamming_links(nodes.select("node", F.col("node").alias("_print")), ["_print"], RADIUS, mask_keys(["_print"], pigeonhole_masks()))
     of = components(links)
     rooted = nodes.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
@@ -348,39 +324,66 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Near-duplicates of the pipeline
 
 
-def near_print(shingles: np.ndarray, words: int = NEAR_WORDS) -> np.ndarray:
-    """64 bits per word over a set of shingle hashes: a bit is 1 if set in over half of them."""
-    n = len(shingles)
-    out = np.zeros(words, dtype=np.uint64)
-    for w in range(words):
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, n, 1 << 16):
-            raw = mix(shingles[at : at + (1 << 16)] + np.uint64(w)).astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
-        out[w] = int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big") if n else 0
-    return out
-
-
-def shingle_sets(texts: pa.Array, size: int = NEAR_SHINGLE) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int = NEAR_SHINGLE) -> list[np.ndarray]:
     """The set of hashes of the ``size``-word shingles of each text, lower-cased (fewer words: the whole; none: empty), sorted."""
     raw, at = text_buffer(texts, lower=True)
     starts, ends, first = words_of(raw, at)
     hashes = word_hashes(raw, starts, ends)
-    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        yield np.unique(windows(hashes[lo:hi], min(size, hi - lo))) if hi > lo else np.zeros(0, np.uint64)
+    whole = windows(hashes, size)
+    return [np.unique(whole[lo : hi - size + 1]) if hi - lo >= size else windows(hashes[lo:hi], hi - lo) if hi > lo else np.zeros(0, np.uint64) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def near_prints(flat: np.ndarray, starts: np.ndarray, words: int = NEAR_WORDS) -> np.ndarray:
+    """Fingerprints (sets, words) of the sets of shingle hashes that begin at ``starts`` (none is empty): a bit is 1 if set in over half of them."""
+    sizes = np.diff(np.r_[starts, len(flat)])
+    out = np.zeros((len(starts), words), dtype=np.uint64)
+    for w in range(words):
+        ones = np.zeros((len(starts), 64), dtype=np.int64)
+        owner = np.repeat(np.arange(len(starts)), sizes)
+        for at in range(0, len(flat), 1 << 16):
+            raw = np.unpackbits(mix(flat[at : at + (1 << 16)] + np.uint64(w)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            who = owner[at : at + (1 << 16)]
+            begins = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            ones[who[begins]] += np.add.reduceat(raw, begins, axis=0, dtype=np.int64)
+        out[:, w] = np.packbits(ones * 2 > sizes[:, None], axis=1).view(">u8")[:, 0]
+    return out
+
+
+_FACTORS = mix(np.arange(1, NEAR_BANDS * NEAR_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def near_bands(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bucket keys (sets, bands), each of the least values of the set under ``NEAR_ROWS`` orders of its own."""
+    least = [np.minimum.reduceat(flat * f, starts) for f in _FACTORS]
+    out = np.zeros((len(starts), NEAR_BANDS), dtype=np.uint64)
+    for b in range(NEAR_BANDS):
+        for r in range(NEAR_ROWS):
+            out[:, b] = mix(out[:, b] + least[b * NEAR_ROWS + r] + np.uint64(b + 1))
+    return out
+
+
+def _named(texts: pa.Array) -> list[str]:
+    return [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts.to_pylist()]
+
+
+_SLICE = 1 << 19
+_PRINTS, _BANDS = [f"_f{w}" for w in range(NEAR_WORDS)], [f"_b{b}" for b in range(NEAR_BANDS)]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
-        names, prints = [], []
-        for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
+        for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), _SLICE):
             part = texts.slice(lo, hi - lo)
-            names += [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in part.to_pylist()]
-            prints += [near_print(s) for s in shingle_sets(part)]
-        prints = np.stack(prints) if prints else np.zeros((0, NEAR_WORDS), np.uint64)
-        columns = {"doc_id": batch.column("doc_id"), "node": pa.array(names, pa.string())}
-        yield pa.RecordBatch.from_pydict(columns | {f"_f{w}": pa.array(prints[:, w].view(np.int64), pa.int64()) for w in range(NEAR_WORDS)})
+            sets = shingle_sets(part)
+            sizes = np.array([len(s) for s in sets])
+            some = np.flatnonzero(sizes)
+            numbers = np.zeros((len(sets), NEAR_WORDS + NEAR_BANDS), dtype=np.uint64)
+            if len(some):
+                flat, starts = np.concatenate(sets), np.r_[0, np.cumsum(sizes[some])[:-1]]
+                numbers[some] = np.concatenate([near_prints(flat, starts), near_bands(flat, starts)], axis=1)
+            columns = {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "node": pa.array(_named(part), pa.string()), "n": pa.array(sizes, pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns | {c: pa.array(numbers[:, k].view(np.int64), pa.int64()) for k, c in enumerate(_PRINTS + _BANDS)})
 
 
 def _sets_of(sent):
@@ -392,139 +395,159 @@ def _sets_of(sent):
             wanted = bloom_has(sent.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
             part = batch.filter(pa.array(wanted))
             texts = part.column("text")
-            for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
+            for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), _SLICE):
                 some = texts.slice(lo, hi - lo)
-                names = [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in some.to_pylist()]
-                sets = list(shingle_sets(some))
-                offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").slice(lo, hi - lo), "node": pa.array(names, pa.string()), "shingles": shingles})
+                sets = pa.array([s.tobytes() for s in shingle_sets(some)], pa.binary())
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").slice(lo, hi - lo), "node": pa.array(_named(some), pa.string()), "shingles": sets})
 
     return run
 
 
-def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """The ``links`` (a, b) whose shingle sets are as similar; each set comes from the row of ``docs`` that ``nodes(node, doc_id)`` names."""
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(ends.join(nodes.select("node", "doc_id"), "node"))
-    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("doc_id")))
-    sets = docs.mapInArrow(_sets_of(sent), "doc_id long, node string, shingles array<int>")
-    sets = sets.join(wanted.toDF("_node", "_id"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = cut(sets.select("node", "shingles").dropDuplicates(["node"]))
-    pairs = links.join(sets.toDF("a", "_left"), "a").join(sets.toDF("b", "_right"), "b")
-    pairs = pairs.withColumn("_same", F.size(F.array_intersect("_left", "_right"))).withColumn("_all", F.size("_left") + F.size("_right"))
-    return pairs.filter(F.col("_same") >= similarity * (F.col("_all") - F.col("_same"))).select("a", "b")
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(ORDER_BUCKETS, dtype=np.int64)
-    for batch in batches:
-        texts = batch.column("text")
-        for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
-            shingles = np.concatenate(list(shingle_sets(texts.slice(lo, hi - lo))))
-            total += np.bincount((shingles & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64), minlength=ORDER_BUCKETS)
-    yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(ORDER_BUCKETS, dtype=np.int64)
-    for batch in batches:
-        for counts in batch.column("counts"):
-            total += np.frombuffer(counts.as_buffer(), dtype=np.int64)
-    yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def shingle_order(docs: DataFrame) -> np.ndarray:
-    """How common the shingles of each bucket are, counted in some of the texts. Any order of shingles finds the same pairs; one with the
-    common ones last finds them through few others."""
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(ORDER_TEXTS)) == 0).select("text")
-    parts = some.mapInArrow(_counted, "counts binary").repartition(4).mapInArrow(_added, "counts binary").collect()
-    return sum((np.frombuffer(r["counts"], dtype=np.int64) for r in parts), np.zeros(ORDER_BUCKETS, dtype=np.int64))
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges one after another."""
+    sizes = hi - lo
+    return np.repeat(lo - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
 
 
-def first_shingles(shingles: np.ndarray, order: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of a set's shingles in the order: so many that any set as similar shares one of its own first ones."""
-    n = len(shingles)
-    keep = n - math.ceil(similarity * n - 1e-9) + 1
-    return shingles[np.lexsort((shingles, order[(shingles & np.uint64(len(order) - 1)).astype(np.int64)]))[:keep]]
+def similar_forest(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets as similar; ``side``: pairs within a side don't count, unless all are on one side.
 
-
-def _postings(sent, similarity: float):
-    """A worker's pass over the documents whose doc_id is in the filter sent, or null: their first shingles, and each one's place."""
+    Two sets as similar share one of their first shingles in any order, so many of each as could be missing from the other, and one more.
+    With the rarest ones first, texts that differ from the rest meet few others; pairs that are joined already are not compared.
+    """
+    cross = len(np.unique(side)) > 1
+    rank = np.argsort([len(s) for s in sets], kind="stable")
+    sizes, side = np.array([len(sets[k]) for k in rank]), side[rank]
+    none = int((sizes == 0).sum())
+    found = [(0, k) for k in range(1, none)]
+    starts = np.r_[0, np.cumsum(sizes)]
+    known, token = np.unique(np.concatenate([sets[k] for k in rank]), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    token = token[np.lexsort((token, np.bincount(token, minlength=len(known))[token], owner))] if len(token) else token
+    first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    head = np.flatnonzero(np.arange(len(token)) - starts[owner] < first[owner])
+    head = head[np.argsort(token[head], kind="stable")]  # by token, then by owner
+    begins = np.searchsorted(token[head], np.arange(len(known)))
+    place = np.empty(len(token), dtype=np.int64)
+    place[head] = np.arange(len(head))
+    label, mark = np.arange(len(sets)), np.zeros(len(known), dtype=bool)
+    for x in range(none, len(sets)):
+        mine = np.arange(starts[x], starts[x] + min(first[x], sizes[x]))
+        met, times = np.unique(owner[head[_ranges(begins[token[mine]], place[mine])]], return_counts=True)
+        fit = (sizes[met] >= similarity * sizes[x] - 1e-9) & (label[met] != label[x])
+        if cross:
+            fit &= side[met] != side[x]
+        met = met[fit][np.argsort(-times[fit], kind="stable")]
+        if not len(met):
+            continue
+        mark[token[starts[x] : starts[x + 1]]] = True
+        step = 8
+        while len(met):
+            some, met = met[:step], met[step:]
+            both = np.add.reduceat(mark[token[_ranges(starts[some], starts[some + 1])]].astype(np.int64), np.r_[0, np.cumsum(sizes[some])[:-1]])
+            for y in some[both >= similarity * (sizes[x] + sizes[some] - both) - 1e-9].tolist():
+                if label[y] != label[x]:
+                    found.append((y, x))
+                    label[label == label[y]] = label[x]
+            met, step = met[label[met] != label[x]], step * 4
+        mark[token[starts[x] : starts[x + 1]]] = False
+    return [(int(rank[a]), int(rank[b])) for a, b in found]
+
+
+def _similar(similarity: float):
+    schema = pa.schema([("a", pa.string()), ("b", pa.string())])
+
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = [rows.column(c).to_numpy() for c in ("root", "_i", "_j")]
+        edges = np.flatnonzero(np.any([np.r_[True, k[1:] != k[:-1]] for k in keys], axis=0))
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), rows.num_rows], strict=True):
+            nodes = rows.column("node").slice(lo, hi - lo).to_pylist()
+            once = [k for k in range(len(nodes)) if not k or nodes[k] != nodes[k - 1]]  # repeated rows follow each other
+            if len(once) > 1:
+                sets = [np.frombuffer(s, dtype=np.uint64) for s in rows.column("shingles").slice(lo, hi - lo).to_pylist()]
+                side = rows.column("_own").slice(lo, hi - lo).to_numpy()
+                found = similar_forest([sets[k] for k in once], side[once], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[once[f[s]]] for f in found], pa.string()) for s in (0, 1)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, order = sent.value
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            ids = batch.column("doc_id")
-            part = batch.filter(pa.array(bloom_has(bloom, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)))
-            texts = part.column("text")
-            for lo, hi in batch_slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), 1 << 20):
-                some = texts.slice(lo, hi - lo)
-                names = [int.from_bytes(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True) for t in some.to_pylist()]
-                sets = list(shingle_sets(some))
-                firsts = [first_shingles(s, order, similarity) if len(s) else np.zeros(1, np.uint64) for s in sets]  # empty sets meet at 0
-                many = [len(f) for f in firsts]
-                columns = {
-                    "token": pa.array(np.concatenate(firsts).view(np.int64), pa.int64()), "h": pa.array(np.repeat(np.array(names, np.int64), many), pa.int64()),
-                    "pos": pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in many]), pa.int32()), "n": pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), many), pa.int32()),
-                }
-                yield pa.RecordBatch.from_pydict(columns)
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= 4 << 20:
+                whole = pa.Table.from_batches(held)
+                keys = [whole.column(c).to_numpy() for c in ("root", "_i", "_j")]
+                last = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+                if len(last):
+                    at = int(last[-1]) + 1
+                    yield from links(whole.slice(0, at))
+                    held = whole.slice(at).combine_chunks().to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield from links(pa.Table.from_batches(held))
 
     return run
 
 
-def unjoined_pairs(docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: every pair of nodes of different ``roots(node, root)`` that can be as similar, by the first shingles that they share.
+def verified_links(docs: DataFrame, nodes: DataFrame, loose: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: a spanning forest of the pairs of nodes as similar within each group of ``loose(node, root)``. All pairs of a group count, in tiles
+    of two parts where it is large; each shingle set comes from the row of ``docs`` that ``nodes(node, doc_id, n)`` names."""
+    wanted = cut(loose.join(nodes.select("node", "doc_id", F.greatest(F.col("n"), F.lit(VERIFY_LEAST)).alias("_n")), "node"))
+    sizes = wanted.groupBy("root").agg(F.sum("_n").alias("_n")).filter(F.col("_n") > VERIFY_SHINGLES)
+    parted = with_parts(wanted, "root", sizes.select(F.col("root").alias("_of"), F.ceil(F.col("_n") / VERIFY_SHINGLES).alias("_parts")))
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("doc_id"), bloom_bits(wanted.count())))
+    sets = docs.mapInArrow(_sets_of(sent), "doc_id long, node string, shingles binary")
+    sets = sets.join(parted.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.xxhash64("root").alias("root"), "_parts"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return in_tiles(sets.select("node", "root", "shingles", "_parts"), "root").mapInArrow(_similar(similarity), "a string, b string").distinct()
 
-    Two sets with similarity t have at least t / (1 + t) of their summed sizes in common, so they share one of their first shingles, and
-    from the first that they share on, enough must be left in both. Shingles that one root alone has are dropped before anything is paired.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast((bloom_of(nodes.select("doc_id")), shingle_order(docs)))
-    short = lambda c: F.conv(F.substring(c, 1, 16), 16, -10).cast("long")
-
-    def shared(df: DataFrame, by: str) -> DataFrame:
-        all_of = Window.partitionBy("token")
-        return df.withColumn("_lo", F.min(by).over(all_of)).withColumn("_hi", F.max(by).over(all_of)).filter("_lo < _hi").drop("_lo", "_hi")
-
-    posted = shared(docs.mapInArrow(_postings(sent, similarity), "token long, h long, pos int, n int"), "h")
-    known = roots.select(short("node").alias("h"), short("root").alias("r"))
-    posted = cut(shared(posted.join(known, "h", "left").withColumn("r", F.coalesce("r", "h")), "r"))
-    groups = posted.groupBy("token", "r").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    long_enough = lambda hi, lo: F.col(hi) >= similarity * F.col(lo) - 1e-6
-    met = groups.toDF("token", "r", "lo", "hi").join(groups.toDF("token", "_r", "_lo", "_hi"), "token").filter((F.col("r") < F.col("_r")) & long_enough("hi", "_lo") & long_enough("_hi", "lo"))
-    pairs = met.select("token", "r", "_r").join(posted, ["token", "r"]).join(posted.toDF(*["token" if c == "token" else f"_{c}" for c in posted.columns]), ["token", "_r"])
-    left = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos"))
-    fit = long_enough("n", "_n") & long_enough("_n", "n") & (left >= similarity / (1 + similarity) * (F.col("n") + F.col("_n")) - 1e-6)
-    pairs = pairs.filter(fit).select("h", "_h").distinct()
-    named = nodes.select(short("node").alias("h"), "node")
-    return pairs.join(named.toDF("h", "a"), "h").join(named.toDF("_h", "b"), "_h").select("a", "b")
-
-
-def near_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY, masks: Sequence[Sequence[int]] | None = None) -> tuple[DataFrame, DataFrame]:
+
+def near_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``doc_id, node`` of every row of ``docs(doc_id, text)`` (a node is an exact text, by its MD5) and ``node, root`` of nodes that
     are linked by similarity of their shingle sets; texts without words have similarity 1 with each other.
 
-    Links of fingerprints join most of each group cheaply; then every other pair that can be as similar is verified, so none is lost."""
+    Bands of min-wise shingles are the buckets in which fingerprints are compared bit-sliced. Their links are loose (they reach down to a
+    similarity of 0.4 or so) and serve to find groups; within a group every pair that can be as similar is verified on its shingle sets.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = cut(docs.mapInArrow(_sketch, "doc_id long, node string, " + ", ".join(f"_f{w} long" for w in range(NEAR_WORDS))))
-    prints = [f"_f{w}" for w in range(NEAR_WORDS)]
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(p).alias(p) for p in prints])
-    nodes = cut(nodes)
-    links = cut(hamming_links(nodes.select("node", *prints), prints, NEAR_RADIUS, masks or sampled_masks(NEAR_TABLES, NEAR_SAMPLE, NEAR_WORDS), NEAR_CLOSEST))
-    alike = cut(verified(docs, nodes, links, similarity))
-    rest = cut(unjoined_pairs(docs, nodes, components(alike), similarity))
-    return rows.select("doc_id", "node"), components(alike.unionByName(verified(docs, nodes, rest, similarity)))
+    rows = cut(docs.mapInArrow(_sketch, "doc_id long, node string, n long, " + ", ".join(f"{c} long" for c in _PRINTS + _BANDS)))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *_PRINTS, *_BANDS)]))
+    bands = [F.xxhash64(F.lit(b), F.col(c)) for b, c in enumerate(_BANDS)]
+    loose = components(hamming_links(nodes.select("node", *_PRINTS, *_BANDS), _PRINTS, NEAR_RADIUS, bands))
+    return rows.select("doc_id", "node"), components(verified_links(docs, nodes, loose, similarity))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """One row of each group stays, the one with the smallest doc_id (ties: smallest MD5, then any of equal rows); columns as they are.
 
-    Rows without a doc_id go only if a row with one, or another like them, is in their group.
+    Null and empty texts and texts of blanks are one group. Texts of fewer than five words are one shingle. Rows without a doc_id go only if
+    a row with one, or another like them, is in their group. Rows that repeat doc_id and text stay once. Columns of any name are kept as they are;
+    an empty table gives no rows. Texts are judged whole.
+
+    Only rows that may have to go are moved: the others are told by a filter of the doc_ids of those that go.
     """
     rows, roots = near_groups(docs, similarity)
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("node").alias("node"))
-    stays = cut(grouped.groupBy("root").agg(F.min(rank).alias("_r")).select(F.col("_r.d").alias("_stay_id"), F.col("_r.node").alias("_stay_node"), F.col("_r.n").alias("_stay_null")))
-    named = docs.withColumn("_node", F.md5(text_or_empty())).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_null", F.col("doc_id").isNull())
-    keys = stays.select(F.coalesce("_stay_id", F.lit(0)).alias("_id"), F.col("_stay_node").alias("_node"), F.col("_stay_null").alias("_null"))
-    return named.join(keys, ["_id", "_node", "_null"], "left_semi").dropDuplicates(["_id", "_node", "_null"]).select(*docs.columns)
+    best = grouped.groupBy("root").agg(F.min(rank).alias("_r")).select("root", F.col("_r.d").alias("_d"), F.col("_r.node").alias("_best"))
+    told = grouped.groupBy("root", "node", "doc_id").agg(F.count(F.lit(1)).alias("_times")).join(best, "root")
+    told = cut(told.withColumn("_stays", (F.col("node") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_d"))).filter(~F.col("_stays") | (F.col("_times") > 1) | F.col("doc_id").isNull()).select("doc_id", "node", "_stays"))
+    return _without(docs, told)
+
+
+def _without(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``told(doc_id, node, _stays)`` names and says not to stay; of those that stay one each."""
+    maybe, key, row = (free_name(c, docs.columns) for c in ("_maybe", "_key", "_row"))
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(told.select("doc_id"), bloom_bits(told.count())))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(batch.num_columns - 1)
+            had = bloom_has(sent.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(had)], names=[*batch.schema.names[:-1], maybe])
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{maybe}` boolean"])
+    judged = docs.withColumn(key, F.col("doc_id").cast("long")).mapInArrow(judge, schema)
+    sure = judged.filter(~F.col(maybe)).drop(maybe)
+    packed = judged.filter(F.col(maybe)).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    packed = packed.select(row, F.col(f"{row}.doc_id").cast("long").alias("_id"), F.md5(F.coalesce(F.col(f"{row}.text"), F.lit(""))).alias("_md5"))
+    joined = packed.join(told.toDF("_told_id", "_told_node", "_stays"), F.col("_id").eqNullSafe(F.col("_told_id")) & (F.col("_md5") == F.col("_told_node")), "left").filter(F.col("_stays").isNull() | F.col("_stays"))
+    once = joined.withColumn("_once", F.when(F.col("_stays").isNull(), F.monotonically_increasing_id()))
+    return sure.unionByName(once.dropDuplicates(["_id", "_md5", "_once"]).select(f"{row}.*"))

@@ -208,7 +208,7 @@ def test_hot_bucket_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)
     ids = [(i, (1 << (i % 60)) | (1 << (i // 60))) for i in range(200)]
     nodes = spark.createDataFrame([(i, p) for i, p in ids], "node long, _print long").dropDuplicates(["_print"])
-    found = components(simhash.hamming_links(nodes, ["_print"], 3, simhash.pigeonhole_masks()))
+    found = components(simhash.hamming_links(nodes, ["_print"], 3, simhash.mask_keys(["_print"], simhash.pigeonhole_masks())))
     kept = [r.node for r in nodes.collect()]
     assert {r.root for r in found.collect()} == {min(kept)} and found.count() == len(kept)
 
