@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -44,12 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset and all runs in one process (tests)."""
     bounded_batches(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder or "/tmp/seqloom-checkpoints")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/seqloom-checkpoints")
     return folder or sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -72,6 +75,14 @@ def free_name(name: str, taken: Sequence[str]) -> str:
     return name
 
 
+def set_aside(df: DataFrame, *new: str) -> DataFrame:
+    """``df`` with columns that are called like ``new`` ones kept under ``<name>_input`` (with underscores in front, if that is taken too)."""
+    for name in new:
+        for c in [c for c in df.columns if c.lower() == name.lower()]:
+            df = df.withColumnRenamed(c, free_name(f"{c}_input", [*df.columns, *new]))
+    return df
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

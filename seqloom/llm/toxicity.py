@@ -1,11 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its words, lower-cased, and their beginnings of 4 and 5 bytes, each hashed to 32 bits and counted once. The model adds a
+A text's terms are its words, lower-cased, and their beginnings of 4 to 6 bytes, each hashed to 32 bits and counted once. The model adds a
 weight per term and, for each pair of terms, the product of two short vectors, so it learns pairs that say more than their
 parts, such as an insult next to the mention of a group.
 
 It is fitted on at most ``FIT_ROWS`` labelled texts (half of each label where there are so many, chosen by a hash of doc_id):
-first the terms that differ most between the labels are selected, then weights and vectors are learned on the driver. The model's size
+first the terms that differ most between the labels, and those of pairs that say more than either term, are selected, then weights and vectors are learned on the driver. The model's size
 is fixed by ``TERMS`` and ``RANK``; every text is then scored whole.
 """
 
@@ -20,14 +20,18 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import NOT_LETTERS, batch_slices, mix, table, text_buffer, word_hashes, words_of
+from ._common import NOT_LETTERS, batch_slices, free_name, mix, set_aside, table, text_buffer, word_hashes, words_of
 
 FIT_ROWS = 6000
 TERMS, RANK = 2048, 4
 EPOCHS, STEPS, BATCH, RATE, DECAY = 30, 3000, 64, 0.1, 1e-5
-#: Least log-likelihood ratio of a term (a chi-square of one degree, over some 100,000 terms).
-LEAST_RATIO = 12.0
-BEGINNINGS = (4, 5)
+#: Most that a toxic text weighs against another in the fit, where there are fewer of them.
+MOST_WEIGHT = 9.0
+#: Least log-likelihood ratio of a term (a chi-square of one degree, over some 100,000 terms), and how much of it a pair must have beyond its terms.
+LEAST_RATIO, LEAST_PAIR = 12.0, 30.0
+#: Terms of which all pairs are tried, the most frequent ones; pairs that are kept; least texts of a term.
+PAIR_TERMS, PAIRS, PAIR_TEXTS = 1024, 256, 5
+BEGINNINGS = (4, 5, 6)
 _SLICE = 1 << 20
 _FILTER_BITS = 20
 
@@ -83,18 +87,41 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
 
 
+def _ratios(one: np.ndarray, with_: np.ndarray, n: float, ones: float) -> np.ndarray:
+    """Log-likelihood ratio of the label for features that ``with_`` of n texts have, ``one`` of them labelled 1."""
+    g = np.zeros(one.shape)
+    for seen, here, all_here in ((one, with_, ones), (with_ - one, with_, n - ones), (ones - one, n - with_, ones), (n - ones - with_ + one, n - with_, n - ones)):
+        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(here * all_here / n, 1e-9)), 0)
+    return g
+
+
 def select_terms(doc: np.ndarray, term: np.ndarray, label: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """The terms that tell most of the label by the log-likelihood ratio of their counts; ties by number."""
+    """The terms of the ``PAIRS`` pairs that together tell most beyond what each of their terms does, then those that tell most of the label by
+    themselves, by the log-likelihood ratio of their counts; ties by number."""
     known, place = np.unique(term, return_inverse=True)
     with_ = np.bincount(place, minlength=len(known)).astype(float)
     one = np.bincount(place, weights=label[doc], minlength=len(known))
     n, ones = float(len(label)), label.sum()
-    g = np.zeros(len(known))
-    for seen, here, all_here in ((one, with_, ones), (with_ - one, with_, n - ones), (ones - one, n - with_, ones), (n - ones - with_ + one, n - with_, n - ones)):
-        expected = here * all_here / n
-        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    g = _ratios(one, with_, n, ones)
+    paired = _paired_terms(doc, place, label, with_, g)
     fit = np.flatnonzero(g >= LEAST_RATIO)
-    return np.sort(known[fit[np.lexsort((known[fit], -g[fit]))][:most]])
+    ranked = np.concatenate([paired, fit[np.lexsort((known[fit], -g[fit]))]])
+    _, first = np.unique(ranked, return_index=True)
+    return np.sort(known[ranked[np.sort(first)][:most]])
+
+
+def _paired_terms(doc: np.ndarray, place: np.ndarray, label: np.ndarray, with_: np.ndarray, g: np.ndarray) -> np.ndarray:
+    some = np.flatnonzero((with_ >= PAIR_TEXTS) & (with_ < len(label)))
+    some = np.sort(some[np.argsort(-with_[some], kind="stable")][:PAIR_TERMS])
+    inside = np.isin(place, some)
+    has = np.zeros((len(label), len(some)), dtype=np.float32)
+    has[doc[inside], np.searchsorted(some, place[inside])] = 1
+    both, one = has.T @ has, (has * label[:, None].astype(np.float32)).T @ has
+    gain = _ratios(one.astype(float), both.astype(float), float(len(label)), label.sum()) - np.maximum(g[some][:, None], g[some][None, :])
+    i, j = np.nonzero(np.triu((gain >= LEAST_PAIR) & (both >= PAIR_TEXTS), 1))
+    best = np.lexsort((j, i, -gain[i, j]))[:PAIRS]
+    pairs = np.stack([some[i[best]], some[j[best]]], axis=1).reshape(-1)
+    return pairs[np.sort(np.unique(pairs, return_index=True)[1])]
 
 
 def fit_machine(doc: np.ndarray, term: np.ndarray, label: np.ndarray, seed: int = 7) -> Machine:
@@ -110,6 +137,7 @@ def fit_machine(doc: np.ndarray, term: np.ndarray, label: np.ndarray, seed: int
     doc, place = doc[order], place[order]
     starts = np.searchsorted(doc, np.arange(n + 1))
     rng = np.random.default_rng(seed)
+    weigh = np.where(label > 0, min(max((n - ones) / ones, 1.0), MOST_WEIGHT), 1.0)
     m = Machine(terms, float(np.log(ones / (n - ones))), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), RANK)))
     g_bias, g_w, g_v = 1e-6, np.full(len(terms), 1e-6), np.full((len(terms), RANK), 1e-6)
     batches = max(1, n // BATCH)
@@ -121,7 +149,7 @@ def fit_machine(doc: np.ndarray, term: np.ndarray, label: np.ndarray, seed: int
             v = m.vectors[at]
             sums = np.zeros((len(rows), RANK))
             np.add.at(sums, row, v)
-            error = (1 / (1 + np.exp(-np.clip(m.logits(row, at, len(rows)), -40, 40))) - label[rows]) / len(rows)
+            error = (1 / (1 + np.exp(-np.clip(m.logits(row, at, len(rows)), -40, 40))) - label[rows]) * weigh[rows] / len(rows)
             used, where = np.unique(at, return_inverse=True)
             dw = np.bincount(where, weights=error[row], minlength=len(used)) + DECAY * m.weights[used]
             dv = np.zeros((len(used), RANK))
@@ -179,7 +207,9 @@ def _steady(label: np.ndarray, doc: np.ndarray, term: np.ndarray) -> np.ndarray:
 
 
 def score_texts(docs: DataFrame, machine: Machine, out: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 of its ``text``; null and empty texts get that of a text without known terms."""
+    """``docs`` with a score from 0 to 1 of its whole ``text``; null and empty texts get that of a text without known terms. Repeated rows are scored
+    each; no rows give none. A column that is called like ``out`` already is kept as ``<out>_input``."""
+    docs = set_aside(docs, out)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +222,18 @@ def score_texts(docs: DataFrame, machine: Machine, out: str = "score") -> DataFr
 
 
 def reject_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows whose text scores below 0.5, or no higher than a text without known terms, as they are."""
-    least = float(machine.scores(pa.array([""]))[0])
-    return score_texts(docs, machine, "_toxicity").filter((F.col("_toxicity") < 0.5) | (F.col("_toxicity") <= least)).drop("_toxicity")
+    """The rows whose text scores below 0.5, or no higher than a text without known terms, as they are, with columns of any name."""
+    least, name = float(machine.scores(pa.array([""]))[0]), free_name("_toxicity", docs.columns)
+    return score_texts(docs, machine, name).filter((F.col(name) < 0.5) | (F.col(name) <= least)).drop(name)
 
 
 def op9_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A score of every document by a machine that has seen no held-out label."""
+    """A score of every document by a machine that has seen no held-out label.
+
+    Null and empty texts get the score of a text without known terms; rows without a doc_id are scored and not held out, and their labels don't count;
+    repeated rows are scored each, and repeated labels count once; very long texts are scored whole; without documents there are no rows,
+    without labels all score the same. Other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = score_texts(docs, machine)
