@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +112,47 @@ def test_topk(spark):
     assert [(r.vec_id, r._v) for r in topk.integer_vectors(odd).collect()] == [(5, [512, -1])]
 
 
+def test_topk_reads_and_resolves_few():
+    """On vectors in all directions, the worst case: entries read and pairs resolved stay well below all, and results are exact."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 64))
+    x = np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    x[100:130] = x[100]  # ties, in several runs as they are dealt below
+    deal = rng.permutation(4000)
+    block = topk.QueryBlock(np.arange(0, 4000, 100), x[::100], 10)
+    for at in range(0, 4000, topk.RUN):
+        rows = deal[at : at + topk.RUN]
+        block.search(topk.SortedRun(rows, x[rows], np.argsort(x[rows], axis=0, kind="stable")))
+    for i, q in enumerate(block.ids):
+        scores = x @ x[q]
+        want = [(int(scores[j]), int(j)) for j in np.lexsort((np.arange(4000), -scores)) if j != q][:10]
+        assert list(zip(*(b.tolist() for b in block.best[i]), strict=True)) == want
+    assert block.read < 0.6 * block.entries and block.resolved < 0.25 * block.pairs
+    late = topk.QueryBlock(block.ids, block.values, 10, block.bound.copy())  # with a good bound from the beginning, as later tasks have
+    for at in range(0, 4000, topk.RUN):
+        rows = deal[at : at + topk.RUN]
+        late.search(topk.SortedRun(rows, x[rows], np.argsort(x[rows], axis=0, kind="stable")))
+    assert late.resolved < 0.15 * late.pairs and late.read < block.read
+
+
+def test_topk_over_many_runs_and_tasks(spark, monkeypatch):
+    for name, value in (("RUN", 16), ("QUERIES", 4), ("SEED_RUNS", 2), ("TASK_RUNS", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-9, 9, size=(300, 6))
+    x[rng.integers(0, 300, 90)] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(299, x[299].tolist()), (5000, [1, 2]), (5001, [2**40, -(2**40)])]
+    vectors = spark.createDataFrame(rows, "vec_id long, _v array<long>")
+    queries = vectors.filter("vec_id % 20 = 0 OR vec_id = 5001").select(F.col("vec_id").alias("query_id"), F.col("_v").alias("_q"))
+    got = defaultdict(list)
+    for r in topk.top_k(queries, vectors, 7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    want = {}
+    for q, v in {i: v for i, v in rows if i % 20 == 0 or i == 5001}.items():
+        want[q] = [(i, -s) for s, i in sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))[:7]]
+    assert got == want
+
+
 def test_secrets(spark):
     key = "AKIA" + "Q" * 18
     rows = [(1, f'password = "hunter22" {key}é', "a"), (2, f"TOKEN:'{'ab' * 12}' secret=token:abcdef", "a"), (3, None, "b"), (4, f"é\U0001f600 {key} x", "b"), (5, f"{key}", "c"), (6, "passwd=short token=12345", None), (6, "passwd=short token=12345", None), (7, "A1b2" * 7, "z")]
@@ -302,6 +345,50 @@ def test_toxicity_learns_pairs():
     assert (((m.logits(doc[order], place, 800)) > 0) == (label > 0)).mean() > 0.99
 
 
+def test_toxicity_learns_pairs_that_say_nothing_alone():
+    rng = np.random.default_rng(1)
+    has = rng.random((1200, 40)) < 0.5
+    label = (has[:, 3] ^ has[:, 17]).astype(float)
+    doc, term = np.nonzero(has)
+    m = toxicity.fit_machine(doc, (term * 1000).astype(np.uint32), label)
+    assert {3000, 17000} <= set(m.terms.tolist())
+    known = np.isin(term * 1000, m.terms)
+    logits = m.logits(doc[known], np.searchsorted(m.terms, (term * 1000).astype(np.uint32)[known]), 1200)
+    assert ((logits > 0) == (label > 0)).mean() > 0.95
+
+
+def test_toxicity_sums_over_pairs():
+    rng = np.random.default_rng(2)
+    m = toxicity.Machine(np.arange(20, dtype=np.uint32), 0.3, rng.normal(size=20), rng.normal(size=(20, 4)))
+    sets = [sorted(rng.choice(20, n, replace=False).tolist()) for n in (0, 1, 2, 7, 20)]
+    doc = np.concatenate([np.full(len(s), i) for i, s in enumerate(sets)]).astype(int)
+    got = m.logits(doc, np.concatenate(sets).astype(int), len(sets))
+    want = [0.3 + sum(m.weights[a] for a in s) + sum(m.vectors[a] @ m.vectors[b] for k, a in enumerate(s) for b in s[:k]) for s in sets]
+    assert np.allclose(got, want)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test data")
+def test_toxicity_on_labels_it_has_not_seen(spark):
+    """Of 97 held-out toxic texts six hold no term that any labelled toxic text has (they are spam or licenses); nine of ten must be found."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
+    got = toxicity.op9_fm_toxicity(spark, d).join(labels, "doc_id").filter("held_out").collect()
+    toxic = [r for r in got if r.toxic == 1]
+    assert len(toxic) > 50 and sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.predicted for r in got if r.toxic == 0) <= 0.01 * len(got)
+
+
+def test_toxicity_ignores_held_out_labels(spark):
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, 20) + (" scum" if i % 4 == 0 else "")) for i in range(300)]
+    docs, base = frame(spark, rows), [(i, int(i % 4 == 0)) for i, _ in rows]
+    hidden = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    told = [spark.createDataFrame(x, "doc_id long, toxic int") for x in (base, [(i, 1 - t if i in hidden else t) for i, t in base])]
+    one, two = (toxicity.fit_toxicity(docs, t) for t in told)
+    probe = pa.array([t for _, t in rows])
+    assert np.array_equal(one.scores(probe), two.scores(probe)) and len(hidden) > 30
+
+
 def test_decontamination(spark):
     item = "If Alice buys 12 apples at 3 km from the market and Bob sells 7 pears, how many fruits do they carry home together?"
     again = "we saw: If Carol buys 40 apples at 9 km from the market and Dave sells 8 pears, how many fruits do they carry home together? end"
