@@ -19,8 +19,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import batch_slices, cut, table, text_buffer, text_or_empty, words_of
+from ._common import batch_slices, cut, set_aside, table, text_buffer, text_or_empty, words_of
 
+#: Leaves whose budgets are shared out on the driver and sent to the tasks; more are shared out, and joined, as tables.
 MAX_LEAVES = 50_000
 SLICES = 1024
 SEED = 20_24
@@ -81,6 +82,35 @@ def leaf_budgets(tokens: Mapping[tuple, int], weights: Mapping[tuple, float], bu
     return down((), list(tokens), budget) if tokens else {}
 
 
+def shared_budgets(totals: DataFrame, levels: Sequence[str], weights: Mapping[tuple, float], budget: float, epochs: int) -> DataFrame:
+    """What ``leaf_budgets`` says, for any number of leaves: ``totals(_leaf, *levels, tokens)`` with ``budget``. A level at a time, the children of a
+    node are put in the order of capacity over weight; those before the water line are full, and the others share what is left."""
+    spark = totals.sparkSession
+    mix = totals.select("_leaf", "tokens", *[F.col(c).cast("string").alias(f"_l{k}") for k, c in enumerate(levels)]).withColumn("_amount", F.lit(float(budget)))
+    for depth in range(len(levels)):
+        path = [f"_l{k}" for k in range(depth + 1)]
+        named = [(*p, float(w)) for p, w in weights.items() if len(p) == depth + 1]
+        children = mix.groupBy(*path).agg((F.sum("tokens") * epochs).cast("double").alias("_capacity"), F.first("_amount").alias("_whole"))
+        known = spark.createDataFrame(named, ", ".join([*(f"_w{k} string" for k in range(depth + 1)), "_weight double"]))
+        same = F.lit(True)
+        for k in range(depth + 1):
+            same = same & F.col(f"_l{k}").eqNullSafe(F.col(f"_w{k}"))
+        children = children.join(F.broadcast(known), same, "left").withColumn("_weight", F.coalesce("_weight", F.lit(1.0))).drop(*[f"_w{k}" for k in range(depth + 1)])
+        family = Window.partitionBy(*path[:-1]).orderBy((F.col("_capacity") / F.col("_weight")).asc(), *path) if depth else Window.partitionBy(F.lit(0)).orderBy((F.col("_capacity") / F.col("_weight")).asc(), *path)
+        open_ = (F.col("_capacity") > 0) & (F.col("_weight") > 0)
+        before, after = family.rowsBetween(Window.unboundedPreceding, -1), family.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        children = children.filter(open_).withColumn("_left", F.col("_whole") - F.coalesce(F.sum("_capacity").over(before), F.lit(0.0))).withColumn("_rest", F.sum("_weight").over(after))
+        line = F.when(F.col("_left") * F.col("_weight") / F.col("_rest") < F.col("_capacity"), F.greatest(F.col("_left"), F.lit(0.0)) / F.col("_rest"))
+        children = children.withColumn("_line", F.first(line, ignorenulls=True).over(family.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        share = F.least(F.col("_capacity"), F.coalesce(F.col("_line") * F.col("_weight"), F.col("_capacity")))
+        shares = children.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(path)], share.alias("_share"))
+        same = F.lit(True)
+        for k, c in enumerate(path):
+            same = same & F.col(c).eqNullSafe(F.col(f"_s{k}"))
+        mix = cut(mix.drop("_amount").join(shares, same, "left").withColumn("_amount", F.coalesce("_share", F.lit(0.0))).drop("_share", *[f"_s{k}" for k in range(depth + 1)]))
+    return mix.select("_leaf", "tokens", F.floor(F.col("_amount") + 1e-6).cast("long").alias("budget"))
+
+
 def _leaf(levels: Sequence[str]) -> Column:
     """A text that stands for the path; nulls are children of their own."""
     return F.to_json(F.struct(*[F.col(c).cast("string").alias(str(i)) for i, c in enumerate(levels)]))
@@ -90,23 +120,28 @@ def _place(epoch: Column, key: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), epoch.cast("int"), F.coalesce(F.col(key).cast("string"), F.lit("\x00")))
 
 
-def plan_mix(rows: DataFrame, key: str, levels: Sequence[str], weights: Mapping[tuple, float], share: float, epochs: int, seed: int = SEED) -> DataFrame:
+def plan_mix(rows: DataFrame, key: str, levels: Sequence[str], weights: Mapping[tuple, float], share: float, epochs: int, seed: int = SEED, max_leaves: int = MAX_LEAVES) -> DataFrame:
     """A row per leaf: _leaf, budget, _full (whole epochs), _cut_place and _cut_key (the last row of the epoch after them; null: none).
 
-    ``rows`` has the key, the levels and ``tokens``; it is read several times. ``share``: the budget as a part of all tokens.
+    ``rows`` has the key, the levels and ``tokens``; it is read several times, other columns are not. ``share``: the budget as a part of all tokens.
+    No rows: no leaves.
     """
     spark = rows.sparkSession
-    rows = rows.withColumn("_leaf", _leaf(levels))
-    totals = rows.groupBy("_leaf", *levels).agg(F.sum("tokens").alias("tokens")).limit(MAX_LEAVES + 1).collect()
-    if len(totals) > MAX_LEAVES:
-        raise ValueError(f"over {MAX_LEAVES} leaves: mix by coarser levels")
-    tokens = {tuple(None if r[c] is None else str(r[c]) for c in levels): int(r["tokens"] or 0) for r in totals}
-    names = {tuple(None if r[c] is None else str(r[c]) for c in levels): r["_leaf"] for r in totals}
-    budgets = leaf_budgets(tokens, weights, share * sum(tokens.values()), epochs)
-    table_ = [(names[p], b, min(b // tokens[p], epochs) if tokens[p] else 1, b - min(b // tokens[p], epochs) * tokens[p] if tokens[p] else 0) for p, b in budgets.items()]
-    budget = spark.createDataFrame(table_, "_leaf string, budget long, _full int, _rest long")
-    part = rows.join(F.broadcast(budget), "_leaf").filter((F.col("_rest") > 0) & (F.col("_full") < epochs))
-    part = part.select("_leaf", "_rest", "tokens", F.coalesce(F.col(key).cast("string"), F.lit("\x00")).alias("_key"), _place(F.col("_full"), key, seed).alias("_place"))
+    rows = rows.select(F.col(key).alias("_id"), "tokens", _leaf(levels).alias("_leaf"), *[F.col(c).cast("string").alias(f"_level{k}") for k, c in enumerate(levels)])
+    names = [f"_level{k}" for k in range(len(levels))]
+    totals = cut(rows.groupBy("_leaf", *names).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")))
+    many, everything = totals.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    if many <= max_leaves:
+        paths = {tuple(r[c] for c in names): (r["_leaf"], int(r["tokens"])) for r in totals.collect()}
+        budgets = leaf_budgets({p: n for p, (_, n) in paths.items()}, weights, share * (everything or 0), epochs)
+        budget = spark.createDataFrame([(*paths[p], b) for p, b in budgets.items()], "_leaf string, tokens long, budget long")
+    else:
+        budget = shared_budgets(totals, names, weights, share * everything, epochs)
+    full = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("budget") / F.col("tokens")), F.lit(epochs))).otherwise(1).cast("int")
+    budget = cut(budget.withColumn("_full", full).select("_leaf", "budget", "_full", F.when(F.col("tokens") > 0, F.col("budget") - F.col("_full") * F.col("tokens")).otherwise(0).alias("_rest")))
+    few = F.broadcast if many <= max_leaves else lambda df: df
+    part = rows.join(few(budget), "_leaf").filter((F.col("_rest") > 0) & (F.col("_full") < epochs))
+    part = part.select("_leaf", "_rest", "tokens", F.coalesce(F.col("_id").cast("string"), F.lit("\x00")).alias("_key"), _place(F.col("_full"), "_id", seed).alias("_place"))
     part = part.withColumn("_slice", F.shiftright("_place", 64 - SLICES.bit_length() + 1))
     before = Window.partitionBy("_leaf").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = part.groupBy("_leaf", "_slice").agg(F.sum("tokens").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
@@ -116,15 +151,18 @@ def plan_mix(rows: DataFrame, key: str, levels: Sequence[str], weights: Mapping[
     return budget.join(last, "_leaf", "left").select("_leaf", "budget", "_full", F.col("_cut._place").alias("_cut_place"), F.col("_cut._key").alias("_cut_key"))
 
 
-def take_mix(docs: DataFrame, plan: DataFrame, key: str, levels: Sequence[str], seed: int = SEED) -> DataFrame:
-    """``docs`` with ``epoch`` (from 0) and ``budget``: each row once for each epoch that takes it. The plan has a row per leaf at most."""
+def take_mix(docs: DataFrame, plan: DataFrame, key: str, levels: Sequence[str], seed: int = SEED, max_leaves: int = MAX_LEAVES) -> DataFrame:
+    """``docs`` with ``epoch`` (from 0) and ``budget``: each row once for each epoch that takes it. The plan has a row per leaf at most.
+
+    Columns of ``docs`` may have any name; those called epoch or budget are kept as ``epoch_input`` and ``budget_input``."""
     epoch = F.col("_full")
-    place, name = _place(epoch, key, seed), F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
+    rows = set_aside(docs, "epoch", "budget").select(F.struct("*").alias("_row"), _leaf(levels).alias("_leaf"), F.col(key).alias("_id"))
+    place, name = _place(epoch, "_id", seed), F.coalesce(F.col("_id").cast("string"), F.lit("\x00"))
     more = F.col("_cut_place").isNotNull() & ((place < F.col("_cut_place")) | ((place == F.col("_cut_place")) & (name <= F.col("_cut_key"))))
     times = epoch + F.coalesce(more.cast("int"), F.lit(0))
-    joined = docs.withColumn("_leaf", _leaf(levels)).join(F.broadcast(plan), "_leaf")
-    taken = joined.withColumn("_times", times).filter("_times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    return taken.drop("_leaf", "_full", "_cut_place", "_cut_key", "_times")
+    joined = rows.join(F.broadcast(plan) if plan.count() <= max_leaves else plan, "_leaf")
+    taken = joined.withColumn("_times", times).filter("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    return taken.select("_row.*", F.col("_epoch").alias("epoch"), "budget")
 
 
 def domain_of(source: str = "source") -> Column:
@@ -135,7 +173,8 @@ def domain_of(source: str = "source") -> Column:
 def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents for a budget of 0.8 of all words, two epochs at most: doc_id, domain, lang, source, epoch, tokens, budget (of the leaf).
 
-    Texts without words are taken whenever their leaf's prefix comes by them; repeated rows with one doc_id are taken together.
+    Null and empty texts and texts of blanks have no words and are taken whenever their leaf's prefix comes by them; repeated rows with one doc_id are
+    taken together; rows without a doc_id are one record; null levels are branches of their own; an empty table gives no rows; other columns are not read.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("domain", domain_of())
     rows = cut(with_word_counts(docs))

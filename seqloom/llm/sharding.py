@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table, text_or_empty
+from ._common import set_aside, table, text_or_empty
 
 SHARDS = 24
 #: Slices of a shard whose rows are numbered together; raise it so that rows / shards / SLICES fits a task.
@@ -38,8 +38,9 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 
 def assign_shards(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard") -> DataFrame:
-    """``df`` with a shard number; rows are kept as they are, also repeated ones and those with a null key."""
-    return df.withColumn(out, rendezvous(F.col(key), weights))
+    """``df`` with a shard number; rows are kept as they are, also repeated ones, those with a null key, and texts of any length; an empty table gives no rows.
+    Columns may have any name; one that is called like ``out`` already is kept as ``<out>_input``."""
+    return set_aside(df, out).withColumn(out, rendezvous(F.col(key), weights))
 
 
 def number_slots(df: DataFrame, shard: str, order: Sequence[str], out: str = "slot", slices: int = SLICES) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -501,8 +502,93 @@ def test_near_duplicates_at_the_border(spark):
     assert sorted(got) == [d for d, _ in rows if d % 2 == 0]
 
 
-def test_pipeline(spark, sf_dir):
+def test_many_leaves_are_shared_out_alike(spark):
+    rng = random.Random(14)
+    rows = [(i, rng.choice(["web0", "web1", None]), rng.choice(["en", "de", "fr"]), f"s{rng.randrange(30)}", rng.randrange(0, 60)) for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, tokens long")
+    weights = {("web0",): 5.0, ("web1", "de"): 0.25, ("web0", "en", "s3"): 7.0, ("web1",): 0.5}
+    for share in (0.3, 0.95):
+        plans = [{r._leaf: tuple(r) for r in mixing.plan_mix(df, "doc_id", mixing.LEVELS, weights, share, epochs=2, max_leaves=m).collect()} for m in (50_000, 3)]
+        assert plans[0] == plans[1] and len(plans[0]) > 200
+    plan = mixing.plan_mix(df, "doc_id", mixing.LEVELS, weights, 0.5, epochs=2, max_leaves=3)
+    one, two = (Counter(tuple(r) for r in mixing.take_mix(df.select("doc_id", *mixing.LEVELS), plan, "doc_id", mixing.LEVELS, max_leaves=m).collect()) for m in (50_000, 3))
+    assert one == two and one
+
+
+CLASHING = ("shard", "budget", "epoch", "_leaf", "_times", "_toxicity", "_id", "_node", "_row", "_key", "_maybe", "_md5", "_own", "packed", "domain", "tokens", "node", "score")
+
+
+def stages():
+    import corpus_pipeline
+
+    return corpus_pipeline.STAGES
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"])
+def test_stages_keep_columns_of_any_name(spark, sf_dir, texts, name):
+    stage = dict(stages())[name]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").drop("shard")
+    plain = stage(spark, docs, sf_dir)
+    extra = list(CLASHING)
+    more = docs.select("*", *[F.concat_ws("-", F.lit(c), F.col("doc_id")).alias(c) for c in extra])
+    got = stage(spark, more, sf_dir)
+    renamed = {"shard": "shard_input"} if name == "sharding" else {}
+    assert got.columns == [*docs.columns, *(renamed.get(c, c) for c in extra), *(["shard"] if name == "sharding" else [])]
+    rows = got.collect()
+    for r in rows:
+        for c in extra:
+            assert r[renamed.get(c, c)] == (c if r.doc_id is None else f"{c}-{r.doc_id}")
+    key = lambda r: (r["doc_id"], r["text"], r["lang"], r["source"])
+    assert Counter(map(key, rows)) == Counter(map(key, plain.collect())) and rows
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"])
+def test_stages_take_odd_rows(spark, sf_dir, empty_dir, name):
+    stage = dict(stages())[name]
+    rng = random.Random(9)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = sentence(rng, 60_000)
+    rows = [(1, None, None, None, None), (2, "", "en", "src0", 0), (3, long, "en", "src0", 9), (3, long, "en", "src0", 9), (None, "lone text of some words", None, "src1", 1), (4, " \n", "de", "src1", 2)]
+    got = stage(spark, spark.createDataFrame(rows, schema), sf_dir)
+    ids = Counter(r.doc_id for r in got.collect())
+    want = {"toxicity": {1: 1, 2: 1, 3: 2, 4: 1, None: 1}, "decontamination": {1: 1, 2: 1, 3: 2, 4: 1, None: 1}, "sharding": {1: 1, 2: 1, 3: 2, 4: 1, None: 1}, "near_dedup": {1: 1, 3: 1, None: 1}}
+    assert ids == want.get(name, ids) and (name != "mixing" or set(ids) <= {1, 2, 3, 4, None})
+    nothing = stage(spark, spark.createDataFrame([], schema), empty_dir)
+    assert nothing.count() == 0 and nothing.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_against_brute_force(spark, sf_dir, texts):
+    """What each stage keeps, worked out by plain loops from the stage before; the scores and the mix's cuts come from the operators."""
     import corpus_pipeline
 
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = [tuple(r) for r in docs.collect()]
+    machine = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    least = float(machine.scores(pa.array([""]))[0])
+    kept = [r for r in kept if (x := float(machine.scores(pa.array([r[1] or ""]))[0])) < 0.5 or x <= least]
+    sets = simhash.shingle_sets(pa.array([r[1] or "" for r in kept]))
+    up = list(range(len(kept)))
+    root = lambda i: i if up[i] == i else root(up[i])
+    for i in range(len(kept)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    rank = lambda i: (kept[i][0] is None, kept[i][0] or 0, hashlib.md5((kept[i][1] or "").encode()).hexdigest())
+    best = defaultdict(list)
+    for i in range(len(kept)):
+        best[root(i)].append(i)
+    kept = [kept[min(g, key=rank)] for g in best.values()]
+    item = [w.lower() for w in texts[8][1].split()]
+    grams = {tuple(item[k : k + 13]) for k in range(len(item) - 12)}
+    kept = [r for r in kept if not any(tuple(w[k : k + 13]) in grams for w in [[x.lower() for x in (r[1] or "").split()]] for k in range(len(w) - 12))]
+    schema = docs.schema
+    mixed = corpus_pipeline.mixing_stage(spark, spark.createDataFrame(kept, schema), sf_dir).collect()
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "text", "lang", "source", "shard"] and 0 < out.count() < 60
+    assert out.columns == ["doc_id", "text", "lang", "source", "shard_input", "shard"]
+    got = out.collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in mixed) and 0 < len(got) < len(kept)
+    score = lambda key, s: -1 / math.log((int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52)
+    for r in got:
+        key = "\x00null" if r.doc_id is None else str(r.doc_id)
+        assert r.shard == max(range(24), key=lambda s: (score(key, s), -s))
