@@ -17,32 +17,51 @@ from seqloom.llm._common import checkpoint_dir, cut, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that score 0.5 or more; the model is fitted on the labelled ones among ``docs`` (empty or null texts stay)."""
+    """Drop the documents that score 0.5 or more; the model is fitted on the labelled ones among ``docs``.
+
+    Null, empty and unknown texts stay, as do all if there are no labels. Repeated rows go or stay alike, very long texts are judged whole, rows
+    without a doc_id are judged too; no rows give none, and columns of any name stay as they are.
+    """
     machine = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return toxicity.reject_toxic(docs, machine)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    """Keep the document with the smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8 or more).
+
+    Null and empty texts and texts of blanks are one group; texts of fewer than five words are one shingle; rows that repeat doc_id and text stay once;
+    rows without a doc_id go if another of their group stays; very long texts are compared whole; no rows give none, and columns of any name stay.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a passage of an item of ``benchmark``, verbatim or re-parameterised."""
+    """Drop the documents that hold a passage of an item of ``benchmark``, verbatim or re-parameterised.
+
+    Null and empty texts stay, as do all if there are no items; null items say nothing; repeated rows go or stay alike; very long texts are judged
+    whole; rows without a doc_id are judged too; no rows give none, and columns of any name stay as they are.
+    """
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the target weights take of 0.8 of all words, each document once at most."""
-    named = docs.withColumn("_domain", mixing.domain_of())
-    levels = ("_domain", "lang", "source")
+    """Keep what the target weights take of 0.8 of all words, each document once at most.
+
+    Null and empty texts have no words and stay if their place is before their leaf's cut; null levels are branches of their own; rows with one doc_id
+    stay or go together, those without are one record; no rows give none, and columns of any name stay as they are.
+    """
+    levels = ("domain", "lang", "source")
+    named = docs.select(F.struct("*").alias("packed"), "doc_id", "text", "lang", "source", mixing.domain_of().alias("domain"))
     rows = cut(mixing.with_word_counts(named.select("doc_id", "text", *levels)))
     plan = cut(mixing.plan_mix(rows, "doc_id", levels, mixing.WEIGHTS, mixing.SHARE, epochs=1))
-    return mixing.take_mix(named, plan, "doc_id", levels).select(*docs.columns)
+    return mixing.take_mix(named.drop("text"), plan, "doc_id", levels).select("packed.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the shard of each document."""
+    """Add the shard of each document; a column that is called ``shard`` already is kept as ``shard_input``.
+
+    Rows are kept as they are: null and empty texts, repeated rows, those without a doc_id (one key); no rows give none.
+    """
     return sharding.assign_shards(docs, "doc_id", [1.0] * sharding.SHARDS)
 
 
