@@ -185,9 +185,9 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
 BLOOM_BITS = 1 << 26
 
 
-def bloom_bits(n: int) -> int:
-    """16 bits an id, from 1 MB to 32 MB; a filter of more ids lets more rows pass, which the join after it sorts out."""
-    return 1 << min(max(16 * n, 1 << 23).bit_length(), 28)
+def bloom_bits(n: int, most: int = 1 << 28) -> int:
+    """16 to 32 bits an id, from 2 MB to 32 MB (or ``most`` bits); a filter of more ids lets more rows pass, which the join after it sorts out."""
+    return min(1 << max(16 * n, 1 << 23).bit_length(), most)
 
 
 def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:

@@ -263,8 +263,12 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {50: 50, 60: 50}
 
 
-@pytest.mark.parametrize("most_shared", [substrings.MOST_SHARED, 0])
-def test_substrings(spark, texts, most_shared):
+#: One filter; a filter each for several passes; occurrences and texts joined; and salted digests with either.
+PATHS = [{}, {"most_shared": 40, "most_passes": 1000}, {"most_shared": 1, "most_passes": 1}, {"hot_docs": 1}, {"hot_docs": 1, "most_shared": 1, "most_passes": 1}]
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_substrings(spark, texts, path):
     first = {}
     split = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in texts]
     for d, w in split:
@@ -279,12 +283,12 @@ def test_substrings(spark, texts, most_shared):
             if d is not None and first[tuple(w[k : k + 13])] < d:
                 gone[k : k + 13] = [True] * 13
         want[d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()] += 1
-    got = substrings.remove_repeats(frame(spark, texts).withColumn("text", F.coalesce("text", F.lit(""))), batches=3, most_shared=most_shared)
+    got = substrings.remove_repeats(frame(spark, texts).withColumn("text", F.coalesce("text", F.lit(""))), **path)
     assert Counter(tuple(r) for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("most_shared", [substrings.MOST_SHARED, 0])
-def test_substrings_whatever_stands_between_words(spark, most_shared):
+@pytest.mark.parametrize("path", PATHS[::2])
+def test_substrings_whatever_stands_between_words(spark, path):
     rng = random.Random(11)
     passages = [sentence(rng, rng.randrange(13, 40)).split() for _ in range(12)]
     rows = []
@@ -301,21 +305,41 @@ def test_substrings_whatever_stands_between_words(spark, most_shared):
         gone = {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < d for p in range(k, k + 13)}
         want[d] = len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
     assert sum(n > 0 for n, _ in want.values()) == 36
-    got = substrings.remove_repeats(frame(spark, rows), batches=3, most_shared=most_shared).collect()
+    got = substrings.remove_repeats(frame(spark, rows), **path).collect()
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want
 
 
-def test_index_runs_merge(spark):
-    index = substrings.FingerprintIndex(spark, max_runs=1)
+def test_index_runs_merge(spark, tmp_path):
+    index = substrings.FingerprintIndex(spark, fanout=2)
     rng = random.Random(5)
     passage = sentence(rng, 30)
     batch = lambda *rows: frame(spark, list(rows))
     assert index.add(batch((1, passage), (2, sentence(rng, 30)))).count() == 0
     assert index.add(batch((3, sentence(rng, 9) + " " + passage))).count() > 0
-    assert len(index.runs) == 1 and index.add(batch((4, passage))).count() > 0
+    assert [level for level, _ in index.runs] == [0, 0] and index.add(batch((4, passage))).count() > 0
+    assert [level for level, _ in index.runs] == [1, 0]
+    assert index.add(batch((5, sentence(rng, 30)))).count() == 0 and [level for level, _ in index.runs] == [1, 0, 0]
+    assert index.add(batch((6, passage + " " + passage))).count() > 0 and [level for level, _ in index.runs] == [2, 0]
+    assert index.add(batch((7, passage))).count() > 0 and [level for level, _ in index.runs] == [2, 0, 0]
+    assert index.add(batch((8, passage))).count() > 0 and [level for level, _ in index.runs] == [2, 1, 0]
     index.drop()
 
 
+def test_index_outlives_a_call(spark, texts, tmp_path):
+    """Batches that come one after another, with an index on disk that is opened again, are judged as all rows at once."""
+    rows = [(d, t or "") for d, t in texts if d is not None]
+    want = Counter(tuple(r) for r in substrings.remove_repeats(frame(spark, rows)).collect())
+    got, history = Counter(), None
+    for lo, hi in ((0, 25), (25, 41), (41, 70)):
+        index = substrings.FingerprintIndex(spark, root=str(tmp_path / "index"))
+        new = frame(spark, [r for r in rows if lo <= r[0] < hi])
+        got += Counter(tuple(r) for r in substrings.remove_repeats(new, batches=1, index=index, history=history).collect())
+        history = new if history is None else history.unionByName(new)
+        for _, name in index.runs:
+            spark.sql(f"DROP TABLE {name}")  # as in another session; the files stay
+    assert got == want
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     rows, labels = [], []
