@@ -29,17 +29,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as sequences: the middle half is the tmd."""
-    seq = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry"), canonical_sequence(F.coalesce("text", F.lit(""))).alias("sequence"), "lang", "source")
+def sequences(spark: SparkSession, sf_dir: str, labels: DataFrame | None = None) -> DataFrame:
+    """Documents as sequences: the middle half is the tmd. ``labels(doc_id, label)``: those only, so that no other text is cleaned."""
+    docs = load(spark, sf_dir, "documents")
+    more = [] if labels is None else ["label"]
+    docs = docs if labels is None else docs.join(labels, "doc_id")
+    seq = docs.select(F.col("doc_id").alias("entry"), canonical_sequence(F.coalesce("text", F.lit(""))).alias("sequence"), "lang", "source", *more)
     size = F.length("sequence")
     return seq.withColumns({"tmd_start": (F.floor(size / 4) + 1).cast("int"), "tmd_stop": F.floor(size * 3 / 4).cast("int")})
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences with a label (1: high quality)."""
-    labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("entry"), F.col("quality").alias("label"))
-    return sequences(spark, sf_dir).join(labels, "entry")
+    return sequences(spark, sf_dir, load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
 
 
 SCALES = {f"SC{s:02d}": scale_values(s) for s in range(4)}

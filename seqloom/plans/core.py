@@ -9,6 +9,7 @@ from ..functions import parts as P
 from ..functions.alphabet import LETTERS, replace_non_canonical, scale_metadata
 from ..functions.splits import feature_id, segments, split_feature_id
 from ..operators import features as X
+from ..operators import matrix as M
 from ..operators import select as S
 from ..operators import stats as T
 from .catalog import BASE, PARTS, PATTERNS, PERIODIC, SCALES, SEGMENTS, SEQ, features_sql, labelled, load, query, rhu, sequences, splits_sql
@@ -88,19 +89,17 @@ _split_query("split_periodic", PERIODIC)
 
 @query("feature_matrix_long", f"WITH {BASE}, {features_sql()} SELECT entry, feature, part, split, scale_id, value FROM feats")
 def feature_matrix_long(spark: SparkSession, sf: str) -> DataFrame:
-    parts = P.get_parts(sequences(spark, sf), PARTS)
-    return X.feature_values(X.split_letters(parts, PARTS, SEGMENTS), SCALES).select("entry", "feature", "part", "split", "scale_id", "value")
+    return M.matrix_values(P.get_parts(sequences(spark, sf), PARTS), PARTS, SEGMENTS, SCALES).select("entry", "feature", "part", "split", "scale_id", "value")
 
 
 @query("feature_matrix_pattern", f"WITH {BASE}, {features_sql(PATTERNS + PERIODIC)} SELECT entry, feature, value FROM feats")
 def feature_matrix_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    parts = P.get_parts(sequences(spark, sf), PARTS)
-    return X.feature_values(X.split_letters(parts, PARTS, PATTERNS + PERIODIC), SCALES).select("entry", "feature", "value")
+    return M.matrix_values(P.get_parts(sequences(spark, sf), PARTS), PARTS, PATTERNS + PERIODIC, SCALES).select("entry", "feature", "value")
 
 
 def values(spark: SparkSession, sf: str, splits: list = SEGMENTS) -> DataFrame:
     parts = P.get_parts(labelled(spark, sf), PARTS, keep=("entry", "label"))
-    return X.feature_values(X.split_letters(parts, PARTS, splits, ("entry", "label")), SCALES, ("entry", "label"))
+    return M.matrix_values(parts, PARTS, splits, SCALES, ("entry", "label"))
 
 
 VALUES = f"{BASE}, {features_sql()}, lab AS (SELECT doc_id AS entry, quality AS label FROM labels), val AS (SELECT feats.*, label FROM feats JOIN lab USING (entry))"
@@ -121,10 +120,45 @@ auc AS (SELECT *, {rhu("abs((rank_sum2 - n1 * (n1 + 1)) / (n1 * n0 * 2.0::DOUBLE
 STATS = "SELECT feature, abs_auc, mean_dif, abs_mean_dif, std_test, std_ref, n_test, n_ref FROM fin JOIN auc USING (feature)"
 
 
-@query("feature_stats", f"WITH {VALUES}, {MOMENTS}, {RANKS} {STATS}")
+def erfc_sql(x: str) -> str:
+    """The complementary error function of an expression: the same sum, whose state and coefficients are lists of two."""
+    y = "(8.0::DOUBLE / (2.0::DOUBLE + ex) - 2.0::DOUBLE)"
+    terms = "[" + ", ".join(["[0.0, 0.0]", *(f"[{c!r}, 0.0]" for c in T.ERFC[:0:-1])]) + "]::DOUBLE[][]"
+    sums = f"list_reduce({terms}, lambda s, c: [{y} * s[1] - s[2] + c[1], s[1]])"
+    return f"{x} AS ex, {sums} AS es, 2.0::DOUBLE / (2.0::DOUBLE + ex) * exp((({T.ERFC[0]!r})::DOUBLE + {y} * es[1]) * 0.5::DOUBLE - es[2] - ex * ex) AS erfc"
+
+
+PVALUES = f"""pv0 AS (SELECT feature, (least((rank_sum2 - n1 * (n1 + 1)) / 2.0::DOUBLE, n1 * n0 - (rank_sum2 - n1 * (n1 + 1)) / 2.0::DOUBLE) - n1 * n0 / 2.0::DOUBLE) / sqrt(n1 * n0 * (n1 + n0 + 1) / 12.0::DOUBLE) AS z FROM sums),
+pv AS (SELECT feature, {erfc_sql("abs(z) / sqrt(2.0::DOUBLE)")} FROM pv0),
+fdr0 AS (SELECT feature, erfc AS p, erfc * count(*) OVER () / count(*) OVER (ORDER BY erfc RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM pv),
+fdr AS (SELECT feature, p, least(min(raw) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0::DOUBLE) AS q FROM fdr0)"""
+
+
+def _p_rounded(df: DataFrame) -> DataFrame:
+    """Twelve digits for the comparison with SQL; the operator gives all."""
+    return df.withColumns({c: T.round_half_up(F.col(c), 12) for c in df.columns if c.startswith("p_val")})
+
+
+@query("feature_stats", f"WITH {VALUES}, {MOMENTS}, {RANKS}, {PVALUES} SELECT feature, abs_auc, abs_mean_dif, mean_dif, std_test, std_ref, {rhu('p', 12)} AS p_val_mann_whitney, {rhu('q', 12)} AS p_val_fdr_bh, n_test, n_ref FROM fin JOIN auc USING (feature) JOIN fdr USING (feature)")
 def feature_stats(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: all features of all labelled documents, compared between the labels."""
-    return T.feature_stats(values(spark, sf))
+    return _p_rounded(T.feature_stats(values(spark, sf)))
+
+
+@query("feature_stats_parametric")
+def feature_stats_parametric(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with Student's t-test."""
+    return T.feature_stats(values(spark, sf), parametric=True)
+
+
+TIED = f"""tie AS (SELECT feature, sum(n::DOUBLE * n * n - n) AS ties FROM dist GROUP BY feature),
+tz AS (SELECT feature, (rank_sum2 - n1 * (n1 + 1)) / 2.0::DOUBLE AS u1, n1, n0, sqrt(n1 * n0 / 12.0::DOUBLE * (n1 + n0 + 1 - ties / ((n1 + n0)::DOUBLE * (n1 + n0 - 1)))) AS sd FROM sums JOIN tie USING (feature)),
+te AS (SELECT feature, u1, {erfc_sql("greatest((greatest(u1, n1 * n0 - u1) - n1 * n0 / 2.0::DOUBLE - 0.5::DOUBLE) / sd, 0) / sqrt(2.0::DOUBLE)")} FROM tz)"""
+
+
+@query("mwu_tie_corrected", f"WITH {VALUES}, {RANKS}, {TIED} SELECT feature, u1, {rhu('least(erfc, 1)', 10)} AS p_value FROM te")
+def mwu_tie_corrected(spark: SparkSession, sf: str) -> DataFrame:
+    return T.mann_whitney_exact_ties(T.value_counts(values(spark, sf))).withColumn("p_value", T.round_half_up(F.col("p_value"), 10))
 
 
 @query("partial_moments", f"WITH {VALUES}, {MOMENTS} SELECT feature, n_test, n_ref, s1::BIGINT AS sum_test, s0::BIGINT AS sum_ref, q1::BIGINT AS sq_test, q0::BIGINT AS sq_ref FROM mom")
@@ -154,10 +188,10 @@ def mwu_u_z(spark: SparkSession, sf: str) -> DataFrame:
     return T.mann_whitney(T.rank_sums(values(spark, sf))).select("feature", "u", "z")
 
 
-@query("mwu_pvalue")
+@query("mwu_pvalue", f"WITH {VALUES}, {RANKS}, {PVALUES} SELECT feature, {rhu('z', 6)} AS z, {rhu('p', 12)} AS p_value, {rhu('q', 12)} AS p_fdr FROM fdr JOIN pv0 USING (feature)")
 def mwu_pvalue(spark: SparkSession, sf: str) -> DataFrame:
-    tested = T.mann_whitney(T.rank_sums(values(spark, sf))).withColumn("p_value", T.two_sided_p("z"))
-    return T.benjamini_hochberg(tested).select("feature", "z", "p_value", "p_fdr")
+    tested = T.mann_whitney(T.rank_sums(values(spark, sf)), digits=None).withColumn("p_value", T.two_sided_p("z"))
+    return T.benjamini_hochberg(tested).select("feature", *[T.round_half_up(F.col(c), d).alias(c) for c, d in (("z", 6), ("p_value", 12), ("p_fdr", 12))])
 
 
 @query(
@@ -177,7 +211,7 @@ def t_statistic(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bh_fdr(spark: SparkSession, sf: str) -> DataFrame:
     p = load(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 10 != 0, F.pmod(F.col("p_partkey") * 7919, F.lit(10007)) / 10007.0).alias("p_value"))
-    return T.benjamini_hochberg(p).select("p_partkey", "p_fdr")
+    return T.benjamini_hochberg(p, digits=8).select("p_partkey", "p_fdr")
 
 
 @query("scale_info_join", f"WITH {VALUES}, {MOMENTS}, {RANKS} SELECT feature, 'cat' || (substr(split_part(feature, '-', 3), 3)::INT % 3) AS category, 'sub' || (substr(split_part(feature, '-', 3), 3)::INT % 5) AS subcategory, 'generated scale ' || substr(split_part(feature, '-', 3), 3)::INT AS scale_name, abs_auc FROM auc")
@@ -239,9 +273,9 @@ def _all_positions() -> str:
 DF_FEAT = f"{VALUES}, {MOMENTS}, {RANKS}, st AS ({STATS}), {_all_positions()}, df_feat AS (SELECT st.*, ats, category FROM st JOIN fp USING (feature))"
 
 
-@query("df_pos_mean", f"WITH {DF_FEAT} SELECT category, p::INT AS pos, {rhu('avg(mean_dif)', 5)} AS value FROM (SELECT category, mean_dif, unnest(ats) AS p FROM df_feat) GROUP BY category, p")
+@query("df_pos_mean", f"WITH {DF_FEAT} SELECT category, p::INT AS pos, {rhu('avg(mean_dif)', 9)} AS value FROM (SELECT category, mean_dif, unnest(ats) AS p FROM df_feat) GROUP BY category, p")
 def df_pos_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return S.by_position(_df_feat(spark, sf), "mean_dif", "mean").withColumn("value", T.round_half_up(F.col("value"), 5))
+    return S.by_position(_df_feat(spark, sf), "mean_dif", "mean").withColumn("value", T.round_half_up(F.col("value"), 9))
 
 
 @query("df_pos_sum", f"WITH {DF_FEAT} SELECT category, p::INT AS pos, {rhu('sum(abs_auc / n)', 5)} AS value FROM (SELECT category, abs_auc, len(ats) AS n, unnest(ats) AS p FROM df_feat) GROUP BY category, p")
