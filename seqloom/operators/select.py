@@ -79,9 +79,9 @@ def pearson(a: Sequence[float], b: Sequence[float]) -> float:
 
 
 def redundant(positions: set, other: set, max_overlap: float = 0.5) -> bool:
-    """Overlap of at least ``max_overlap`` (Jaccard), or one inside the other."""
+    """Whether a candidate's positions overlap a kept feature's by ``max_overlap`` (Jaccard) at least, or lie inside them."""
     both = len(positions & other)
-    return bool(positions | other) and (both / len(positions | other) >= max_overlap or positions <= other or other <= positions)
+    return bool(positions | other) and (both / len(positions | other) >= max_overlap or positions <= other)
 
 
 def greedy_redundancy(df_feat: DataFrame, scales: Mapping[str, Sequence[int]], n: int = 100, max_overlap: float = 0.5, max_cor: float = 0.5, check_category: bool = True, by_characters: bool = False) -> DataFrame:

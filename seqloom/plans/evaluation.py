@@ -16,11 +16,12 @@ from .encoding import DIMS, EMB
 
 @query(
     "smooth_scores",
-    f"""WITH x AS (SELECT event_id, user_id, value, lag(value, 2) OVER w AS a, lag(value, 1) OVER w AS b, lead(value, 1) OVER w AS c, lead(value, 2) OVER w AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-    SELECT event_id, CASE WHEN value IS NOT NULL THEN {rhu("greatest(value, (coalesce(a, 0) + coalesce(2 * b, 0) + 3 * value + coalesce(2 * c, 0) + coalesce(d, 0)) / ((a IS NOT NULL)::INT + 2 * (b IS NOT NULL)::INT + 3 + 2 * (c IS NOT NULL)::INT + (d IS NOT NULL)::INT)::DOUBLE)", 6)} END AS smooth FROM x""",
+    f"""WITH ev AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events), x AS (SELECT event_id, user_id, value, lag(value, 2) OVER w AS a, lag(value, 1) OVER w AS b, lead(value, 1) OVER w AS c, lead(value, 2) OVER w AS d FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT event_id, {rhu("greatest(value, (coalesce(a, 0) + coalesce(2 * b, 0) + coalesce(3 * value, 0) + coalesce(2 * c, 0) + coalesce(d, 0)) / nullif((a IS NOT NULL)::INT + 2 * (b IS NOT NULL)::INT + 3 * (value IS NOT NULL)::INT + 2 * (c IS NOT NULL)::INT + (d IS NOT NULL)::INT, 0)::DOUBLE)", 6)} AS smooth FROM x""",
 )
 def smooth_scores(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    """Every seventh score is taken for missing and filled from its neighbours."""
+    e = load(spark, sf, "events").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
     return M.smooth(e, "user_id", ["ts", "event_id"], "value").select("event_id", r(F.col("smooth"), 6).alias("smooth"))
 
 
@@ -63,15 +64,24 @@ def bic_score(spark: SparkSession, sf: str) -> DataFrame:
     return M.bic(load(spark, sf, "embeddings"), "label", "embedding", DIMS).select(r(F.col("bic"), 2).alias("bic"))
 
 
-@query("medoids", f"WITH {_CENTERS}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d2, vec_id) AS n FROM dd) SELECT label, vec_id AS medoid, {rhu('d2', 5)} AS d2 FROM o WHERE n = 1")
+_MEDOIDS = f"{EMB}, mt AS (SELECT label, dim, avg(value) AS c FROM el GROUP BY label, dim), cr AS (SELECT el.vec_id, el.label, corr(value, c) AS k FROM el JOIN mt USING (label, dim) GROUP BY el.vec_id, el.label), md AS (SELECT label, vec_id AS medoid, k FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k DESC, vec_id) AS n FROM cr) WHERE n = 1)"
+
+
+@query("medoids", f"WITH {_MEDOIDS} SELECT label, medoid, {rhu('k', 6)} AS closeness FROM md")
 def medoids(spark: SparkSession, sf: str) -> DataFrame:
-    return M.medoids(load(spark, sf, "embeddings"), "label", "vec_id", "embedding", DIMS).withColumn("d2", r(F.col("d2"), 5))
+    return M.medoids(load(spark, sf, "embeddings"), "label", "vec_id", "embedding", DIMS).withColumn("closeness", r(F.col("closeness"), 6))
 
 
-@query("dist_to_center", f"WITH {_CENTERS} SELECT vec_id, label, {rhu('sqrt(d2)', 5)} AS distance FROM dd")
+@query("dist_to_center", f"WITH {_MEDOIDS} SELECT e.vec_id, e.label, CASE WHEN e.vec_id = medoid THEN 0 ELSE {rhu('1 - corr(e.value, m.value)', 6)} END AS distance FROM el e JOIN md ON md.label = e.label JOIN el m ON m.vec_id = medoid AND m.dim = e.dim GROUP BY e.vec_id, e.label, medoid")
 def dist_to_center(spark: SparkSession, sf: str) -> DataFrame:
-    d = M.with_centers(load(spark, sf, "embeddings"), "label", "embedding", DIMS)
-    return d.select("vec_id", "label", r(F.sqrt("d2"), 5).alias("distance"))
+    """Distance of each vector to the medoid of its cluster."""
+    return M.distance_to_medoid(load(spark, sf, "embeddings"), "label", "vec_id", "embedding", DIMS).withColumn("distance", r(F.col("distance"), 6))
+
+
+@query("medoids_euclidean", f"WITH {EMB}, mt AS (SELECT label, dim, avg(value) AS c FROM el GROUP BY label, dim), cr AS (SELECT el.vec_id, el.label, sqrt(sum((value - c) * (value - c))) AS k FROM el JOIN mt USING (label, dim) GROUP BY el.vec_id, el.label) SELECT label, vec_id AS medoid, {rhu('k', 6)} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k, vec_id) AS n FROM cr) WHERE n = 1")
+def medoids_euclidean(spark: SparkSession, sf: str) -> DataFrame:
+    d = M.medoids(load(spark, sf, "embeddings"), "label", "vec_id", "embedding", DIMS, "euclidean")
+    return d.select("label", "medoid", r(-F.col("closeness"), 6).alias("distance"))
 
 
 @query("coverage", f"SELECT lang, {rhu('count(DISTINCT source) * 100.0::DOUBLE / (SELECT count(DISTINCT source) FROM documents)', 4)} AS coverage FROM documents GROUP BY lang")
@@ -85,11 +95,19 @@ def name_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return M.name_groups(load(spark, sf, "documents").select("lang", "source"), "lang", "source")
 
 
-@query("pu_distance", f"WITH {EMB}, p AS (SELECT dim, sum(value) AS s, sum(value * value) AS q, count(*) AS n FROM el WHERE label = 0 GROUP BY dim), d AS (SELECT vec_id, sum(value * value - 2 * value * s / n + q / n) AS m FROM el JOIN p USING (dim) WHERE label <> 0 GROUP BY vec_id) SELECT vec_id, {rhu('m', 5)} AS mean_d2 FROM d ORDER BY m DESC, vec_id LIMIT 50")
+@query("pu_distance", f"WITH {EMB}, d AS (SELECT u.vec_id, avg(list_distance(u.v, p.v)) AS m FROM e u, e p WHERE u.label <> 0 AND p.label = 0 GROUP BY u.vec_id) SELECT vec_id, {rhu('m', 4)} AS euclidean_dif FROM d ORDER BY m DESC, vec_id LIMIT 50")
 def pu_distance(spark: SparkSession, sf: str) -> DataFrame:
     x = load(spark, sf, "embeddings")
-    d = M.mean_distance_to(x.filter("label <> 0"), x.filter("label = 0"), "vec_id", "embedding", DIMS)
-    return M.reliable_negatives(d, "vec_id", 50).withColumn("mean_d2", r(F.col("mean_d2"), 5))
+    d = M.mean_distance_to(x.filter("label <> 0"), x.filter("label = 0"), "vec_id", "embedding")
+    return M.reliable_negatives(d, "vec_id", 50).select("vec_id", r(F.col("distance"), 4).alias("euclidean_dif"))
+
+
+@query("pu_distance_metrics", f"WITH {EMB}, d AS (SELECT u.vec_id, avg(1 - list_cosine_similarity(u.v, p.v)) AS c, avg(list_sum(list_transform(list_zip(u.v, p.v), lambda z: abs(z[1] - z[2])))) AS m FROM e u, e p WHERE u.label <> 0 AND p.label = 0 GROUP BY u.vec_id) SELECT vec_id, {rhu('c', 4)} AS cosine_dif, {rhu('m', 4)} AS manhattan_dif FROM d")
+def pu_distance_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean distances to the positives by the other metrics, of all unlabelled vectors."""
+    x = load(spark, sf, "embeddings")
+    c, m = (M.mean_distance_to(x.filter("label <> 0"), x.filter("label = 0"), "vec_id", "embedding", k) for k in ("cosine", "manhattan"))
+    return c.join(m.withColumnRenamed("distance", "_m"), "vec_id").select("vec_id", r(F.col("distance"), 4).alias("cosine_dif"), r(F.col("_m"), 4).alias("manhattan_dif"))
 
 
 @query("pu_eval", f"WITH {EMB} SELECT label, {rhu('avg(s)', 6)} AS avg_std, {rhu('avg(q)', 6)} AS avg_iqr FROM (SELECT label, dim, stddev_pop(value) AS s, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS q FROM el GROUP BY label, dim) GROUP BY label")
@@ -124,12 +142,12 @@ def calibration_bins(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("bin", "n", r(F.col("mean_p"), 6).alias("mean_p"), r(F.col("rate"), 6).alias("rate"))
 
 
-@query("conformal_sets", f"WITH {_P}, sc AS (SELECT CASE WHEN y = 1 THEN 1 - p ELSE p END AS s FROM pr WHERE o_orderkey % 3 = 0), o AS (SELECT s, row_number() OVER (ORDER BY s) AS i, count(*) OVER () AS n FROM sc), t AS (SELECT min(s) AS t FROM o WHERE i >= ceil((n - 1) * 0.9::DOUBLE) + 1) SELECT CASE WHEN 1 - p <= t AND p <= t THEN 'both' WHEN 1 - p <= t THEN 'pos' WHEN p <= t THEN 'neg' ELSE 'none' END AS s, count(*) AS n FROM pr, t WHERE o_orderkey % 3 <> 0 GROUP BY 1")
+@query("conformal_sets", f"WITH {_P}, sc AS (SELECT CASE WHEN y = 1 THEN 1 - p ELSE p END AS s FROM pr WHERE o_orderkey % 3 = 0), o AS (SELECT s, row_number() OVER (ORDER BY s) AS i, count(*) OVER () AS n FROM sc), t AS (SELECT min(s) AS t FROM o WHERE i >= ceil((n - 1) * least(1, ceil((n + 1) * 0.9::DOUBLE) / n::DOUBLE)) + 1) SELECT CASE WHEN 1 - p <= t AND p <= t THEN 'both' WHEN 1 - p <= t THEN 'pos' WHEN p <= t THEN 'neg' ELSE 'none' END AS s, count(*) AS n FROM pr, t WHERE o_orderkey % 3 <> 0 GROUP BY 1")
 def conformal_sets(spark: SparkSession, sf: str) -> DataFrame:
     """A third of the orders calibrates (the operator's split), the others get their sets."""
     rows = _probabilities(spark, sf)
     scores = rows.filter("o_orderkey % 3 = 0").select(F.when(F.col("y") == 1, 1 - F.col("p")).otherwise(F.col("p")).alias("s"))
-    rest = rows.filter("o_orderkey % 3 <> 0").crossJoin(F.broadcast(M.higher_quantile(scores, "s", 0.9)))
+    rest = rows.filter("o_orderkey % 3 <> 0").crossJoin(F.broadcast(M.conformal_quantile(scores, "s", 0.1)))
     return rest.groupBy(M.conformal_sets(F.col("p"), F.col("threshold")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -164,12 +182,21 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("chopping_parse", "SELECT p_partkey, 3 AS parts, (p_size + 5) AS last FROM part")
+@query(
+    "chopping_parse",
+    """WITH t AS (SELECT p_partkey, concat(p_partkey % 5 + 1, '-', p_size + 5, CASE WHEN p_size % 2 = 0 THEN concat('_', p_size + 7, '-', p_size + 9) ELSE '' END, ',', p_size + 20, '-', p_size + 20 + p_partkey % 30) AS c FROM part),
+    d AS (SELECT p_partkey, unnest(string_split(c, ',')) AS dom, unnest(range(1, len(string_split(c, ',')) + 1)) AS domain FROM t),
+    x AS (SELECT p_partkey, domain, unnest(string_split(dom, '_')) AS seg FROM d)
+    SELECT p_partkey, domain::INT AS domain, split_part(seg, '-', 1)::INT AS start, split_part(seg, '-', 2)::INT AS stop FROM x""",
+)
 def chopping_parse(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.lit("1-2_4-5,7-"), (F.col("p_size") + 5).cast("string"))
-    d = load(spark, sf, "part").select("p_partkey", A.chopping(text).alias("c"))
-    flat = F.flatten("c")
-    return d.select("p_partkey", F.size(flat).alias("parts"), F.element_at(flat, -1)["stop"].alias("last"))
+    """A row per segment of each domain of texts like ``1-10_12-14,25-40``."""
+    size, key, text = F.col("p_size"), F.col("p_partkey"), lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    s = lambda c: c.cast("string")
+    second = F.when(size % 2 == 0, text("_", s(size + 7), "-", s(size + 9))).otherwise("")
+    chopped = load(spark, sf, "part").select("p_partkey", A.chopping(text(s(key % 5 + 1), "-", s(size + 5), second, ",", s(size + 20), "-", s(size + 20 + key % 30))).alias("c"))
+    domains = chopped.select("p_partkey", F.posexplode("c").alias("_d", "segments"))
+    return domains.select("p_partkey", (F.col("_d") + 1).alias("domain"), F.explode("segments").alias("_s")).select("p_partkey", "domain", "_s.start", "_s.stop")
 
 
 @query("pae_bands", f"WITH m AS (SELECT l_suppkey AS i, l_partkey % 40 AS j, l_quantity AS v FROM lineitem) SELECT i, CASE WHEN abs(i - j) <= 5 THEN 'near' WHEN abs(i - j) <= 15 THEN 'middle' ELSE 'far' END AS band, {rhu('avg(v)', 5)} AS mean, count(*) AS n FROM m GROUP BY 1, 2")
@@ -189,12 +216,12 @@ def fasta_lines(spark: SparkSession, sf: str) -> DataFrame:
     return fasta.fasta_lines(sequences(spark, sf), infos=("lang",))
 
 
-@query("annotation_context", f"WITH {SEQ} SELECT entry, length(sequence) - length(replace(sequence, 'K', '')) AS eligible FROM seq")
+@query("annotation_context", f"WITH {SEQ}, c AS (SELECT entry, unnest(range(5, length(sequence) - 3)) AS pos FROM seq) SELECT entry, pos::INT AS pos FROM c WHERE pos BETWEEN entry % 11 + 1 AND entry % 11 + 30 AND NOT pos BETWEEN entry % 7 + 20 AND entry % 7 + 45")
 def annotation_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Centres whose residue carries the wanted tag: here every K."""
-    from ..functions.parts import letters_of
-
-    base = sequences(spark, sf).select("entry", letters_of(F.col("sequence")).alias("tags"))
-    rows = base.select("entry", F.posexplode("tags").alias("_p", "tag")).select("entry", F.array("tag").alias("tags"), F.lit(1).alias("center"))
-    hits = W.context_filter(rows, "tags", inside=["K"]).groupBy("entry").agg(F.count(F.lit(1)).alias("eligible"))
-    return base.select("entry").join(hits, "entry", "left").select("entry", F.coalesce("eligible", F.lit(0)).alias("eligible"))
+    """Centres of windows inside one kind of annotated interval and outside another: each position carries its tags, no row the whole sequence."""
+    n, key = F.length("sequence"), F.col("entry")
+    inside = lambda i, m, a, b: i.between(key % m + a, key % m + b)
+    tag = lambda i: F.struct(i.alias("pos"), F.when(inside(i, 11, 1, 30), "helix").otherwise("none").alias("helix"), F.when(inside(i, 7, 20, 45), "site").otherwise("none").alias("site"))
+    rows = sequences(spark, sf).filter(n >= 9).select("entry", F.explode(F.transform(F.sequence(F.lit(5), n - 4), tag)).alias("_t"))
+    rows = rows.select("entry", "_t.pos", F.array("_t.helix").alias("helix"), F.array("_t.site").alias("site"), F.lit(1).alias("center"))
+    return W.context_filter(W.context_filter(rows, "helix", inside=["helix"]), "site", outside=["site"]).select("entry", "pos")

@@ -131,7 +131,9 @@ def test_metrics(spark):
     s = spark.createDataFrame([(0.9, 1), (0.1, 0), (0.8, 1), (0.2, 0)], "score double, truth int")
     d = X.detection(s, "score", "truth").first()
     assert (d.tp, d.fp, d.fn, d.tn, d.mcc) == (2, 0, 0, 2, 1.0)
-    assert X.higher_quantile(spark.createDataFrame([(float(i),) for i in range(11)], "v double"), "v", 0.85).first()[0] == 9.0
+    ten = spark.createDataFrame([(float(i),) for i in range(19)], "v double")
+    # 19 values: the level is ceil(20 * 0.9) / 19 = 18 / 19, its position in 0..18 is 17.05, rounded up
+    assert X.conformal_quantile(ten, "v", 0.1).first()[0] == 18.0 and X.conformal_quantile(ten, "v", 0.5).first()[0] == 10.0
     pts = [(i, *np.random.default_rng(i).random(3).tolist()) for i in range(80)]
     want = {a[0]: sum(a[0] != b[0] and sum((x - y) ** 2 for x, y in zip(a[1:], b[1:], strict=True)) <= 0.04 for b in pts) for a in pts}
     assert {r.k: r.contacts for r in X.contacts(spark.createDataFrame(pts, "k int, x double, y double, z double"), "k", ["x", "y", "z"], 0.2).collect()} == want
