@@ -8,8 +8,10 @@ different; of a run that isn't, only its verbatim windows count. A passage whose
 Template windows of slots mostly say nothing and don't count: half of a window's words at least must be literal. Beside them all windows
 are joined as they read in lower case, whatever their words are, so a verbatim passage is found in any letter case.
 
-The index of item windows goes to the tasks in blocks of at most ``BLOCK_WINDOWS`` (a benchmark needs one); more blocks make more
-passes over the texts. Texts are never shuffled for the join, only their hits.
+An item shorter than a window is one window of its own length, found as it reads; below ``SHORTEST`` words it says nothing.
+
+An index of up to ``BLOCK_WINDOWS`` item windows goes to the tasks, and texts are judged where they stand. A larger benchmark is a table of windows: a Bloom
+filter of their hashes lets few windows of the texts pass, and these are hash-joined to it. Texts are never shuffled, only hits.
 """
 
 from __future__ import annotations
@@ -17,15 +19,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_slices, table, text_buffer, text_or_empty, windows, word_hashes, words_of
+from ._common import batch_slices, bloom_bits, bloom_has, bloom_of, cut, free_name, mix, table, text_buffer, text_or_empty, windows, word_hashes, words_of
 
 WINDOW = 13
 LEAST_LITERALS = 7
+#: Words of the shortest item that is looked for.
+SHORTEST = 8
+#: Item windows that are sent to the tasks as an index; more are joined as a table.
 BLOCK_WINDOWS = 1 << 20
 _SLICE = 1 << 20
 #: Units that stand for ``<unit>`` after a number (fixed values).
@@ -44,10 +50,15 @@ LITERAL, NUM, NAME, UNIT = range(4)
 
 
 def _trimmed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the marks at their ends; of a word of marks one is left."""
     lo, hi = starts.copy(), ends.copy()
-    for _ in range(3):  # up to three marks at either end
-        lo += (hi - lo > 1) & _TRIM[raw[lo]]
-        hi -= (hi - lo > 1) & _TRIM[raw[hi - 1]]
+    some = np.arange(len(lo))
+    while len(some):
+        left = (hi[some] - lo[some] > 1) & _TRIM[raw[lo[some]]]
+        lo[some] += left
+        right = (hi[some] - lo[some] > 1) & _TRIM[raw[hi[some] - 1]]
+        hi[some] -= right
+        some = some[left | right]
     return lo, hi
 
 
@@ -162,19 +173,32 @@ class WindowIndex:
 
 
 class ItemIndex:
-    """Windows of items, as templates and as they read, and the items' words for the check of the slots."""
+    """Windows of items, as templates and as they read, and the items' words for the check of the slots; of items shorter than a window the whole."""
 
     def __init__(self, ids: list[int], texts: list[str], window: int = WINDOW):
         self.ids, self.window = np.asarray(ids, dtype=np.int64), window
         found, self.literal, self.kind, self.first = text_windows(pa.array(texts, pa.string()), window)
         self.templates, self.verbatim = (WindowIndex(*f, window) for f in found)
+        sizes = np.diff(self.first)
+        self.short = []
+        for n in range(SHORTEST, window):
+            items = np.flatnonzero(sizes == n)
+            if len(items):
+                self.short.append(WindowIndex(items, np.zeros(len(items), np.int64), windows(self.literal, n)[self.first[items]], n))
+
+    def _verbatim(self, literal: np.ndarray, first: np.ndarray, verbatim: tuple) -> Iterator[tuple[tuple[int, int, int], int, int]]:
+        yield from self.verbatim.runs(*verbatim)
+        for index in self.short:
+            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[: max(len(literal) - index.window + 1, 0)]
+            where = np.flatnonzero(np.arange(len(doc)) + index.window <= first[1:][doc]) if len(doc) else np.zeros(0, np.int64)
+            yield from index.runs(doc[where], where - first[doc[where]], windows(literal, index.window)[where])
 
     def hits(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int, bool]]:
         """Text number, item_id, first word in the text, first word in the item, words, verbatim: of each verbatim or consistent run; runs
         inside another of their diagonal don't count."""
         (templates, verbatim), literal, kind, first = text_windows(texts, self.window)
         runs: dict[tuple[int, int, int], list[tuple[int, int, bool]]] = {}
-        for (d, item, shift), a, n in self.verbatim.runs(*verbatim):
+        for (d, item, shift), a, n in self._verbatim(literal, first, verbatim):
             mine, theirs = self.first[item] + a, first[d] + a + shift
             if np.array_equal(self.literal[mine : mine + n], literal[theirs : theirs + n]):
                 runs.setdefault((d, item, shift), []).append((a, a + n, True))
@@ -184,11 +208,17 @@ class ItemIndex:
             if np.array_equal(self.kind[mine], kind[theirs]) and consistent(self.literal[mine], literal[theirs], self.kind[mine]):
                 runs.setdefault((d, item, shift), []).append((a, a + n, False))
         for (d, item, shift), found in runs.items():
-            end = -1
-            for a, b, same in sorted(found, key=lambda r: (r[0], -r[1], not r[2])):
-                if b > end:
-                    yield d, int(self.ids[item]), a + shift, a, b - a, same
-                    end = b
+            for a, b, same in outermost(found):
+                yield d, int(self.ids[item]), a + shift, a, b - a, same
+
+
+def outermost(found: list[tuple[int, int, bool]]) -> Iterator[tuple[int, int, bool]]:
+    """The runs of one diagonal that lie in no other, verbatim ones first."""
+    end = -1
+    for a, b, same in sorted(found, key=lambda r: (r[0], -r[1], not r[2])):
+        if b > end:
+            yield a, b, same
+            end = b
 
 
 def _find(index):
@@ -205,55 +235,124 @@ def _find(index):
     return run
 
 
-def item_blocks(items: DataFrame, most: int = BLOCK_WINDOWS) -> Iterator[ItemIndex]:
-    """Indexes of bounded size, one after another; items come to the driver in the order of their ids, a block at a time."""
-    ids, texts, size = [], [], 0
-    rows = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text")
-    for row in rows.toLocalIterator():
-        ids.append(row["item_id"])
-        texts.append(row["text"])
-        size += len(row["text"]) // 2 + 1  # a window takes two characters at least
-        if size >= most:
-            yield ItemIndex(ids, texts)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ItemIndex(ids, texts)
-
-
-def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, doc_word, item_word, n_words, verbatim of each consistent run of template windows.
-
-    Items shorter than a window, null items and null or short texts have no windows. Repeated items and rows each count.
+_LEAKS = "doc_id long, item_id long, doc_word long, item_word long, n_words long, verbatim boolean"
+_WINDOWS = "key string, doc_id long, kind int, h long, pos int, literals binary, kinds binary"
+
+
+def _window_table(batches: Iterator[pa.RecordBatch], sent=None, lengths: tuple[int, ...] = (), whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of windows of ``key, doc_id, text``: kind 0 is a template, any other the words of a window as it reads. ``sent``: a filter of hashes. ``whole``: of texts
+    shorter than a window the whole; else windows of the ``lengths`` that short items have."""
+    for batch in batches:
+        texts = batch.column("text")
+        for lo, hi in batch_slices(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), _SLICE >> 2):
+            found, literal, kind, first = text_windows(texts.slice(lo, hi - lo))
+            groups = [(0, WINDOW, *found[0]), (WINDOW, WINDOW, *found[1])]
+            for n in range(SHORTEST, WINDOW) if whole else lengths:
+                doc = np.repeat(np.arange(hi - lo), np.diff(first))[: max(len(literal) - n + 1, 0)]
+                fit = (np.diff(first)[doc] == n) & (np.arange(len(doc)) == first[doc]) if whole else np.arange(len(doc)) + n <= first[1:][doc]
+                where = np.flatnonzero(fit) if len(doc) else np.zeros(0, np.int64)
+                groups.append((n, n, doc[where], where - first[doc[where]], windows(literal, n)[where]))
+            for name, n, doc, pos, h in groups:
+                h = mix(h ^ np.uint64(name))
+                if sent is not None:
+                    some = np.flatnonzero(bloom_has(sent.value, h.view(np.int64)))
+                    doc, pos, h = doc[some], pos[some], h[some]
+                if not len(h):
+                    continue
+                at = first[doc] + pos
+                words = [literal[k : k + n].tobytes() for k in at.tolist()]
+                kinds = [kind[k : k + n].tobytes() for k in at.tolist()]
+                owner = pa.array(lo + doc)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(owner), batch.column("doc_id").take(owner), pa.array(np.full(len(h), name, np.int32)), pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(words, pa.binary()), pa.array(kinds, pa.binary())],
+                    names=["key", "doc_id", "kind", "h", "pos", "literals", "kinds"],
+                )
+
+
+def _runs_of_diagonal(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The runs of one text, item and shift from its hits."""
+    found = []
+    for kind, rows in pdf.groupby("kind"):
+        rows = rows.drop_duplicates("item_pos").sort_values("item_pos")
+        size = int(kind) or WINDOW
+        places = rows["item_pos"].to_numpy()
+        for run in np.split(np.arange(len(places)), np.flatnonzero(np.diff(places) > 1) + 1):
+            mine, theirs, kinds, other = ([np.frombuffer(v, t) for v in rows[c].iloc[run]] for c, t in (("item_literals", np.uint64), ("literals", np.uint64), ("item_kinds", np.int8), ("kinds", np.int8)))
+            joined = lambda parts: np.concatenate([parts[0], *[p[-1:] for p in parts[1:]]])
+            a, b, k, o = joined(mine), joined(theirs), joined(kinds), joined(other)
+            if np.array_equal(a, b) if kind else np.array_equal(k, o) and consistent(a, b, k):
+                found.append((int(places[run[0]]), int(places[run[0]]) + len(run) - 1 + size, bool(kind)))
+    first = pdf.iloc[0]
+    rows = [(first["key"], first["doc_id"], first["item_id"], a + first["shift"], a, b - a, same) for a, b, same in outermost(found)]
+    return pd.DataFrame(rows, columns=["key", "doc_id", "item_id", "doc_word", "item_word", "n_words", "verbatim"])
+
+
+def joined_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``key`` and the columns of ``find_leaks``, by a hash join of the windows of ``docs(key, doc_id, text)`` and ``items(item_id, text)``."""
+    known = items.select(F.lit("").alias("key"), F.col("item_id").alias("doc_id"), "text").mapInArrow(lambda b: _window_table(b, whole=True), _WINDOWS)
+    known = cut(known.select(F.col("doc_id").alias("item_id"), "kind", "h", F.col("pos").alias("item_pos"), F.col("literals").alias("item_literals"), F.col("kinds").alias("item_kinds")))
+    lengths = tuple(r["kind"] for r in known.filter((F.col("kind") > 0) & (F.col("kind") < WINDOW)).select("kind").distinct().collect())
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(known.select("h"), bloom_bits(known.count())))
+    there = docs.mapInArrow(lambda b: _window_table(b, sent, lengths), _WINDOWS)
+    hits = there.join(known, ["h", "kind"]).withColumn("shift", (F.col("pos") - F.col("item_pos")).cast("long"))
+    return hits.groupBy("key", "doc_id", "item_id", "shift").applyInPandas(_runs_of_diagonal, "key string, " + _LEAKS)
+
+
+def item_index(items: DataFrame, most: int | None = None) -> ItemIndex | None:
+    """An index of all items, in the order of their ids, or none if they may have more windows than ``most``."""
+    rows = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = rows.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0.0))).first()[0]  # a window takes two characters at least
+    if size > (BLOCK_WINDOWS if most is None else most):
+        return None
+    rows = rows.orderBy("item_id", "text").collect()
+    return ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows])
+
+
+def _known_items(items: DataFrame) -> DataFrame:
+    return items.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, item_id, doc_word, item_word, n_words, verbatim of each verbatim or consistent run of windows.
+
+    Null items, items of under ``SHORTEST`` words, and null or short texts have no windows; very long texts are searched whole. Repeated items with one id count
+    once, repeated rows each where the index is sent; rows without a doc_id count. Nothing on one side: no rows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    schema = "doc_id long, item_id long, doc_word long, item_word long, n_words long, verbatim boolean"
-    out = None
-    for index in item_blocks(items):
-        found = docs.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(index)), schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
-
-
-def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any leak, as they are: each text is judged where it stands, so nothing is joined or moved."""
+    index = item_index(items, most)
+    if index is not None:
+        return docs.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(index)), _LEAKS)
+    return joined_leaks(docs.select(F.md5("text").alias("key"), "doc_id", "text"), _known_items(items)).drop("key")
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of ``docs`` without any leak, as they are, with columns of any name: each text is judged where it stands, so nothing is joined or moved; against more
+    items than ``most`` texts are named by their digests."""
+    index = item_index(items, most)
+    if index is None:
+        key, row = free_name("_md5", docs.columns), free_name("_row", docs.columns)
+        leaks = joined_leaks(docs.select(F.md5(text_or_empty()).alias("key"), F.lit(0).cast("long").alias("doc_id"), text_or_empty().alias("text")), _known_items(items))
+        packed = docs.select(F.struct("*").alias(row), F.md5(text_or_empty()).alias(key))
+        return packed.join(leaks.select(F.col("key").alias("_leak")).distinct(), F.col(key) == F.col("_leak"), "left_anti").select(f"{row}.*")
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    for index in item_blocks(items):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column("text")
-                sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
-                leaks = np.zeros(batch.num_rows, bool)
-                for lo, hi in batch_slices(sizes, _SLICE):
-                    leaks[[lo + d for d, *_ in sent.value.hits(texts.slice(lo, hi - lo))]] = True
-                yield batch.filter(pa.array(~leaks))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+            leaks = np.zeros(batch.num_rows, bool)
+            for lo, hi in batch_slices(sizes, _SLICE):
+                leaks[[lo + d for d, *_ in sent.value.hits(texts.slice(lo, hi - lo))]] = True
+            yield batch.filter(pa.array(~leaks))
 
-        docs = docs.mapInArrow(keep, kinds)
-    return docs
+    return docs.mapInArrow(keep, kinds)
 
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document and item that it holds passages of: doc_id, item_id, runs, longest_run (words), verbatim (if any run is)."""
+    """A row per document and item that it holds passages of: doc_id, item_id, runs, longest_run (words), verbatim (if any run is).
+
+    Null, empty and short texts have none; odd rows are taken as ``find_leaks`` says.
+    """
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("runs"), F.max("n_words").alias("longest_run"), F.max("verbatim").alias("verbatim"))

@@ -30,11 +30,13 @@ MIXED = "[A-Za-z0-9]{24,}"
 KINDS = ("assign", "access", "hex", "mixed")
 #: A candidate of this many owners or more counts as a copied example.
 COPIED = 3
+#: Matches that are gathered before they join the others of their text.
+CHUNK = 64
 _SPAN = "array<struct<start:bigint,order:int,kind:string,end:bigint,value:string>>"
 
 
 def _spans(text: Column, order: int, pattern: str, value_group: int, may: Column, keep) -> Column:
-    """The matches of one kind as structs, positions by adding up the lengths of pieces and matches."""
+    """The matches of one kind as structs, positions by adding up the lengths of pieces and matches. Arrays grow in chunks, so a text of many matches isn't copied for each."""
     pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
@@ -47,8 +49,17 @@ def _spans(text: Column, order: int, pattern: str, value_group: int, may: Column
         span = F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(KINDS[order]).alias("kind"), end.alias("end"), row["v"].alias("value"))
         return F.struct(end.alias("at"), F.when(keep(row), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans"))
-    return F.when(may, F.aggregate(rows, first, lambda s, r: step(s, r).cast(f"struct<at:bigint,spans:{_SPAN}>"), lambda s: s["spans"])).otherwise(empty)
+    state = f"struct<at:bigint,spans:{_SPAN}>"
+    nested = f"struct<at:bigint,spans:array<{_SPAN}>>"
+
+    def chunk(done: Column, k: Column) -> Column:
+        first = F.struct(done["at"].alias("at"), empty.alias("spans"))
+        some = F.aggregate(F.slice(rows, k * CHUNK + 1, F.lit(CHUNK)), first.cast(state), lambda s, r: step(s, r).cast(state))
+        return F.transform(F.array(some), lambda s: F.struct(s["at"].alias("at"), F.concat(done["spans"], F.array(s["spans"])).alias("spans")).cast(nested))[0]
+
+    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans")).cast(nested)
+    chunks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int"))
+    return F.when(may & (F.size(found) > 0), F.aggregate(chunks, none, chunk, lambda s: F.flatten(s["spans"]))).otherwise(empty)
 
 
 def find_spans(text: Column) -> dict[str, Column]:
@@ -104,6 +115,6 @@ def scan_secrets(docs: DataFrame, key: str, repository: Column, owner: Column, t
 
 
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of all documents; a source is an owner, and its texts of one language are a repository."""
+    """Secrets of all documents; a source is an owner, and its texts of one language are a repository. Odd rows are taken as ``scan_secrets`` says."""
     docs = table(spark, sf_dir, "documents")
     return scan_secrets(docs, "doc_id", F.concat_ws("/", "source", "lang"), F.col("source"))

@@ -97,6 +97,30 @@ def test_url_rules(spark):
             assert got[i][2] == (best.verdict if best else "block" if "/login/" in path else "allow")
 
 
+def test_url_rules_run_only_what_tokens_fetch(spark):
+    """A url runs the expressions of the rules that its tokens fetch, and no other."""
+    rules = url_rules.SITE_RULES + url_rules.METHOD_RULES
+    free = [r for r in rules if not r.tokens()]
+    urls = ["http://qqq.zz/www", "http://example.org/es/" + "x" * 100_000, "http://x.net/a/login/b", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_rules.judge_urls(pages, rules).collect()}
+    counts = url_rules.token_counts(pages.select("url"), rules)
+    by, _ = url_rules.build_index(rules, counts)
+    for i, url in enumerate(urls):
+        fetched = sum(len(by.get(t, ())) for t in url_rules.url_tokens(*url_rules.split_url(url)))
+        assert got[i].candidates == fetched + len(free) and got[i].regex_runs <= got[i].candidates
+    assert got[0].regex_runs <= len(free) and max(r.candidates for r in got.values()) < len(rules) / 2
+    assert got[1].verdict == "block" and got[1].rule == "example.org/es/"
+
+
+def test_secrets_of_a_text_of_many(spark):
+    text = "\n".join(f"token: abc{i:06d} {'%040x' % (i * 7919)}" for i in range(3000))
+    r = secrets.scan_secrets(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string"), "doc_id", F.col("source"), F.col("source")).first()
+    assert (r.n_assign, r.n_hex) == (3000, 3000)
+    spans = [s.split(":") for s in r.spans.split(",")]
+    assert [text[int(a) : int(b)] for k, a, b in spans if k == "hex"] == ["%040x" % (i * 7919) for i in range(3000)]
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(-40, 40, size=(400, 8))
@@ -451,6 +475,86 @@ def test_decontamination_of_slots_and_letter_case(spark):
     assert {r.n_words for r in leaks if r.item_id == 0} == {len(prose.split())}
 
 
+def plain_canonical(text):
+    """Words of a text and their kinds, one word at a time."""
+    units = set(decontaminate.UNITS)
+    out, before, start, line = [], "", True, True
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        begins = start or before[-1:] in (".", "!", "?", ":") or "\n" in text[at_end : m.start()]
+        word = m[0]
+        while len(word) > 1 and ord(word[0]) < 128 and not word[0].isalnum() and word[0] not in "%$":
+            word = word[1:]
+        while len(word) > 1 and ord(word[-1]) < 128 and not word[-1].isalnum() and word[-1] not in "%$":
+            word = word[:-1]
+        literal = word.lower()
+        capitals, digits = sum("A" <= c <= "Z" for c in word), sum("0" <= c <= "9" for c in word)
+        kind = "name" if ("A" <= word[0] <= "Z" and not begins) or (capitals == len(word) > 1) else "word"
+        kind = "num" if 2 * digits >= len(word.encode()) else kind
+        if out and out[-1][1] == "num" and literal in units:
+            kind = "unit"
+        out.append((literal, kind))
+        before, start, at_end = m[0], False, m.end()
+    return out
+
+
+def plain_leaks(text, item):
+    """Whether a text holds a verbatim window, or a run of template windows with consistent slots, of an item."""
+    a, b = plain_canonical(item), plain_canonical(text)
+    if len(a) < decontaminate.SHORTEST:
+        return False
+    n = min(13, len(a))
+    template = lambda w: tuple(x if k == "word" else k for x, k in w)
+    if any([x for x, _ in a[i : i + n]] == [x for x, _ in b[j : j + n]] for i in range(len(a) - n + 1) for j in range(len(b) - n + 1)):
+        return True
+    for shift in range(-len(a), len(b)) if n == 13 else ():
+        hit = [i for i in range(len(a) - 12) if 0 <= i + shift <= len(b) - 13 and template(a[i : i + 13]) == template(b[i + shift : i + shift + 13]) and sum(k == "word" for _, k in a[i : i + 13]) >= 7]
+        for run in np.split(np.array(hit), np.flatnonzero(np.diff(hit) > 1) + 1) if hit else ():
+            pairs = [(a[p], b[p + shift]) for p in range(run[0], run[-1] + 13) if a[p][1] != "word"]
+            for kind in ("num", "name", "unit"):
+                of = {(x, y) for (x, k), (y, _) in pairs if k == kind}
+                if len(of) != len({x for x, _ in of}) or len(of) != len({y for _, y in of}):
+                    break
+            else:
+                return True
+    return False
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_decontamination_against_brute_force(spark, most):
+    rng = random.Random(31)
+    names, units = ["Alice", "Bob", "Carol", "Dave"], ["km", "kg", "minutes"]
+
+    def question():
+        words = sentence(rng, rng.randrange(6, 26)).split()
+        for k in range(0, len(words), 4):
+            words[k] = rng.choice([rng.choice(names), str(rng.randrange(100)), f"{rng.randrange(9)} {rng.choice(units)}", words[k], f"((({words[k]})))..."])
+        return " ".join(words)
+
+    items = [(i, question()) for i in range(25)] + [(90, "one two three"), (91, "What nine words stand in this very short question?")]
+    rows = []
+    for d in range(60):
+        _, text = rng.choice(items)
+        words = text.split()
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            words[rng.randrange(len(words))] = rng.choice([*names, "7", "55", "other"])
+        rows.append((d, f"{sentence(rng, 3)}. {' '.join(words)} {sentence(rng, 4)}" if d % 3 else sentence(rng, 40)))
+    rows += [(100, "so: what NINE words stand in this very short question ... yes"), (101, None), (102, items[3][1].upper())]
+    want = {(d, i) for d, t in rows for i, q in items if plain_leaks(t or "", q)}
+    assert (100, 91) in want and (102, 3) in want and len(want) > 25
+    frames = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(*frames, most=most).collect()} == want
+    assert {r.doc_id for r in decontaminate.drop_leaks(*frames, most=most).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_decontamination_runs_are_the_same_by_join(spark):
+    rng = random.Random(4)
+    a, b, c = (sentence(rng, 20) for _ in range(3))
+    items = spark.createDataFrame([(10, f"{a} on Monday {b} on Monday {c}")], "item_id long, text string")
+    rows = frame(spark, [(1, f"so {a} on Monday {b} on Tuesday {c}"), (3, f"{a} on Tuesday {b} on Tuesday {c}")])
+    runs = [sorted(tuple(r) for r in decontaminate.find_leaks(rows, items, most=m).collect()) for m in (None, 0)]
+    assert runs[0] == runs[1] and len(runs[0]) == 3
+
+
 def test_shares():
     assert mixing.share_out(90, [1, 1, 1], [10, 100, 100]) == [10, 40, 40]
     budgets = mixing.leaf_budgets({("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 5}, {}, 60, 1)
