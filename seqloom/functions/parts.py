@@ -5,7 +5,7 @@ All are column expressions over sequence, tmd_start and tmd_stop (1-based, inclu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .alphabet import GAP, LETTERS
@@ -106,3 +106,58 @@ def explode_anchors(df_seq: DataFrame, pos: str = "pos", size: int = 9) -> DataF
     out = df_seq.withColumn("_pos", F.explode(pos)).withColumn("start", F.col("_pos") - left).withColumn("stop", F.col("_pos") + right - 1)
     out = out.filter((F.col("start") >= 1) & (F.col("stop") <= F.length("sequence")))
     return out.withColumn("entry_win", F.concat(F.col("entry").cast("string"), F.lit("_"), F.col("start").cast("string"), F.lit("-"), F.col("stop").cast("string"))).withColumn("window", F.substring("sequence", F.col("start"), F.lit(size))).drop("_pos")
+
+
+def window_between(sequence: Column, start: int, stop: int, index1: bool = False, gap: str = GAP) -> Column:
+    """The letters from ``start`` to ``stop``, both included, counted from 0 (or from 1), filled up with gaps past the end."""
+    size = stop - start + 1
+    return F.rpad(F.substring(sequence, start if index1 else start + 1, size), size, gap)
+
+
+def windows_between(sequence: Column, size: int, first: int = 0, last: int | None = None, index1: bool = False) -> Column:
+    """Array of (start, window) of all windows that lie between ``first`` and ``last`` (the end if none), in the counting asked for."""
+    shift = 0 if index1 else 1
+    end = F.length(sequence) if last is None else F.least(F.length(sequence), F.lit(last + shift))
+    starts = F.sequence(F.lit(first + shift), F.greatest(end - size + 1, F.lit(first + shift)))
+    every = F.transform(starts, lambda i: F.struct((i - shift).cast("int").alias("start"), F.substring(sequence, i, F.lit(size)).alias("window")))
+    return F.filter(every, lambda w: F.length(w["window"]) == size)
+
+
+def even_windows(df: DataFrame, size: int) -> DataFrame:
+    """``entry, sequence, label`` of all windows of even ``size`` around a bond, from ``df(entry, sequence, labels array)``: named ``<entry>_<i>|<i+1>``, positive if the residues on
+    both sides are. Windows past an edge go. Letters are picked by index, so no row carries a sequence."""
+    half = size // 2
+    base = df.select("entry", letters_of(F.col("sequence")).alias("_l"), "labels")
+    both = lambda i: ((F.get("labels", i) == 1) & (F.get("labels", i - 1) == 1)).cast("int")
+    window = lambda i: F.struct(i.alias("i"), window_of(F.col("_l"), i - half + 1, size).alias("sequence"), both(i).alias("label"))
+    rows = base.filter(F.size("_l") >= size).select("entry", F.explode(F.transform(F.sequence(F.lit(half), F.size("_l") - half), window)).alias("_w"))
+    return rows.select(F.concat(F.col("entry").cast("string"), F.lit("_"), F.col("_w.i").cast("string"), F.lit("|"), (F.col("_w.i") + 1).cast("string")).alias("entry"), "_w.sequence", "_w.label")
+
+
+def apply_policy(df: DataFrame, policy: str, column: str = "sequence") -> DataFrame:
+    """What happens to sequences with other than the canonical letters: ``keep`` them, ``remove`` them, or put a ``gap`` for each such letter."""
+    if policy == "remove":
+        return df.filter(~F.col(column).rlike(f"[^{LETTERS}]"))
+    return df.withColumn(column, F.regexp_replace(column, f"[^{LETTERS}]", GAP)) if policy == "gap" else df
+
+
+def pad_frame(df_parts: DataFrame, parts: tuple[str, ...], gap: str = GAP, at: str = "C") -> DataFrame:
+    """Parts filled up to the longest of each."""
+    longest = df_parts.agg(*[F.max(F.length(p)).alias(f"_{p}") for p in parts])
+    joined = df_parts.crossJoin(F.broadcast(longest))
+    return joined.withColumns({p: pad(F.col(p), F.col(f"_{p}"), gap, at) for p in parts}).drop(*[f"_{p}" for p in parts])
+
+
+def parts_of_windows(windows: dict[str, DataFrame], order: str) -> DataFrame:
+    """``entry, <part>...``: the k-th window of each set (by ``order``) makes the k-th row, named REF<k>; rows end with the shortest set.
+
+    Rows are numbered by their place within ranges of ``order`` that are sorted apart, and the ranges' counts, which are few, are added up."""
+    out = None
+    for part, rows in windows.items():
+        ranged = rows.repartitionByRange(order).sortWithinPartitions(order).select(F.col("window").alias(part), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+        numbered = ranged.withColumn("_k", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
+        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        firsts = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_first")
+        one = numbered.join(F.broadcast(firsts), "_p").select((F.col("_k") + F.col("_first")).alias("_i"), part)
+        out = one if out is None else out.join(one, "_i")
+    return out.select(F.concat(F.lit("REF"), F.col("_i").cast("string")).alias("entry"), *windows)

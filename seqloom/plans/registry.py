@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core, design, encoding, evaluation, modelling, residues  # noqa: F401
+from . import core, design, encoding, evaluation, modelling, residues, tables  # noqa: F401
 from .catalog import QUERIES, TWINS
 
 
