@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import LETTERS
 from ..functions.parts import letters_of
+from ..functions.splits import Split
 
 
 def substitution_impact(scales: DataFrame) -> DataFrame:
@@ -40,26 +42,68 @@ def scan_plan(df_seq: DataFrame, region: str | None = None, to_aa: str = LETTERS
     return rows.filter("from_aa <> to_aa")
 
 
-def scan_scores(plan: DataFrame, scales: dict[str, Sequence[int]], signs: dict[str, int], size: Column) -> DataFrame:
-    """Adds delta_cpp (sum of absolute changes of the region's scale means) and shift_score (signed by the scale's direction).
+def _part_places(part: str, start: int, stop: int, size: int, jmd_n_len: int, jmd_c_len: int) -> list[int]:
+    """1-based positions of a part in a sequence; 0 where a flank runs out of it."""
+    inside = lambda p: p if 1 <= p <= size else 0
+    tmd, n, c = list(range(start, stop + 1)), [inside(p) for p in range(start - jmd_n_len, start)], [inside(p) for p in range(stop + 1, stop + 1 + jmd_c_len)]
+    half = round(len(tmd) / 2)
+    made = {"tmd": tmd, "tmd_e": tmd, "tmd_n": tmd[:half], "tmd_c": tmd[half:], "jmd_n": n, "jmd_c": c, "tmd_jmd": n + tmd + c, "jmd_n_tmd_n": n + tmd[:half], "tmd_c_jmd_c": tmd[half:] + c}
+    return made[part]
 
-    A single change moves a mean over n letters by (value(to) - value(from)) / n, so all there is to know of a change is a table of
-    380 pairs of letters, which is joined by broadcast.
+
+def feature_scan(df_seq: DataFrame, features: Sequence[tuple[str, Split, str, float]], scales: dict[str, Sequence[int]], to_aa: str = LETTERS, jmd_n_len: int = 10, jmd_c_len: int = 10) -> DataFrame:
+    """``entry, pos, from_aa, to_aa, region, delta_cpp, shift_score`` of every single change: the absolute changes of all feature values added up, and the changes each in
+    the direction of its feature. ``features``: part, split, scale and direction (a sign, or a signed weight).
+
+    A change moves a feature's mean by (value(to) - value(from)) / n where the feature stands on the position, so an entry is read once. Values are rounded to five digits
+    before they are compared, as feature values are.
     """
-    pairs = []
-    for i, a in enumerate(LETTERS):
-        for j, b in enumerate(LETTERS):
-            dif = {s: int(v[j]) - int(v[i]) for s, v in scales.items()}
-            pairs.append((a, b, sum(map(abs, dif.values())), sum(signs[s] * d for s, d in dif.items())))
-    table = plan.sparkSession.createDataFrame(pairs, "from_aa string, to_aa string, _total long, _signed long")
-    unit = size.cast("double") * 100000.0
-    return plan.join(F.broadcast(table), ["from_aa", "to_aa"]).withColumns({"delta_cpp": F.col("_total") / unit, "shift_score": F.col("_signed") / unit}).drop("_total", "_signed")
-
-
-def scan_summary(scan: DataFrame, q: float = 2 / 3) -> DataFrame:
-    """Per entry and region how many changes are disruptive: at or above the quantile of all delta_cpp."""
-    th = scan.agg(F.percentile("delta_cpp", q).alias("_th"))
-    rows = scan.crossJoin(F.broadcast(th)).withColumn("_d", (F.col("delta_cpp") >= F.col("_th")).cast("int"))
+    code = {a: i for i, a in enumerate(LETTERS)}
+    wanted = [LETTERS.index(a) for a in to_aa]
+    tables = {s: np.asarray(v, dtype=np.int64) for s, v in scales.items()}
+    parts = sorted({p for p, *_ in features})
+    kind = dict(df_seq.dtypes)["entry"]
+    schema = f"entry {kind}, pos int, from_aa string, to_aa string, region string, delta_cpp double, shift_score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = pa.array(list(LETTERS))
+        for batch in batches:
+            for entry, sequence, start, stop in zip(batch.column("entry"), *(batch.column(c).to_pylist() for c in ("sequence", "tmd_start", "tmd_stop")), strict=True):
+                if not sequence:
+                    continue
+                codes = np.array([code.get(a, -1) for a in sequence], dtype=np.int64)
+                places = {p: np.asarray(_part_places(p, start, stop, len(codes), jmd_n_len, jmd_c_len), dtype=np.int64) for p in parts}
+                delta, shift = np.zeros((len(codes), len(wanted))), np.zeros((len(codes), len(wanted)))
+                for part, split, scale, direction in features:
+                    span = places[part]
+                    at = np.asarray([p for p in split.positions(len(span)) if p <= len(span)], dtype=np.int64) - 1
+                    at = span[at][span[at] > 0] - 1
+                    at = at[codes[at] >= 0]
+                    if not len(at):
+                        continue
+                    v, n = tables[scale], len(at)
+                    total = int(v[codes[at]].sum())
+                    moved = np.floor((total + v[wanted][None, :] - v[codes[at]][:, None]) / n + 0.5) - math.floor(total / n + 0.5)
+                    delta[at] += np.abs(moved)
+                    shift[at] += direction * moved
+                pos, to = np.nonzero(codes[:, None] != np.asarray(wanted)[None, :])
+                pos, to = pos[codes[pos] >= 0], to[codes[pos] >= 0]
+                region = np.where(pos + 1 < start, 0, np.where(pos + 1 > stop, 2, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([entry.as_py()] * len(pos), batch.column("entry").type), pa.array((pos + 1).astype(np.int32)), letters.take(pa.array(codes[pos])), letters.take(pa.array(np.asarray(wanted)[to])),
+                     pa.array(["jmd_n", "tmd", "jmd_c"]).take(pa.array(region)), pa.array(delta[pos, to] / 1e5), pa.array(shift[pos, to] / 1e5)],
+                    names=["entry", "pos", "from_aa", "to_aa", "region", "delta_cpp", "shift_score"],
+                )
+
+    return df_seq.select("entry", "sequence", "tmd_start", "tmd_stop").mapInArrow(run, schema)
+
+
+def scan_summary(scan: DataFrame, q: float = 2 / 3, threshold: float | None = None) -> DataFrame:
+    """``entry, region, n, n_disruptive, frac_disruptive, mean_delta``: changes are disruptive from the threshold on, by default the quantile of all delta_cpp (whole
+    numbers of 1e-5, so there are few different ones)."""
+    units = F.round(F.col("delta_cpp") * 100000.0).cast("long")
+    th = scan.agg((F.percentile(units, q) / 100000.0).alias("_th")) if threshold is None else scan.sparkSession.createDataFrame([(float(threshold),)], "_th double")
+    rows = scan.crossJoin(F.broadcast(th)).withColumn("_d", (F.col("delta_cpp") >= F.col("_th") - 1e-9).cast("int"))
     return rows.groupBy("entry", "region").agg(F.count(F.lit(1)).alias("n"), F.sum("_d").alias("n_disruptive"), F.avg("_d").alias("frac_disruptive"), F.avg("delta_cpp").alias("mean_delta"))
 
 

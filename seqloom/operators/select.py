@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.splits import Split
+from . import matrix as X
 from . import stats as T
 
 
@@ -91,12 +92,18 @@ def greedy_redundancy(df_feat: DataFrame, scales: Mapping[str, Sequence[int]], n
     stream in in order, and stops at n. ``by_characters`` compares the characters of the position texts instead of the positions.
     """
     spark = df_feat.sparkSession
-    cor = {(a, b): pearson(scales[a], scales[b]) for a in scales for b in scales}
+    known: dict[tuple[str, str], float] = {}
+
+    def cor(a: str, b: str) -> float:
+        if (a, b) not in known:
+            known[a, b] = known[b, a] = pearson(scales[a], scales[b])
+        return known[a, b]
+
     kept: list = []
     ordered = df_feat.orderBy(F.desc("abs_auc"), F.desc("abs_mean_dif"), "feature")
     for row in ordered.select("feature", "scale_id", "category", "positions", "abs_auc", "abs_mean_dif").toLocalIterator():
         at = set(",".join(map(str, row["positions"]))) if by_characters else set(row["positions"])
-        clash = any((not check_category or k["category"] == row["category"]) and redundant(at, places, max_overlap) and cor[k["scale_id"], row["scale_id"]] > max_cor for k, places in kept)
+        clash = any((not check_category or k["category"] == row["category"]) and redundant(at, places, max_overlap) and cor(k["scale_id"], row["scale_id"]) > max_cor for k, places in kept)
         if not clash:
             kept.append((row, at))
         if len(kept) == n:
@@ -117,6 +124,29 @@ def discover(values: DataFrame, scales: Mapping[str, Sequence[int]], metadata: D
     return chosen.join(df_feat.select("feature", "mean_dif", "std_test", "std_ref", "p_value", "p_fdr", "subcategory"), "feature")
 
 
+def discover_wide(df_parts: DataFrame, parts: Sequence[str], splits: Sequence[Split], scales: Mapping[str, Sequence[int]], metadata: DataFrame, n: int = 100, n_pre: int | None = None, max_std: float = 0.2, pct: float = 5, parametric: bool = False) -> DataFrame:
+    """The selection among all parts x splits x scales, however many: sums of all features in one pass over ``df_parts(entry, label, parts)``, then the values and rank statistics of the
+    pre-filter's survivors only, then redundancy. Survivors are bounded by ``n_pre`` (by default ``pct`` percent of the features, ``n`` at least)."""
+    names = list(scales)
+    moments = T.finalize_moments(X.matrix_moments(df_parts, parts, splits, scales))
+    top = n_pre if n_pre is not None else n_pre_filter(len(parts) * len(splits) * len(names), pct, n)
+    numbers = sorted(r["number"] for r in prefilter(moments, max_std, top).select("number").collect())
+    values = X.matrix_values(df_parts, parts, splits, scales, ("entry", "label"), numbers)
+    spark = df_parts.sparkSession
+    per = len(splits) * len(names)
+    places: dict[tuple[int, int], list[int]] = {}
+    rows = []
+    for k in numbers:
+        part, split = k // per, k // len(names) % len(splits)
+        if (part, split) not in places:
+            places[part, split] = part_positions(parts[part], splits[split])
+        rows.append((f"{parts[part].upper()}-{splits[split].label}-{names[k % len(names)]}", places[part, split]))
+    at = spark.createDataFrame(rows, "feature string, positions array<int>")
+    df_feat = with_scale_info(T.feature_stats(values, parametric=parametric).join(at, "feature"), metadata).filter("abs_auc IS NOT NULL")
+    chosen = greedy_redundancy(df_feat, scales, n)
+    return chosen.join(df_feat.drop("category", "abs_auc", "abs_mean_dif"), "feature")
+
+
 def prune_by_variance(values: DataFrame, key: str, value: str, threshold: float = 0.0) -> DataFrame:
     """``key, variance`` of the columns with a population variance above the threshold; constant ones have exactly 0."""
     stats = values.groupBy(key).agg(F.var_pop(value).alias("variance"), (F.max(value) - F.min(value)).alias("_range"))

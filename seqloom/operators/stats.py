@@ -136,6 +136,15 @@ def value_counts(values: DataFrame, key: str = "feature", label: str = "label",
     return values.filter(F.col(value).isNotNull() & group.isin(test, ref)).groupBy(key, value).agg(F.count_if(group == test).alias("_t"), F.count_if(group == ref).alias("_r"))
 
 
+def with_zeros(counts: DataFrame, groups: DataFrame, key: str = "feature", label: str = "label", value: str = "value", test: int = 1, ref: int = 0, least: int = 1) -> DataFrame:
+    """``value_counts`` of values that are stored where they aren't 0 only: each key gets a row of zeros for the members of ``groups(label)`` that it lacks; keys of fewer than
+    ``least`` values go."""
+    sizes = groups.agg(F.count_if(F.col(label) == test).alias("_nt"), F.count_if(F.col(label) == ref).alias("_nr"))
+    have = counts.groupBy(key).agg(F.sum("_t").alias("_ht"), F.sum("_r").alias("_hr")).filter(F.col("_ht") + F.col("_hr") >= least)
+    zeros = have.crossJoin(F.broadcast(sizes)).select(key, F.lit(0.0).alias(value), (F.col("_nt") - F.col("_ht")).alias("_t"), (F.col("_nr") - F.col("_hr")).alias("_r"))
+    return counts.join(have.select(key), key, "left_semi").select(key, value, "_t", "_r").unionByName(zeros).groupBy(key, value).agg(F.sum("_t").alias("_t"), F.sum("_r").alias("_r")).filter(F.col("_t") + F.col("_r") > 0)
+
+
 def stats_of_counts(counts: DataFrame, key: str = "feature", value: str = "value", parametric: bool = False) -> DataFrame:
     """Moments, adjusted AUC, p-value and its correction per feature from ``value_counts``."""
     n = F.col("_t") + F.col("_r")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parts as P
-from ..functions.alphabet import LETTERS, replace_non_canonical, scale_metadata
-from ..functions.splits import feature_id, segments, split_feature_id
+from ..functions.alphabet import LETTERS, replace_non_canonical, scale_metadata, scale_values
+from ..functions.splits import feature_id, patterns, periodic_patterns, segments, split_feature_id
 from ..operators import features as X
 from ..operators import matrix as M
 from ..operators import select as S
@@ -303,6 +303,17 @@ def feature_selection_run(spark: SparkSession, sf: str) -> DataFrame:
     return S.discover(values(spark, sf, SEGMENTS + PATTERNS), SCALES, scale_metadata(spark, len(SCALES)), S.feature_positions(spark, list(PARTS), SEGMENTS + PATTERNS, list(SCALES)), n=20)
 
 
+#: As many scales as the usual table has, and the default splits: 586 x 3 parts x (120 segments + 182 patterns + 28 periodic patterns).
+WIDE = {f"SC{s:02d}": scale_values(s) for s in range(586)}
+
+
+@query("discover_wide")
+def discover_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The discovery query at its usual width: some 580,000 features, of which the 1,000 with the largest mean difference are tested, and 100 kept."""
+    parts = P.get_parts(labelled(spark, sf), PARTS, keep=("entry", "label"))
+    return S.discover_wide(parts, PARTS, segments() + patterns() + periodic_patterns(), WIDE, scale_metadata(spark, len(WIDE)), 100, 1000)
+
+
 @query("feature_kld")
 def feature_kld(spark: SparkSession, sf: str) -> DataFrame:
     return T.kernel_divergence(values(spark, sf).filter("value IS NOT NULL"))

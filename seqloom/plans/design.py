@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import parts as P
 from ..functions.alphabet import LETTERS, scales_table
+from ..functions.splits import Split
 from ..operators import mutation as M
 from ..operators import windows as W
 from ..operators.stats import round_half_up
-from .catalog import BASE, SCALES, SEQ, load, query, rhu, sequences
+from .catalog import BASE, COUNTS, SCALES, SEQ, load, query, rhu, sequences
 from .encoding import SCALE_ROWS
 
 SIZE = 9
@@ -83,15 +84,12 @@ def pwm_scan(spark: SparkSession, sf: str) -> DataFrame:
     return W.motif_matched(rows, SIZE, PWM, 20, 100).select("entry", "center", "window", "score")
 
 
-@query(
-    "window_similarity_antijoin",
-    f"""WITH {POS}, t AS (SELECT DISTINCT substr(sequence, (c - 4)::INT, 9) AS w FROM cent WHERE list_contains(pos, c)), r AS (SELECT entry, c, substr(sequence, (c - 4)::INT, 9) AS w FROM (SELECT * FROM cand WHERE len(pos) = 0 ORDER BY md5(concat_ws(':', '0', entry, c)), entry, c LIMIT 400))
-    SELECT entry, c::INT AS center, w AS "window" FROM r WHERE NOT EXISTS (SELECT 1 FROM t WHERE list_sum(list_transform(range(1, 10), lambda i: (substr(r.w, i::INT, 1) = substr(t.w, i::INT, 1))::INT)) / 9.0::DOUBLE > 0.5)""",
-)
+@query("window_similarity_antijoin")
 def window_similarity_antijoin(spark: SparkSession, sf: str) -> DataFrame:
+    """All windows of sequences without positions that are no more than half identical to any test window."""
     base = positioned(spark, sf)
     test = W.cut_windows(base.filter(F.size("pos") > 0).withColumn("center", F.explode("pos")).filter((F.col("center") >= 5) & (F.col("center") <= F.length("sequence") - 4)), SIZE).select("window")
-    rows = W.cut_windows(W.sample_uniform(W.explode_centers(base.filter(F.size("pos") == 0), SIZE), 400), SIZE)
+    rows = W.explode_centers(base.filter(F.size("pos") == 0), SIZE)
     return W.drop_similar(rows.select("entry", "center", "window"), test, SIZE, 0.5).select("entry", "center", "window")
 
 
@@ -152,32 +150,49 @@ def aamut_eval(spark: SparkSession, sf: str) -> DataFrame:
     return M.impact_by_scale(M.substitution_impact(scales_table(spark, len(SCALES)))).withColumn("mean_abs_delta", round_half_up(F.col("mean_abs_delta"), 4))
 
 
-SIGNS = {s: 1 if i % 2 == 0 else -1 for i, s in enumerate(SCALES)}
-_D = {s: f"({v}[instr('{LETTERS}', to_aa)] - {v}[instr('{LETTERS}', from_aa)])" for s, v in SCALES.items()}
-SCAN = f"""{SEQ}, pl AS (SELECT entry, tmd_start, tmd_stop, sequence, unnest(range(1, length(sequence) + 1)) AS pos FROM df_seq WHERE length(sequence) > 0),
-rg AS (SELECT entry, pos, substr(sequence, pos::INT, 1) AS from_aa, CASE WHEN pos < tmd_start THEN 'jmd_n' WHEN pos > tmd_stop THEN 'jmd_c' ELSE 'tmd' END AS region, length(sequence) AS n FROM pl),
-mt AS (SELECT rg.*, a AS to_aa FROM rg, (VALUES ('A'), ('D'), ('K'), ('W')) v(a) WHERE from_aa <> a),
-sc AS (SELECT *, ({" + ".join(f"abs({d})" for d in _D.values())}) / (n::DOUBLE * 100000.0::DOUBLE) AS delta_cpp, ({" + ".join(f"{SIGNS[s]} * {d}" for s, d in _D.items())}) / (n::DOUBLE * 100000.0::DOUBLE) AS shift_score FROM mt)"""
+#: Features whose change a scan scores, each with the sign of its mean difference.
+SCANNED = [("tmd", Split("Segment", (1, 1)), "SC00", 1.0), ("tmd", Split("Segment", (1, 2)), "SC01", -1.0), ("tmd", Split("Segment", (2, 2)), "SC02", 1.0)]
+_V = {s: f"({SCALES[s]})" for s in ("SC00", "SC01", "SC02")}
+_T = lambda s: f"list_sum(list_transform(list_zip(c, {_V[s]}), lambda p: p[1] * p[2]))"
+_MOVED = lambda t, n, v: f"(floor(({t} + {v}[instr('{LETTERS}', to_aa)] - {v}[instr('{LETTERS}', from_aa)]) / {n}::DOUBLE + 0.5::DOUBLE) - floor({t} / {n}::DOUBLE + 0.5::DOUBLE))"
+SCAN = f"""{SEQ}, tm AS (SELECT entry, sequence, tmd_start, tmd_stop, substr(sequence, tmd_start, greatest(tmd_stop - tmd_start + 1, 0)) AS t FROM df_seq), th AS (SELECT *, floor(length(t) / 2.0::DOUBLE)::INT AS h FROM tm),
+sg AS (SELECT entry, 0 AS k, t AS x FROM th UNION ALL SELECT entry, 1, substr(t, 1, h) FROM th UNION ALL SELECT entry, 2, substr(t, h + 1) FROM th), sc AS (SELECT entry, k, {COUNTS} AS c FROM sg),
+st AS (SELECT entry, k, list_sum(c) AS n, CASE k WHEN 0 THEN {_T('SC00')} WHEN 1 THEN {_T('SC01')} ELSE {_T('SC02')} END AS tot FROM sc),
+pl AS (SELECT entry, tmd_start, tmd_stop, h, unnest(range(1, length(sequence) + 1)) AS pos, unnest(string_split(sequence, '')) AS from_aa FROM th WHERE length(sequence) > 0),
+rg AS (SELECT pl.entry, pos, from_aa, CASE WHEN pos < tmd_start THEN 'jmd_n' WHEN pos > tmd_stop THEN 'jmd_c' ELSE 'tmd' END AS region, pos - tmd_start < h AS first_half, a.tot AS ta, a.n AS na, b.tot AS tb, b.n AS nb, c.tot AS tc, c.n AS nc FROM pl JOIN st a ON a.entry = pl.entry AND a.k = 0 JOIN st b ON b.entry = pl.entry AND b.k = 1 JOIN st c ON c.entry = pl.entry AND c.k = 2),
+mt AS (SELECT rg.*, a AS to_aa FROM rg, (VALUES {', '.join(f"('{a}')" for a in LETTERS)}) v(a) WHERE from_aa <> a),
+mv AS (SELECT entry, pos, from_aa, to_aa, region, CASE WHEN region = 'tmd' THEN {_MOVED('ta', 'na', _V['SC00'])} ELSE 0 END AS da, CASE WHEN region = 'tmd' AND first_half THEN {_MOVED('tb', 'nb', _V['SC01'])} ELSE 0 END AS db, CASE WHEN region = 'tmd' AND NOT first_half THEN {_MOVED('tc', 'nc', _V['SC02'])} ELSE 0 END AS dc FROM mt),
+sn AS (SELECT entry, pos, from_aa, to_aa, region, (abs(da) + abs(db) + abs(dc))::BIGINT AS delta, (da - db + dc)::BIGINT AS shift FROM mv)"""
 
 
 def _scan(spark: SparkSession, sf: str) -> DataFrame:
-    return M.scan_scores(M.scan_plan(sequences(spark, sf), to_aa="ADKW"), SCALES, SIGNS, F.col("n"))
+    return M.feature_scan(sequences(spark, sf), SCANNED, SCALES)
+
 
+_UNITS = lambda c: F.round(F.col(c) * 100000.0).cast("long")
 
-@query("mut_scan", f"WITH {SCAN} SELECT entry, region, to_aa, count(*) AS n, {rhu('sum(delta_cpp)', 6)} AS delta_cpp, {rhu('max(shift_score)', 8)} AS best_shift FROM sc GROUP BY entry, region, to_aa")
+
+@query("mut_scan", f"WITH {SCAN} SELECT entry, region, to_aa, count(*) AS n, sum(delta)::BIGINT AS delta_cpp, max(shift) AS best_shift FROM sn GROUP BY entry, region, to_aa")
 def mut_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return _scan(spark, sf).groupBy("entry", "region", "to_aa").agg(F.count(F.lit(1)).alias("n"), round_half_up(F.sum("delta_cpp"), 6).alias("delta_cpp"), round_half_up(F.max("shift_score"), 8).alias("best_shift"))
+    """Every single change of every sequence, scored by its features, and added up by region and new letter (in units of 1e-5)."""
+    return _scan(spark, sf).groupBy("entry", "region", "to_aa").agg(F.count(F.lit(1)).alias("n"), F.sum(_UNITS("delta_cpp")).alias("delta_cpp"), F.max(_UNITS("shift_score")).alias("best_shift"))
 
 
-@query("mut_suggest", f"WITH {SCAN} SELECT entry, pos::INT AS pos, from_aa, to_aa, region, {rhu('shift_score', 8)} AS shift_score FROM sc ORDER BY sc.shift_score DESC, entry, pos, to_aa LIMIT 25")
+@query("mut_suggest", f"WITH {SCAN} SELECT entry, pos::INT AS pos, from_aa, to_aa, region, shift AS shift_score FROM sn ORDER BY shift DESC, entry, pos, to_aa LIMIT 25")
 def mut_suggest(spark: SparkSession, sf: str) -> DataFrame:
-    return M.suggest(_scan(spark, sf), 25).select("entry", "pos", "from_aa", "to_aa", "region", round_half_up(F.col("shift_score"), 8).alias("shift_score"))
+    return M.suggest(_scan(spark, sf), 25).select("entry", "pos", "from_aa", "to_aa", "region", _UNITS("shift_score").alias("shift_score"))
 
 
-@query("mut_eval", f"WITH {SCAN}, th AS (SELECT quantile_cont(delta_cpp, 2/3::DOUBLE) AS t FROM sc) SELECT entry, region, count(*) AS n, {rhu('avg(delta_cpp)', 8)} AS mean_delta, abs(sum((delta_cpp >= t - 1e-12)::INT)) >= 0 AS counted FROM sc, th GROUP BY entry, region")
+@query("mut_eval", f"WITH {SCAN}, qt AS (SELECT quantile_cont(delta, 2/3::DOUBLE) AS t FROM sn) SELECT entry, region, count(*) AS n, sum((delta >= t - 1e-4)::INT)::BIGINT AS n_disruptive, {rhu('avg((delta >= t - 1e-4)::INT)', 8)} AS frac_disruptive, {rhu('avg(delta) / 100000.0::DOUBLE', 9)} AS mean_delta FROM sn, qt GROUP BY entry, region")
 def mut_eval(spark: SparkSession, sf: str) -> DataFrame:
     out = M.scan_summary(_scan(spark, sf))
-    return out.select("entry", "region", "n", round_half_up(F.col("mean_delta"), 8).alias("mean_delta"), (F.col("n_disruptive") >= 0).alias("counted"))
+    return out.select("entry", "region", "n", "n_disruptive", round_half_up(F.col("frac_disruptive"), 8).alias("frac_disruptive"), round_half_up(F.col("mean_delta"), 9).alias("mean_delta"))
+
+
+@query("mut_scan_plan", f"WITH {SEQ} SELECT region, from_aa, count(*) * 19 AS n FROM (SELECT CASE WHEN pos < tmd_start THEN 'jmd_n' WHEN pos > tmd_stop THEN 'jmd_c' ELSE 'tmd' END AS region, from_aa FROM (SELECT tmd_start, tmd_stop, unnest(range(1, length(sequence) + 1)) AS pos, unnest(string_split(sequence, '')) AS from_aa FROM df_seq WHERE length(sequence) > 0)) GROUP BY ALL")
+def mut_scan_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """How many changes a scan has, by region and letter."""
+    return M.scan_plan(sequences(spark, sf)).groupBy("region", "from_aa").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("mut_combine", f"WITH {SEQ} SELECT entry || 'v' AS variant, entry, substr(sequence, 1, 1) || 'W' || substr(sequence, 3, 2) || 'K' || substr(sequence, 6) AS sequence FROM seq WHERE length(sequence) >= 5")

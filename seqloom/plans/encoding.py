@@ -186,9 +186,9 @@ def prune_variance(spark: SparkSession, sf: str) -> DataFrame:
     return S.prune_by_variance(v, "dim", "value", 0.01).withColumn("variance", round_half_up(F.col("variance"), 6))
 
 
-@query("column_correlations", f"WITH {EMB}, s AS (SELECT vec_id, dim, value FROM el WHERE dim < 16) SELECT a.dim::INT AS i, b.dim::INT AS j, {rhu('corr(a.value, b.value)', 4)} AS cor FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.dim < b.dim GROUP BY 1, 2")
+@query("column_correlations", f"WITH {EMB}, s AS (SELECT vec_id, dim, value FROM el) SELECT a.dim::INT AS i, b.dim::INT AS j, {rhu('corr(a.value, b.value)', 4)} AS cor FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.dim < b.dim GROUP BY 1, 2")
 def column_correlations(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = S.column_correlations(load(spark, sf, "embeddings").select("embedding"), "embedding", 16)
+    pairs = S.column_correlations(load(spark, sf, "embeddings").select("embedding"), "embedding", DIMS)
     return pairs.withColumn("cor", round_half_up(F.col("cor"), 4))
 
 
