@@ -31,6 +31,8 @@ MOST_WEIGHT = 9.0
 LEAST_RATIO, LEAST_PAIR = 12.0, 30.0
 #: Terms of which all pairs are tried, the most frequent ones; pairs that are kept; least texts of a term.
 PAIR_TERMS, PAIRS, PAIR_TEXTS = 1024, 256, 5
+#: Least texts of any term.
+LEAST_TEXTS = 2
 BEGINNINGS = (4, 5, 6)
 _SLICE = 1 << 20
 _FILTER_BITS = 20
@@ -98,7 +100,10 @@ def _ratios(one: np.ndarray, with_: np.ndarray, n: float, ones: float) -> np.nda
 def select_terms(doc: np.ndarray, term: np.ndarray, label: np.ndarray, most: int = TERMS) -> np.ndarray:
     """The terms of the ``PAIRS`` pairs that together tell most beyond what each of their terms does, then those that tell most of the label by
     themselves, by the log-likelihood ratio of their counts; ties by number."""
-    known, place = np.unique(term, return_inverse=True)
+    known, texts = np.unique(term, return_counts=True)
+    known = known[texts >= LEAST_TEXTS]
+    inside = np.flatnonzero(np.isin(term, known)).astype(np.int32)
+    doc, place = doc[inside], np.searchsorted(known, term[inside]).astype(np.int32)
     with_ = np.bincount(place, minlength=len(known)).astype(float)
     one = np.bincount(place, weights=label[doc], minlength=len(known))
     n, ones = float(len(label)), label.sum()
@@ -113,9 +118,11 @@ def select_terms(doc: np.ndarray, term: np.ndarray, label: np.ndarray, most: int
 def _paired_terms(doc: np.ndarray, place: np.ndarray, label: np.ndarray, with_: np.ndarray, g: np.ndarray) -> np.ndarray:
     some = np.flatnonzero((with_ >= PAIR_TEXTS) & (with_ < len(label)))
     some = np.sort(some[np.argsort(-with_[some], kind="stable")][:PAIR_TERMS])
-    inside = np.isin(place, some)
+    column = np.full(len(with_), -1, dtype=np.int32)
+    column[some] = np.arange(len(some))
+    inside = np.flatnonzero(column[place] >= 0)
     has = np.zeros((len(label), len(some)), dtype=np.float32)
-    has[doc[inside], np.searchsorted(some, place[inside])] = 1
+    has[doc[inside], column[place[inside]]] = 1
     both, one = has.T @ has, (has * label[:, None].astype(np.float32)).T @ has
     gain = _ratios(one.astype(float), both.astype(float), float(len(label)), label.sum()) - np.maximum(g[some][:, None], g[some][None, :])
     i, j = np.nonzero(np.triu((gain >= LEAST_PAIR) & (both >= PAIR_TEXTS), 1))
@@ -192,9 +199,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ma
     terms = got.column("terms").combine_chunks()
     terms = terms if isinstance(terms, pa.Array) else pa.concat_arrays(terms.chunks)
     sizes = pa.compute.list_value_length(terms).to_numpy(zero_copy_only=False) if len(terms) else np.zeros(0, np.int64)
-    doc, term = np.repeat(np.arange(len(label)), sizes), terms.flatten().to_numpy().view(np.uint32) if len(terms) else np.zeros(0, np.uint32)
+    doc, term = np.repeat(np.arange(len(label), dtype=np.int32), sizes), terms.flatten().to_numpy().view(np.uint32) if len(terms) else np.zeros(0, np.uint32)
+    del got, terms
     order = _steady(label, doc, term)
-    place = np.empty_like(order)
+    place = np.empty(len(order), dtype=np.int32)
     place[order] = np.arange(len(order))
     return fit_machine(place[doc], term, label[order])
 
@@ -202,7 +210,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ma
 def _steady(label: np.ndarray, doc: np.ndarray, term: np.ndarray) -> np.ndarray:
     """An order of the texts by what they hold, as rows arrive in any order and the fit follows the order."""
     key = np.zeros(len(label), dtype=np.uint64)
-    np.add.at(key, doc, mix(term.astype(np.uint64)))
+    for at in range(0, len(doc), 1 << 20):
+        np.add.at(key, doc[at : at + (1 << 20)], mix(term[at : at + (1 << 20)].astype(np.uint64)))
     return np.lexsort((key, label))
 
 
