@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,14 +15,14 @@ def round_half_up(x: Column, digits: int) -> Column:
     return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
 
 
-def group_moments(values: DataFrame, key: str = "feature", label: str = "label", value: str = "value", test: int = 1, ref: int = 0) -> DataFrame:
+def group_moments(values: DataFrame, key: str | Sequence[Column | str] = "feature", label: str = "label", value: str = "value", test: int = 1, ref: int = 0) -> DataFrame:
     """Mergeable sums of both groups per feature: n, sum and sum of squares (exact for values with 5 decimals)."""
     units = F.round(F.col(value) * 100000.0).cast("long")
     of = lambda g, x: F.sum(F.when(F.col(label) == g, x))
     sums = []
     for name, g in (("test", test), ("ref", ref)):
         sums += [F.count(F.when(F.col(label) == g, F.col(value))).alias(f"n_{name}"), of(g, units).alias(f"sum_{name}"), of(g, units * units).alias(f"sq_{name}")]
-    return values.groupBy(key).agg(*sums)
+    return values.groupBy(*([key] if isinstance(key, str) else key)).agg(*sums)
 
 
 def finalize_moments(moments: DataFrame) -> DataFrame:

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import scale_values
 from ..operators import models as M
 from .catalog import load, query
-from .core import grid_sweep
 from .encoding import DIMS
 
 
@@ -51,19 +49,3 @@ def recursive_elimination(spark: SparkSession, sf: str) -> DataFrame:
 def applicability_domain(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
     return M.applicability(v, v.filter("y = 1"), "vec_id", "embedding")
-
-
-@query("simplify_swap")
-def simplify_swap(spark: SparkSession, sf: str) -> DataFrame:
-    """Scales of the features of the sweep, swapped for better graded ones that correlate."""
-    scales = {f"SC{s:02d}": scale_values(s) for s in range(40)}
-    swapped = M.swap_scales([(f"TMD-Segment(1,1)-{s}", 0.0) for s in scales], scales, {s: i for i, s in enumerate(scales)}, 0.5)
-    return spark.createDataFrame(list(swapped.items()), "feature string, scale_id string")
-
-
-@query("find_features")
-def find_features(spark: SparkSession, sf: str) -> DataFrame:
-    """The configurations of the sweep that none beats in both average AUC and number of features."""
-    return M.simplest_of_best(grid_sweep(spark, sf), "avg_abs_auc", "n_features")
-
-

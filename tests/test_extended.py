@@ -219,3 +219,73 @@ def test_columns_of_a_feature_table(spark):
     assert R.sort_columns(df).columns == ["feature", "p_val_ttest_indep", "p_val_fdr_bh", "positions", "own"]
     kept = spark.createDataFrame([("a", 0.5), ("b", 0.1)], "feature string, selection_frequency double")
     assert [r.feature for r in R.select_features(kept, "frequency", 0.4).collect()] == ["a"]
+
+
+def test_simplification_swaps_only_for_better_graded_scales(spark, df_seq):
+    from seqloom.operators import simplify as Y
+
+    base = scale_values(1)
+    scales = {"A": base, "B": [v + 100 for v in base], "C": [100_000 - v for v in base], "D": scale_values(2)}
+    grade = {"A": 5, "B": 2, "C": 1, "D": 0}
+    assert [c[0] for c in Y.candidates("A", scales, grade, 0.9)] == ["C", "B"] and Y.candidates("D", scales, grade, 0.9) == []
+    splits = segments(1, 2)
+    features = ["TMD-Segment(1,1)-A", "TMD-Segment(2,2)-D"]
+    score = lambda fs: sum(f.endswith("B") for f in fs) - sum(f.endswith("C") for f in fs)
+    assert Y.greedy(features, scales, grade, score, 0.9)[0] == ["TMD-Segment(1,1)-B", "TMD-Segment(2,2)-D"]
+    parts = P.get_parts(df_seq, ("tmd",), keep=("entry", "label"))
+    frame = spark.createDataFrame([(f,) for f in features], "feature string")
+    got = {r.feature: r.swapped_from for r in Y.swap_all(frame, parts, ("tmd",), splits, scales, grade, 0.9, max_std=1.0).collect()}
+    assert got == {"TMD-Segment(1,1)-C": "TMD-Segment(1,1)-A", "TMD-Segment(2,2)-D": None}
+    assert {r.feature for r in Y.swap_all(frame, parts, ("tmd",), splits, scales, grade, 0.9, max_std=1.0, drop=True).collect()} == {"TMD-Segment(1,1)-C"}
+    two = ["TMD-Segment(1,1)-A", "TMD-Segment(1,2)-B", "TMD-Segment(2,2)-B"]
+    assert Y.consolidate(two, {"A": "x", "B": "y", "C": "z", "D": "w"}, scales, grade, lambda fs: 1.0, 0.9) == ["TMD-Segment(1,1)-B", "TMD-Segment(1,2)-B", "TMD-Segment(2,2)-B"]
+
+
+def test_discovery_fits_and_transforms(spark, df_seq):
+    from seqloom.operators import pipelines as L
+    from seqloom.operators.simplify import centroid_accuracy
+
+    marked = df_seq.withColumn("sequence", F.when(F.col("label") == 1, F.regexp_replace("sequence", "[ACDEFG]", "W")).otherwise(F.col("sequence")))
+    d = L.Discovery(("tmd",), segments(1, 2), SCALES, scale_metadata(spark, 3), 3, 9, 1.0).fit(marked)
+    wide = d.transform(marked)
+    assert wide.columns == ["entry", *[f"f{k + 1}" for k in range(len(d.features))]] and wide.count() == 42 and d.features
+    values = L.feature_values_of(P.get_parts(marked, ("tmd",), keep=("entry", "label")), ("tmd",), segments(1, 2), SCALES, d.features)
+    assert centroid_accuracy(values) > 0.9
+    assert L.find_features(marked, {"one": (("tmd",), segments(1, 1)), "two": (("tmd",), segments(1, 2))}, SCALES, scale_metadata(spark, 3), 2, 6).count() >= 1
+
+
+def test_options_provenance_and_html(spark):
+    from seqloom import session
+
+    o = session.Options()
+    with pytest.raises(ValueError):
+        o["ext_len"] = -1
+    with pytest.raises(KeyError):
+        o["nothing"] = 1
+    assert o.choose("ext_len", 3) == 3
+    o["ext_len"] = 2
+    assert o.choose("ext_len", 3) == 2 and len(o) == len(list(o))
+    df = spark.createDataFrame([(1, "<b>"), (2, "x" * 50)], "a int, b string")
+    one, two = session.content_hash(df).first(), session.content_hash(df.orderBy(F.desc("a")).repartition(3)).first()
+    assert one == two and session.content_hash(df.unionByName(df)).first().hash != one.hash and session.provenance(df)["n_rows"] == 2
+    page = session.html_table(df)
+    assert "&lt;b&gt;" in page and "x" * 29 + "…" in page
+
+
+def test_statistics_of_a_stream_equal_those_of_its_rows(spark, tmp_path):
+    from seqloom.streaming import moments as Q
+
+    rng = random.Random(4)
+    rows = [(f"f{rng.randrange(2)}", rng.randrange(2), rng.randrange(1000) / 1000, f"2024-01-01 {h:02d}:{rng.randrange(60):02d}:00") for h in range(8) for _ in range(30)]
+    df = spark.createDataFrame(rows, "feature string, label int, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for h in range(8):
+        df.filter(F.hour("ts") == h).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    closing = spark.createDataFrame([("f0", 9, 0.0, "2024-01-03 00:00:00")], "feature string, label int, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    closing.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        Q.keep_moments(Q.windowed_moments(Q.read_values(spark, str(tmp_path / "in")), "2 hours", "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.feature: (r.n_test, r.n_ref, r.mean_dif, r.std_test) for r in Q.statistics_of(spark, str(tmp_path / "out")).collect()}
+    want = {r.feature: (r.n_test, r.n_ref, r.mean_dif, r.std_test) for r in T.finalize_moments(T.group_moments(df)).collect()}
+    assert got == want
+    later = Q.statistics_of(spark, str(tmp_path / "out"), "2024-01-01 04:00:00")
+    assert later.agg(F.sum("n_test") + F.sum("n_ref")).first()[0] == 120
