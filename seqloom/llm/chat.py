@@ -159,7 +159,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and the probe -7, formatted, read back and digested."""
+    """All conversations and the probe -7, formatted, read back and digested.
+
+    Null roles and texts are empty; rows without a conv_id are one conversation; repeated rows and equal turns are turns of their own, in the order of role and text; an empty
+    table gives the probe alone; other columns are not read. A conversation is rendered in one task, as each turn needs those before it: its turns pass one by one,
+    and the task holds their texts.
+    """
     probe = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")

@@ -323,6 +323,6 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, most_shared: int = M
 
 
 def op10_lsm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document after removing the 13-word windows that smaller documents have."""
+    """What is left of every document after removing the 13-word windows that smaller documents have. Odd rows are taken as ``remove_repeats`` says; other columns are not read."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return remove_repeats(docs)

@@ -255,7 +255,11 @@ def integer_vectors(df: DataFrame, column: str = "embedding", scale: int = SCALE
 
 
 def op4_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 highest integer inner products of each vector whose vec_id is divisible by 100, against all others."""
+    """The 10 highest integer inner products of each vector whose vec_id is divisible by 100, against all others.
+
+    Null and empty vectors, those that hold null or non-finite components, and rows without a vec_id take no part; vectors of another length are never compared; rows that
+    repeat a vec_id each count as candidates, and the least is the query; ties go to the smaller vec_id; an empty table gives no rows; other columns are not read.
+    """
     vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
     queries = vectors.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("_v").alias("_q"))
     return top_k(queries, vectors)
