@@ -125,8 +125,8 @@ def combine(df_seq: DataFrame, variants: DataFrame) -> DataFrame:
 def pareto_front(points: DataFrame, key: str, objectives: Sequence[str]) -> DataFrame:
     """The rows that no other row beats in all objectives (greater is better).
 
-    Points are grouped by the first objective. For two objectives a running maximum over the better values of the first decides; more
-    take an anti-join in which only better or equal values of the first meet.
+    Points are grouped by the first objective. For two objectives a running maximum over the better values of the first decides. For more each task first keeps the points
+    that none of its own beats; only these, which are few, meet in an anti-join.
     """
     a, b, *rest = objectives
     if not rest:
@@ -134,6 +134,22 @@ def pareto_front(points: DataFrame, key: str, objectives: Sequence[str]) -> Data
         before = F.max("_b").over(Window.orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1))
         on = best.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_b") > F.col("_before"))).select(F.col(a).alias("_a"), "_b")
         return points.join(on, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b"))).drop("_a", "_b")
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                rows = pa.Table.from_batches([batch.slice(at, 2048)])
+                held = rows if held is None else pa.concat_tables([held, rows])
+                w = np.stack([held.column(c).to_numpy(zero_copy_only=False).astype(float) for c in objectives], axis=1)
+                beaten = np.zeros(len(w), dtype=bool)
+                for lo in range(0, len(w), 256):
+                    part = w[lo : lo + 256, None, :]
+                    beaten[lo : lo + 256] = ((w[None] >= part).all(axis=2) & (w[None] > part).any(axis=2)).any(axis=1)
+                held = held.filter(pa.array(~beaten))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    points = points.mapInArrow(own, ", ".join(f"`{c}` {t}" for c, t in points.dtypes))
     other = points.select(*[F.col(c).alias(f"_{c}") for c in objectives]).distinct()
     no_worse, better = F.lit(True), F.lit(False)
     for c in objectives:

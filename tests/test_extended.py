@@ -289,3 +289,14 @@ def test_statistics_of_a_stream_equal_those_of_its_rows(spark, tmp_path):
     assert got == want
     later = Q.statistics_of(spark, str(tmp_path / "out"), "2024-01-01 04:00:00")
     assert later.agg(F.sum("n_test") + F.sum("n_ref")).first()[0] == 120
+
+
+def test_front_of_three_objectives(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(12), rng.randrange(12), rng.randrange(12)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a int, b int, c int").repartition(5)
+    beats = lambda x, y: all(p >= q for p, q in zip(x[1:], y[1:], strict=True)) and x[1:] != y[1:]
+    want = {y[0] for y in rows if not any(beats(x, y) for x in rows)}
+    assert {r.id for r in U.pareto_front(df, "id", ["a", "b", "c"]).collect()} == want
+    two = {y[0] for y in rows if not any(x[1] >= y[1] and x[2] >= y[2] and x[1:3] != y[1:3] for x in rows)}
+    assert {r.id for r in U.pareto_front(df, "id", ["a", "b"]).collect()} == two
