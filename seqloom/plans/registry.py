@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core, design, encoding, evaluation, extended, modelling, residues, tables, workflows  # noqa: F401
+from . import charts, core, design, encoding, evaluation, extended, modelling, residues, tables, workflows  # noqa: F401
 from .catalog import QUERIES, TWINS
 
 

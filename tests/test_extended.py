@@ -300,3 +300,57 @@ def test_front_of_three_objectives(spark):
     assert {r.id for r in U.pareto_front(df, "id", ["a", "b", "c"]).collect()} == want
     two = {y[0] for y in rows if not any(x[1] >= y[1] and x[2] >= y[2] and x[1:3] != y[1:3] for x in rows)}
     assert {r.id for r in U.pareto_front(df, "id", ["a", "b"]).collect()} == two
+
+
+def test_contributions_add_up_to_the_logit(spark):
+    from seqloom.operators import explain as E
+
+    rows = [(i, f, float((i * k) % 5)) for i in range(6) for k, f in enumerate("abc", 1)]
+    w = {"a": 2.0, "b": -1.0, "c": 0.5}
+    got = E.linear_contributions(spark.createDataFrame(rows, "entry int, feature string, value double"), w).groupBy("entry").agg(F.sum("value").alias("s"))
+    logit = {i: sum(w[f] * v for j, f, v in rows if j == i) for i in range(6)}
+    mean = sum(logit.values()) / 6
+    assert all(math.isclose(r.s, logit[r.entry] - mean, abs_tol=1e-9) for r in got.collect())
+
+
+def test_generated_windows(spark):
+    from seqloom.operators import explain as E
+
+    assert {a for r in E.synthetic_windows(spark, 200, 6, "charged").collect() for a in r.window} == set("DEKR")
+    freq = E.position_frequencies(spark.createDataFrame([("AC",), ("AD",), ("AD",)], "window string"))
+    made = [r.window for r in E.synthetic_windows(spark, 300, 2, "position", freq).collect()]
+    assert {w[0] for w in made} == {"A"} and 0.5 < sum(w[1] == "D" for w in made) / 300 < 0.8
+    both = E.scrambled(spark.createDataFrame([("ACDEFGHIK",)], "window string")).first()
+    assert sorted(both.scrambled) == sorted("ACDEFGHIK") and both.scrambled != both.window
+
+
+def test_redundant_sequences_join_the_longest(spark):
+    from seqloom.operators import explain as E
+
+    rng = random.Random(5)
+    seqs = ["".join(rng.choice(LETTERS) for _ in range(rng.randrange(60, 90))) for _ in range(12)]
+    for k in range(30):
+        s = list(rng.choice(seqs[:12]))
+        for _ in range(rng.randrange(2)):
+            s[rng.randrange(len(s))] = rng.choice(LETTERS)
+        seqs.append("".join(s)[: len(s) - rng.randrange(6)])
+    seqs.append("ACD")
+    words = [{s[i : i + 5] for i in range(max(len(s) - 4, 1))} for s in seqs]
+    order = sorted(range(len(seqs)), key=lambda i: (-len(seqs[i]), i))
+    want: dict = {}
+    for at, e in enumerate(order):
+        leaders = [x for x in order[:at] if want[x] == x and len(words[e] & words[x]) >= 0.8 * len(words[e])]
+        want[e] = leaders[0] if leaders else e
+    df = spark.createDataFrame(list(enumerate(seqs)), "entry long, sequence string")
+    got = {r.entry: r.representative for r in E.identity_clusters(df, "entry", "sequence", 0.8, 5).collect()}
+    assert got == want and len(set(want.values())) < 25
+
+
+def test_projection(spark):
+    from seqloom.operators import explain as E
+
+    rng = np.random.default_rng(2)
+    x, c = rng.normal(size=(5, 4)), rng.normal(size=(4, 2))
+    got = {r.id: r.coordinates for r in E.project(spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", c).collect()}
+    want = (x - x.mean(axis=1, keepdims=True)) @ c
+    assert all(np.allclose(got[i], want[i]) for i in range(5))
