@@ -21,7 +21,7 @@ from ..functions.splits import Split
 _CODES = np.full(256, 20, dtype=np.int64)
 _CODES[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(20)
 #: Values that are held at once, and rows of one output batch.
-_VALUES, _OUT = 1 << 21, 1 << 16
+_VALUES, _OUT = 1 << 22, 1 << 16
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +68,18 @@ def letter_counts(column: pa.Array, splits: Sequence[Split]) -> np.ndarray:
 
 def units_of(counts: np.ndarray, scales: np.ndarray) -> np.ndarray:
     """``(rows, splits, scales)``: mean scale values in units of 1e-5, rounded half up; NaN without letters. ``scales``: (20, scales)."""
-    n = counts.sum(axis=2, keepdims=True)
+    n = counts.sum(axis=2)
+    out = (counts.reshape(-1, 20) @ scales).reshape(*counts.shape[:2], -1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(n > 0, np.floor(counts @ scales / n + 0.5), np.nan)
+        out /= n[:, :, None]
+    out += 0.5
+    return np.floor(out, out=out)  # 0 / 0 is NaN
+
+
+def _chosen_units(counts: np.ndarray, scales: np.ndarray, split: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """``(rows, features)``: the same for single features."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.floor(np.einsum("rfa,af->rf", counts[:, split], scales[:, scale]) / counts.sum(axis=2)[:, split] + 0.5)
 
 
 def _table(scales: Mapping[str, Sequence[int]]) -> np.ndarray:
@@ -97,11 +106,14 @@ def matrix_values(df_parts: DataFrame, parts: Sequence[str], splits: Sequence[Sp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in _slices(batch.num_rows, len(parts) * len(splits) * len(names)):
+            width = len(parts) * len(splits) * len(names)
+            for rows in _slices(batch.num_rows, width if chosen is None else 20 * len(chosen)):
                 part = batch.slice(rows.start, rows.stop - rows.start)
-                units = np.stack([units_of(letter_counts(part.column(p), splits), table) for p in parts], axis=1).reshape(part.num_rows, -1)
-                number = np.arange(units.shape[1]) if chosen is None else chosen
-                units = units[:, number]
+                if chosen is None:
+                    number, units = np.arange(width), np.stack([units_of(letter_counts(part.column(p), splits), table) for p in parts], axis=1).reshape(part.num_rows, -1)
+                else:
+                    number, per = chosen, len(splits) * len(names)
+                    units = np.concatenate([_chosen_units(letter_counts(part.column(p), splits), table, mine // len(names) % len(splits), mine % len(names)) for k, p in enumerate(parts) if len(mine := chosen[chosen // per == k])], axis=1)
                 for lo in range(0, units.size, _OUT):
                     flat = np.arange(lo, min(lo + _OUT, units.size))
                     value = units.reshape(-1)[flat]
@@ -122,19 +134,21 @@ def matrix_moments(df_parts: DataFrame, parts: Sequence[str], splits: Sequence[S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 3, width), dtype=np.int64)
         for batch in batches:
-            for rows in _slices(batch.num_rows, width):
+            for rows in _slices(batch.num_rows, width // len(parts)):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 told = part.column(label).fill_null(-1).to_numpy(zero_copy_only=False)
                 for at, p in enumerate(parts):
-                    units = units_of(letter_counts(part.column(p), splits), table).reshape(part.num_rows, -1)
-                    span = slice(at * units.shape[1], (at + 1) * units.shape[1])
+                    counts = letter_counts(part.column(p), splits)
+                    span = slice(at * width // len(parts), (at + 1) * width // len(parts))
                     for g, value in enumerate((test, ref)):
-                        mine = units[told == value]
-                        there = ~np.isnan(mine)
-                        mine = np.where(there, mine, 0.0)
-                        sums[g, 0, span] += there.sum(axis=0)
-                        sums[g, 1, span] += mine.sum(axis=0).astype(np.int64)
-                        sums[g, 2, span] += (mine * mine).sum(axis=0).astype(np.int64)
+                        mine = counts[told == value]
+                        units = units_of(mine, table).reshape(len(mine), -1)
+                        there = np.repeat((mine.sum(axis=2) > 0).sum(axis=0), len(names))
+                        if (there < len(mine)).any():
+                            np.nan_to_num(units, copy=False, nan=0.0)
+                        sums[g, 0, span] += there
+                        sums[g, 1, span] += units.sum(axis=0).astype(np.int64)
+                        sums[g, 2, span] += np.einsum("ij,ij->j", units, units).astype(np.int64)
         for lo in range(0, width, _OUT):
             hi = min(lo + _OUT, width)
             columns = [pa.array(np.arange(lo, hi)), *(pa.array(sums[g, k, lo:hi]) for g in (0, 1) for k in (0, 1, 2))]
