@@ -71,18 +71,18 @@ def chart_letter_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return i.groupBy("from_aa").agg(r(F.avg("abs_delta"), 4).alias("mean_change"), F.max("abs_delta").alias("most"))
 
 
-@query("chart_mutation_landscape", f"WITH {SCAN} SELECT entry, pos::INT AS pos, {', '.join(f'coalesce(max(delta) FILTER (to_aa = {chr(39)}{a}{chr(39)}), 0) AS {chr(34)}{a}{chr(34)}' for a in LETTERS)} FROM sn GROUP BY entry, pos")
+@query("chart_mutation_landscape", f"WITH {SCAN}, g AS (SELECT region, from_aa, to_aa, sum(delta)::BIGINT AS d FROM sn GROUP BY ALL) SELECT region, from_aa, {', '.join(f'coalesce(max(d) FILTER (to_aa = {chr(39)}{a}{chr(39)}), 0) AS {chr(34)}{a}{chr(34)}' for a in LETTERS)} FROM g GROUP BY region, from_aa")
 def chart_mutation_landscape(spark: SparkSession, sf: str) -> DataFrame:
-    """Positions by letters: what each change moves (in units of 1e-5; 0 for the letter that is there)."""
-    scan = _scan(spark, sf).withColumn("d", _UNITS("delta_cpp"))
-    return scan.groupBy("entry", "pos").pivot("to_aa", list(LETTERS)).agg(F.max("d")).fillna(0)
+    """Letters by letters, in each region: what the changes of all sequences move in sum (in units of 1e-5; 0 on the diagonal)."""
+    sums = _scan(spark, sf).groupBy("region", "from_aa", "to_aa").agg(F.sum(_UNITS("delta_cpp")).alias("d"))
+    return sums.groupBy("region", "from_aa").pivot("to_aa", list(LETTERS)).agg(F.first("d")).fillna(0)
 
 
-@query("chart_residue_impact", f"WITH {SCAN} SELECT entry, pos::INT AS pos, from_aa, region, {rhu('avg(delta)', 4)} AS mean_delta, max(delta) AS most FROM sn GROUP BY entry, pos, from_aa, region")
+@query("chart_residue_impact", f"WITH {SCAN} SELECT entry, from_aa, region, {rhu('avg(delta)', 4)} AS mean_delta, max(delta) AS most FROM sn GROUP BY entry, from_aa, region")
 def chart_residue_impact(spark: SparkSession, sf: str) -> DataFrame:
-    """How much the changes at each residue move, on average and at most."""
+    """How much the changes of each letter of a sequence's regions move, on average and at most."""
     scan = _scan(spark, sf).withColumn("d", _UNITS("delta_cpp"))
-    return scan.groupBy("entry", "pos", "from_aa", "region").agg(r(F.avg("d"), 4).alias("mean_delta"), F.max("d").alias("most"))
+    return scan.groupBy("entry", "from_aa", "region").agg(r(F.avg("d"), 4).alias("mean_delta"), F.max("d").alias("most"))
 
 
 @query("chart_variant_impact", f"WITH {SCAN}, t AS (SELECT entry, pos, from_aa, to_aa, delta, row_number() OVER (PARTITION BY entry ORDER BY delta DESC, pos, to_aa) AS k FROM sn) SELECT entry, concat(from_aa, pos, to_aa) AS variant, delta AS delta_cpp, k::INT AS rank FROM t WHERE k <= 3")
