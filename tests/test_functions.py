@@ -141,7 +141,7 @@ def test_metrics(spark):
 
 def test_sources_and_stream(spark, tmp_path):
     from seqloom.sources import annotations, fasta
-    from seqloom.streaming.moments import finish, running_moments
+    from seqloom.streaming.moments import running_moments
 
     df = spark.createDataFrame([("P1", "ACDE", "x"), ("P2", "", "y")], "entry string, sequence string, db string")
     fasta.write_fasta(df, str(tmp_path / "f"), infos=("db",))
@@ -157,4 +157,4 @@ def test_sources_and_stream(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("moments").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    assert finish(spark.table("moments")).collect() == finish(T.group_moments(values)).collect()
+    assert T.finalize_moments(spark.table("moments")).collect() == T.finalize_moments(T.group_moments(values)).collect()
