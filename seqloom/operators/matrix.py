@@ -69,7 +69,7 @@ def letter_counts(column: pa.Array, splits: Sequence[Split]) -> np.ndarray:
 def units_of(counts: np.ndarray, scales: np.ndarray) -> np.ndarray:
     """``(rows, splits, scales)``: mean scale values in units of 1e-5, rounded half up; NaN without letters. ``scales``: (20, scales)."""
     n = counts.sum(axis=2)
-    out = (counts.reshape(-1, 20) @ scales).reshape(*counts.shape[:2], -1)
+    out = (counts.reshape(-1, 20) @ scales).reshape(*counts.shape[:2], scales.shape[1])
     with np.errstate(divide="ignore", invalid="ignore"):
         out /= n[:, :, None]
     out += 0.5
@@ -110,7 +110,7 @@ def matrix_values(df_parts: DataFrame, parts: Sequence[str], splits: Sequence[Sp
             for rows in _slices(batch.num_rows, width if chosen is None else 20 * len(chosen)):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 if chosen is None:
-                    number, units = np.arange(width), np.stack([units_of(letter_counts(part.column(p), splits), table) for p in parts], axis=1).reshape(part.num_rows, -1)
+                    number, units = np.arange(width), np.stack([units_of(letter_counts(part.column(p), splits), table) for p in parts], axis=1).reshape(part.num_rows, width)
                 else:
                     number, per = chosen, len(splits) * len(names)
                     units = np.concatenate([_chosen_units(letter_counts(part.column(p), splits), table, mine // len(names) % len(splits), mine % len(names)) for k, p in enumerate(parts) if len(mine := chosen[chosen // per == k])], axis=1)
@@ -142,7 +142,7 @@ def matrix_moments(df_parts: DataFrame, parts: Sequence[str], splits: Sequence[S
                     span = slice(at * width // len(parts), (at + 1) * width // len(parts))
                     for g, value in enumerate((test, ref)):
                         mine = counts[told == value]
-                        units = units_of(mine, table).reshape(len(mine), -1)
+                        units = units_of(mine, table).reshape(len(mine), width // len(parts))
                         there = np.repeat((mine.sum(axis=2) > 0).sum(axis=0), len(names))
                         if (there < len(mine)).any():
                             np.nan_to_num(units, copy=False, nan=0.0)

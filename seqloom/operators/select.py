@@ -128,6 +128,7 @@ def discover_wide(df_parts: DataFrame, parts: Sequence[str], splits: Sequence[Sp
     """The selection among all parts x splits x scales, however many: sums of all features in one pass over ``df_parts(entry, label, parts)``, then the values and rank statistics of the
     pre-filter's survivors only, then redundancy. Survivors are bounded by ``n_pre`` (by default ``pct`` percent of the features, ``n`` at least)."""
     names = list(scales)
+    df_parts = df_parts.repartition(df_parts.sparkSession.sparkContext.defaultParallelism * 2)  # the parts are small next to the work that each row makes
     moments = T.finalize_moments(X.matrix_moments(df_parts, parts, splits, scales))
     top = n_pre if n_pre is not None else n_pre_filter(len(parts) * len(splits) * len(names), pct, n)
     numbers = sorted(r["number"] for r in prefilter(moments, max_std, top).select("number").collect())

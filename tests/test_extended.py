@@ -52,6 +52,8 @@ def test_moments_without_rows_equal_those_of_values(spark, df_seq):
     cols = ["feature", "n_test", "sum_test", "sq_test", "n_ref", "sum_ref", "sq_ref"]
     want = {tuple(r) for r in T.group_moments(values).select(*cols).fillna(0).collect()}
     assert {tuple(r) for r in A.matrix_moments(parts, PARTS, splits, SCALES).select(*cols).collect()} == want
+    one = A.matrix_moments(parts.filter("label = 1").withColumn("label", F.when(F.col("entry") > 5, F.col("label"))), PARTS, splits, SCALES)  # no reference rows, and rows without a label
+    assert {(r.n_ref, r.sum_ref) for r in one.collect()} == {(0, 0)} and one.agg(F.max("n_test")).first()[0] == 18
 
 
 def test_discovery_of_survivors_equals_discovery_of_all(spark, df_seq):
