@@ -13,7 +13,7 @@ from ..operators import mutation as U
 from ..operators.stats import round_half_up as r
 from .catalog import SCALES, SEQ, features_sql, load, query, rhu, sequences
 from .core import DF_FEAT, _df_feat
-from .design import SCAN, _scan, _UNITS, positioned
+from .design import SCAN, SCANNED, positioned
 from .encoding import EMB, SCALE_ROWS
 from .extended import _HALVES, _PRED, WEIGHTS, _predictions
 
@@ -74,8 +74,8 @@ def chart_letter_comparison(spark: SparkSession, sf: str) -> DataFrame:
 @query("chart_mutation_landscape", f"WITH {SCAN}, g AS (SELECT region, from_aa, to_aa, sum(delta)::BIGINT AS d FROM sn GROUP BY ALL) SELECT region, from_aa, {', '.join(f'coalesce(max(d) FILTER (to_aa = {chr(39)}{a}{chr(39)}), 0) AS {chr(34)}{a}{chr(34)}' for a in LETTERS)} FROM g GROUP BY region, from_aa")
 def chart_mutation_landscape(spark: SparkSession, sf: str) -> DataFrame:
     """Letters by letters, in each region: what the changes of all sequences move in sum (in units of 1e-5; 0 on the diagonal)."""
-    sums = _scan(spark, sf).groupBy("region", "from_aa", "to_aa").agg(F.sum(_UNITS("delta_cpp")).alias("d"))
-    return sums.groupBy("region", "from_aa").pivot("to_aa", list(LETTERS)).agg(F.first("d")).fillna(0)
+    sums = U.scan_totals(sequences(spark, sf), SCANNED, SCALES)
+    return sums.groupBy("region", "from_aa").pivot("to_aa", list(LETTERS)).agg(F.first("delta")).fillna(0)
 
 
 @query("chart_residue_impact", f"WITH {SCAN} SELECT entry, from_aa, region, {rhu('avg(delta)', 4)} AS mean_delta, max(delta) AS most FROM sn GROUP BY entry, from_aa, region")

@@ -129,6 +129,32 @@ def test_sums_of_a_scan_are_those_of_its_rows(spark, df_seq):
     assert got == want and len(got) > 100
 
 
+def test_totals_of_a_scan_are_those_of_its_rows(spark, df_seq):
+    features, rows = _scanned(spark, df_seq)
+    want: dict = {}
+    for _, _, one, to, region, delta, _ in rows:
+        n, d = want.get((region, one, to), (0, 0))
+        want[region, one, to] = (n + 1, d + delta)
+    assert {(r.region, r.from_aa, r.to_aa): (r.n, r.delta) for r in U.scan_totals(df_seq, features, SCALES).collect()} == want
+
+
+def test_best_of_a_scan_are_those_of_its_rows(spark, df_seq):
+    features, rows = _scanned(spark, df_seq)
+    best = [(-s, e, p, to) for e, p, _, to, _, _, s in rows]
+    got = [(-r.shift, r.entry, r.pos, r.to_aa) for r in U.scan_best(df_seq, features, SCALES, 25, each=False).collect()]
+    assert got == sorted(best)[:25]
+    for n in (1, 3, 40):
+        want = {(e, k + 1, p, to, -d) for e in {r[0] for r in rows} for k, (d, p, to) in enumerate(sorted((-d, p, to) for x, p, _, to, _, d, _ in rows if x == e)[:n])}
+        assert {(r.entry, r["rank"], r.pos, r.to_aa, r.delta) for r in U.scan_best(df_seq, features, SCALES, n, "delta").collect()} == want
+
+
+def test_summary_of_a_scan_without_its_rows(spark, df_seq):
+    features, _ = _scanned(spark, df_seq)
+    told = lambda df: {(r.entry, r.region): (r.n, r.n_disruptive, round(r.frac_disruptive, 9), round(r.mean_delta, 9)) for r in df.collect()}
+    for options in ({}, {"q": 0.9}, {"threshold": 0.05}):
+        assert told(U.scan_disruptive(df_seq, features, SCALES, **options)) == told(U.scan_summary(U.feature_scan(df_seq, features, SCALES), **options))
+
+
 def test_similar_windows_go(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("ACDE") for _ in range(9))
