@@ -81,8 +81,8 @@ def chart_mutation_landscape(spark: SparkSession, sf: str) -> DataFrame:
 @query("chart_residue_impact", f"WITH {SCAN} SELECT entry, from_aa, region, {rhu('avg(delta)', 4)} AS mean_delta, max(delta) AS most FROM sn GROUP BY entry, from_aa, region")
 def chart_residue_impact(spark: SparkSession, sf: str) -> DataFrame:
     """How much the changes of each letter of a sequence's regions move, on average and at most."""
-    scan = _scan(spark, sf).withColumn("d", _UNITS("delta_cpp"))
-    return scan.groupBy("entry", "from_aa", "region").agg(r(F.avg("d"), 4).alias("mean_delta"), F.max("d").alias("most"))
+    sums = U.scan_sums(sequences(spark, sf), SCANNED, SCALES, ("from_aa", "region"))
+    return sums.select("entry", "from_aa", "region", r(F.col("delta") / F.col("n"), 4).alias("mean_delta"), "most")
 
 
 @query("chart_variant_impact", f"WITH {SCAN}, t AS (SELECT entry, pos, from_aa, to_aa, delta, row_number() OVER (PARTITION BY entry ORDER BY delta DESC, pos, to_aa) AS k FROM sn) SELECT entry, concat(from_aa, pos, to_aa) AS variant, delta AS delta_cpp, k::INT AS rank FROM t WHERE k <= 3")
