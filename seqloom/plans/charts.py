@@ -88,9 +88,8 @@ def chart_residue_impact(spark: SparkSession, sf: str) -> DataFrame:
 @query("chart_variant_impact", f"WITH {SCAN}, t AS (SELECT entry, pos, from_aa, to_aa, delta, row_number() OVER (PARTITION BY entry ORDER BY delta DESC, pos, to_aa) AS k FROM sn) SELECT entry, concat(from_aa, pos, to_aa) AS variant, delta AS delta_cpp, k::INT AS rank FROM t WHERE k <= 3")
 def chart_variant_impact(spark: SparkSession, sf: str) -> DataFrame:
     """The three changes of each entry that move most."""
-    scan = _scan(spark, sf).withColumn("delta_cpp", _UNITS("delta_cpp"))
-    best = scan.withColumn("rank", F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("delta_cpp"), "pos", "to_aa"))).filter("rank <= 3")
-    return best.select("entry", F.concat("from_aa", F.col("pos").cast("string"), "to_aa").alias("variant"), "delta_cpp", "rank")
+    best = U.scan_best(sequences(spark, sf), SCANNED, SCALES, 3, "delta")
+    return best.select("entry", F.concat("from_aa", F.col("pos").cast("string"), "to_aa").alias("variant"), F.col("delta").alias("delta_cpp"), "rank")
 
 
 @query("chart_parallel_coordinates", f"WITH x AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part), m AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM x) SELECT p_partkey, {rhu('(a - a0) / (a1 - a0)', 8)} AS size, {rhu('(b - b0) / (b1 - b0)', 8)} AS price FROM x, m")
