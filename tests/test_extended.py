@@ -209,6 +209,31 @@ def test_centres_are_filtered_before_rows_are_made(spark):
     assert best == {(r.entry, r.center) for r in W.explode_centers(df, 9).filter(W.pwm_score(F.col("window"), pwm) >= 5).collect()} and best
 
 
+def test_parts_of_many_windows_are_numbered_alike(spark):
+    df = spark.range(0, 60_000, 1, 7).select((F.col("id") * 7919 % 60_000).alias("entry")).withColumn("window", F.col("entry").cast("string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # large tables have more than one range
+    try:
+        got = P.parts_of_windows({"tmd": df, "jmd_c": df.filter("entry % 3 = 0")}, "entry").select("entry", "tmd", "jmd_c").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {tuple(r) for r in got} == {(f"REF{i}", str(i), str(3 * i)) for i in range(20_000)} and len(got) == 20_000
+
+
+def test_kmers_are_counted_where_rows_are_read(spark):
+    from collections import Counter
+
+    from seqloom.operators import composition as K
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ACé-") for _ in range(n)) for n in (0, 1, 2, 3, 50, 200)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "entry long, s string")
+    for k in (1, 2, 3, 30):
+        want = {(i, w, n, len(t) - k + 1) for i, t in enumerate(texts) if t for w, n in Counter(t[j : j + k] for j in range(len(t) - k + 1)).items()}
+        got = K.kmer_counts(df, F.col("s"), k)
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+        assert "Exchange" not in K.kmer_fractions(df, F.col("s"), k)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_detection_and_precision_as_defined(spark):
     nan = float("nan")
     rows = [(1, p, s, t) for p, (s, t) in enumerate([(0.9, 1), (0.1, 0), (0.8, 0), (nan, 1), (0.2, 0), (None, 0)])] + [(2, p, s, t) for p, (s, t) in enumerate([(0.7, 0), (0.6, 1), (0.1, 0)])] + [(3, 0, 0.3, 0)]
