@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import GAP, LETTERS, UNIT, letter_counts
 from ..functions.parts import sliding_windows
 from .stats import round_half_up
+from .windows import _texts as texts_of
 
 
 def gap_free(parts: Sequence[str]) -> Column:
@@ -28,12 +32,59 @@ def kmers(sequence: Column, k: int) -> Column:
     return sliding_windows(sequence, k)
 
 
+#: Letters whose k-mers are counted at once.
+_LETTERS_AT_ONCE = 1 << 20
+
+
+def kmer_counts(df: DataFrame, sequence: Column, k: int, keep: Sequence[str] = ("entry",)) -> DataFrame:
+    """``keep, kmer, n, total`` of the k-mers that occur in each row's sequence, and how many it has; counted where the row is read, so rows need no shuffle."""
+    kinds = dict(df.dtypes)
+
+    def of(sequences: list[str]) -> tuple:
+        letters = np.frombuffer("".join(sequences).encode("utf-32-le"), np.uint32)
+        names, codes = np.unique(letters, return_inverse=True)
+        codes, base = codes.astype(np.int64), max(len(names), 2)
+        sizes = np.array([len(s) for s in sequences], dtype=np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        many = np.maximum(sizes - k + 1, 0)
+        row = np.repeat(np.arange(len(sizes)), many)
+        starts = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + at[row]
+        word = np.zeros(len(starts), dtype=np.int64)
+        for i in range(k):  # words become numbers again before they grow too large
+            if i and base ** (i + 1) * len(sizes) >= 1 << 62:
+                return None
+            word = word * base + codes[starts + i]
+        key, n = np.unique(row * base**k + word, return_counts=True)
+        row, word = np.divmod(key, base**k)
+        picked = np.stack([word // base ** (k - 1 - i) % base for i in range(k)], axis=1)
+        return row, texts_of(names[picked]), n, many[row]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told, first = batch.column("_s").to_pylist(), 0
+            while first < len(told):
+                last, size = first, 0
+                while last < len(told) and (last == first or size + len(told[last] or "") <= _LETTERS_AT_ONCE):
+                    size, last = size + len(told[last] or ""), last + 1
+                mine = [s or "" for s in told[first:last]]
+                made = of(mine)
+                if made is None:
+                    rows = [(i, w, n, len(s) - k + 1) for i, s in enumerate(mine) for w, n in Counter(s[j : j + k] for j in range(len(s) - k + 1)).items()]
+                    made = tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [], [])
+                row, word, n, total = made
+                row = np.asarray(row, dtype=np.int64) + first
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in keep), pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(total, pa.int64())], names=[*keep, "kmer", "n", "total"])
+                first = last
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "kmer string, n long, total long"])
+    return df.select(*keep, sequence.alias("_s")).mapInArrow(run, schema)
+
+
 def kmer_fractions(df: DataFrame, sequence: Column, k: int, keep: Sequence[str] = ("entry",)) -> DataFrame:
-    """``keep, kmer, n, fraction`` of the k-mers that occur; the denominator is the number of k-mers."""
-    # computed before the rows are made: beside the explode it would be computed, and the sequence carried, once a row
-    base = df.select(*keep, (F.length(sequence) - k + 1).alias("_n"), kmers(sequence, k).alias("_k"))
-    rows = base.select(*keep, "_n", F.explode("_k").alias("kmer"))
-    return rows.groupBy(*keep, "kmer", "_n").agg(F.count(F.lit(1)).alias("n")).select(*keep, "kmer", "n", (F.col("n") / F.col("_n")).alias("fraction"))
+    """``keep, kmer, n, fraction`` of the k-mers that occur in each row; the denominator is the number of k-mers."""
+    rows = kmer_counts(df, sequence, k, keep)
+    return rows.select(*keep, "kmer", "n", (F.col("n") / F.col("total").cast("int")).alias("fraction"))
 
 
 def scale_composition(df: DataFrame, sequence: Column, scales: Mapping[str, Sequence[int]], keep: Sequence[str] = ("entry",)) -> DataFrame:
