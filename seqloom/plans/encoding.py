@@ -49,7 +49,7 @@ def kmer_composit_test(spark: SparkSession, sf: str) -> DataFrame:
 
     s = labelled(spark, sf).filter(F.length("sequence") >= 2).select("entry", "label", "sequence")
     n = s.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
-    e = s.select("entry", "label", F.explode(F.array_distinct(C.kmers(F.col("sequence"), 2))).alias("kmer"))
+    e = C.kmer_counts(s, F.col("sequence"), 2, ("label",))
     counts = e.groupBy("kmer").agg(F.count_if(F.col("label") == 1).alias("in_test"), F.count_if(F.col("label") == 0).alias("in_ref"), F.count(F.lit(1)).alias("_all")).filter("_all >= 5")
     return counts.crossJoin(F.broadcast(n)).select("kmer", "in_test", "in_ref", round_half_up(F.col("in_test") / F.col("n1") - F.col("in_ref") / F.col("n0"), 6).alias("share_dif"))
 
