@@ -80,3 +80,39 @@ def test_swap_and_choice(spark):
     assert M.swap_scales([("T-S-b", 0), ("T-S-c", 0)], scales, {"a": 0, "b": 1, "c": 2}) == {"T-S-b": "a", "T-S-c": "c"}
     configs = spark.createDataFrame([("x", 0.5, 4), ("y", 0.5, 3), ("z", 0.4, 5), ("w", 0.3, 1)], "c string, q double, n int")
     assert [r["c"] for r in M.simplest_of_best(configs, "q", "n").collect()] == ["y", "w"]
+
+
+def test_many_rows_are_divided_until_they_correlate(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from seqloom.operators import models as M
+
+    monkeypatch.setattr(M, "FITTED", 100)
+    monkeypatch.setattr(M, "_TOGETHER", 80)
+    x = np.random.default_rng(1).normal(size=(300, 8))
+    x[50:60] = x[50]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "k long, v array<double>")
+    out = M.optimal_clusters(df, "k", "v", 0.3)
+    rows = out.collect()
+    assert sorted(r.k for r in rows) == list(range(300)) and {r.cluster for r in rows} == set(range(max(r.cluster for r in rows) + 1))
+    assert M.least_correlation(out, "v") >= 0.3 - 1e-9 and 1 < out.select("cluster").distinct().count() < 200
+    for c in {r.cluster for r in rows}:
+        mine = [r for r in rows if r.cluster == c]
+        assert np.allclose(mine[0].center, x[[r.k for r in mine]].mean(axis=0))
+
+
+def test_clusters_of_long_tables_merge_as_those_of_short_ones(spark, monkeypatch):
+    import numpy as np
+
+    from seqloom.operators import choice as C
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(6, 8))
+    label = [int(v) for v in rng.integers(0, 90, 200)]
+    x = base[np.array(label) % 6] + rng.normal(size=(200, 8)) * 0.6
+    df = spark.createDataFrame([(i, [float(v) for v in r], c) for i, (r, c) in enumerate(zip(x, label, strict=True))], "k long, v array<double>, c int")
+    want = [tuple(r) for r in C.merged(df, "k", "v", "c", 4, 0.2).orderBy("k").collect()]
+    monkeypatch.setattr(C, "MOST_MERGED", 50)
+    assert [tuple(r) for r in C.merged(df, "k", "v", "c", 4, 0.2).orderBy("k").collect()] == want
+    assert len({c for _, c in want}) < len(set(label))
