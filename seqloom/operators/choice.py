@@ -42,14 +42,104 @@ def merge_clusters(x: np.ndarray, labels: Sequence[int], n_max: int = 5, least:
 
 
 def merged(df: DataFrame, key: str, vector: str, label: str, n_max: int = 5, least: float = 0.5) -> DataFrame:
-    """``key, cluster`` after merging; for tables of ``MOST_MERGED`` rows at most, in the order of their keys."""
-    rows = df.select(key, vector, label).orderBy(key).limit(MOST_MERGED + 1).collect()
+    """``key, cluster`` after merging. Tables of ``MOST_MERGED`` rows at most are merged on the driver in the order of their keys; of larger ones only the clusters' sums and
+    the rows of small clusters get there (``merged_apart``)."""
+    rows = df.select(key, vector, label).limit(MOST_MERGED + 1).collect()
     if len(rows) > MOST_MERGED:
-        raise ValueError(f"over {MOST_MERGED} rows: merge representatives instead")
+        return merged_apart(df, key, vector, label, n_max, least)
+    rows.sort(key=lambda r: r[0])
     out = merge_clusters(np.array([r[1] for r in rows], dtype=float), [r[2] for r in rows], n_max, least) if rows else []
     return df.sparkSession.createDataFrame([(r[0], c) for r, c in zip(rows, out, strict=True)], f"{key} {dict(df.dtypes)[key]}, cluster int")
 
 
+#: Pairs of a small and a larger cluster that one pass over the rows tells of.
+_PAIRS = 1 << 20
+
+
+def _fits(rows: DataFrame, place: dict, sums: np.ndarray, sizes: np.ndarray, small: list[int], big: list[int]) -> np.ndarray:
+    """Least correlation of the rows of each larger cluster with its common centre with each small one: small x big. ``place``: which cluster a label is in by now."""
+    column, sc = {c: k for k, c in enumerate(big)}, rows.sparkSession.sparkContext
+    sent = sc.broadcast((place, sums[small], sizes[small], sums[big], sizes[big]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, s, n, t, m = sent.value
+        out = np.full((len(s), len(t)), np.inf)
+        for batch in batches:
+            told = np.array([column.get(at[c], -1) for c in batch.column(1).to_pylist()])
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            y = x - x.mean(axis=1, keepdims=True)
+            size = (y * y).sum(axis=1)
+            for b in np.unique(told[told >= 0]):
+                c = (s + t[b]) / (n + m[b])[:, None]
+                c -= c.mean(axis=1, keepdims=True)
+                mine = told == b
+                low = np.sqrt(size[mine][:, None] * (c * c).sum(axis=1)[None, :])
+                out[:, b] = np.minimum(out[:, b], np.where(low > 0, (y[mine] @ c.T) / np.maximum(low, 1e-300), 0.0).min(axis=0))
+        i, j = np.nonzero(np.isfinite(out))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(out[i, j])], names=["i", "j", "q"])
+
+    out = np.full((len(small), len(big)), np.inf)
+    for r in rows.mapInArrow(run, "i long, j long, q double").groupBy("i", "j").agg(F.min("q").alias("q")).collect():
+        out[r["i"], r["j"]] = r["q"]
+    return out
+
+
+def merged_apart(df: DataFrame, key: str, vector: str, label: str, n_max: int = 5, least: float = 0.5) -> DataFrame:
+    """``merge_clusters`` of a table of any length: one pass gives the clusters' sums, then each pass tells how small clusters fit larger ones, again only for those that
+    have grown since. The driver holds a sum of vectors per cluster, and the rows of clusters below ``n_max``; passes after the first number at most the merges."""
+    rows, kind = df.select(vector, label, key), dict(df.dtypes)[label]
+    told = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.first(F.size(vector)).alias("d")).collect()
+    told.sort(key=lambda r: r["first"])
+    number, dims = {r[label]: k for k, r in enumerate(told)}, told[0]["d"]
+    sizes = np.array([r["n"] for r in told])
+    few = [r[label] for r in told if r["n"] < n_max]
+    place = {r[label]: k for k, r in enumerate(told)}
+    if few:
+        sums = np.zeros((len(told), dims))
+        for r in rows.groupBy(label).agg(F.array(*[F.sum(F.col(vector)[d].cast("double")) for d in range(dims)]).alias("s")).collect():
+            sums[number[r[label]]] = r["s"]
+        names = rows.sparkSession.createDataFrame([(c,) for c in few], f"{label} {kind}")
+        held: dict[int, list] = {}
+        for r in rows.join(F.broadcast(names), label).select(label, vector).collect():
+            held.setdefault(number[r[0]], []).append(np.asarray(r[1], dtype=float))
+        for n in range(1, n_max):
+            at = sizes.copy()
+            small = [c for c in range(len(told)) if at[c] == n]
+            big = [c for c in range(len(told)) if at[c] > n]
+            step = max(1, _PAIRS // max(len(big), 1))
+            for lo in range(0, len(small) if big else 0, step):
+                mine = small[lo : lo + step]
+                fits, grown = _fits(rows, place, sums, sizes, mine, big), set()
+                for k, c in enumerate(mine):
+                    if grown:
+                        again = sorted(grown)
+                        fits[k:, again] = _fits(rows, place, sums, sizes, mine[k:], [big[j] for j in again])
+                        grown = set()
+                    x, best = np.stack(held[c]), None
+                    y = x - x.mean(axis=1, keepdims=True)
+                    centre = (sums[big] + sums[c]) / (sizes[big] + sizes[c])[:, None]
+                    centre -= centre.mean(axis=1, keepdims=True)
+                    low = np.sqrt((y * y).sum(axis=1)[:, None] * (centre * centre).sum(axis=1)[None, :])
+                    own = np.where(low > 0, (y @ centre.T) / np.maximum(low, 1e-300), 0.0).min(axis=0)
+                    q = np.minimum(fits[k], own)
+                    if q.max() >= least:
+                        j = int(np.argmax(q))
+                        best = big[j]
+                        sums[best] += sums[c]
+                        sizes[best] += sizes[c]
+                        sizes[c] = 0
+                        if best in held:
+                            held[best] += held[c]
+                        place.update({name: best for name, p in place.items() if p == c})
+                        grown.add(j)
+    first: dict[int, int] = {}
+    for name, p in place.items():
+        first[p] = min(first.get(p, number[name]), number[name])
+    ranked = {c: k for k, c in enumerate(sorted(first, key=lambda c: (-int(sizes[c]), first[c])))}
+    table = df.sparkSession.createDataFrame([(name, ranked[p]) for name, p in place.items()], f"{label} {kind}, cluster int")
+    return rows.join(F.broadcast(table), label).select(key, "cluster")
+
+
 def calinski_harabasz(df: DataFrame, label: str, vector: str, dims: int) -> DataFrame:
     """One row ``ch``: spread between clusters by that within; 0 if there is only one."""
     means = df.groupBy(label).agg(F.count(F.lit(1)).cast("double").alias("_n"), *[F.avg(F.col(vector)[d].cast("double")).alias(f"_{d}") for d in range(dims)])
