@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parts import bound_once
+
 #: States of secondary structure and their three classes (fixed values).
 SS3 = {"H": "H", "G": "H", "I": "H", "E": "E", "B": "E", "T": "C", "S": "C", "-": "C", "C": "C", "P": "C"}
 _RECORD = "struct<features:array<struct<type:string,description:string,featureId:string,location:struct<start:struct<value:int>,end:struct<value:int>>,evidences:array<struct<evidenceCode:string>>>>>"
@@ -15,14 +17,15 @@ _RECORD = "struct<features:array<struct<type:string,description:string,featureId
 def error_matrix(json: Column) -> Column:
     """The square matrix of one of the usual layouts: an object, or a list of one, with the matrix under ``pae`` or ``predicted_aligned_error``; null if it isn't square."""
     record = "struct<pae:array<array<double>>,predicted_aligned_error:array<array<double>>>"
-    one, many = F.from_json(json, record), F.get(F.from_json(json, f"array<{record}>"), 0)
-    matrix = F.coalesce(*[x[name] for x in (one, many) for name in ("predicted_aligned_error", "pae")])
-    return F.when(F.forall(matrix, lambda r: F.size(r) == F.size(matrix)), matrix)
+    # a list's schema also reads an object; the text is parsed once, and not again in the lambda
+    first = F.get(F.from_json(json, f"array<{record}>"), 0)
+    matrix = bound_once(first, lambda x: F.coalesce(x["predicted_aligned_error"], x["pae"]))
+    return bound_once(matrix, lambda m: F.when(F.forall(m, lambda r: F.size(r) == F.size(m)), m))
 
 
 def error_features(matrix: Column, window: int = 5, edges: tuple[int, int] = (5, 15)) -> Column:
     """Per residue its mean error, and those within a window, and near, middle and far along the sequence; null where a band is empty."""
-    mean = lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x))
+    mean = lambda x: bound_once(x, lambda y: F.when(F.size(y) > 0, F.aggregate(y, F.lit(0.0), lambda s, v: s + v) / F.size(y)))
 
     def of(row: Column, i: Column) -> Column:
         band = lambda keep: mean(F.filter(row, lambda _, j: keep(F.abs(j - i))))
