@@ -36,8 +36,9 @@ def kmers(sequence: Column, k: int) -> Column:
 _LETTERS_AT_ONCE = 1 << 20
 
 
-def kmer_counts(df: DataFrame, sequence: Column, k: int, keep: Sequence[str] = ("entry",)) -> DataFrame:
-    """``keep, kmer, n, total`` of the k-mers that occur in each row's sequence, and how many it has; counted where the row is read, so rows need no shuffle."""
+def kmer_counts(df: DataFrame, sequence: Column, k: int, keep: Sequence[str] = ("entry",), together: bool = False) -> DataFrame:
+    """``keep, kmer, n, total`` of the k-mers that occur in each row's sequence, and how many it has; counted where the row is read, so rows need no shuffle.
+    ``together``: rows read at once are counted as one (for sums over all rows; ``keep`` and ``total`` are then those of the first)."""
     kinds = dict(df.dtypes)
 
     def of(sequences: list[str]) -> tuple:
@@ -49,6 +50,7 @@ def kmer_counts(df: DataFrame, sequence: Column, k: int, keep: Sequence[str] = (
         many = np.maximum(sizes - k + 1, 0)
         row = np.repeat(np.arange(len(sizes)), many)
         starts = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + at[row]
+        row = np.zeros_like(row) if together else row
         word = np.zeros(len(starts), dtype=np.int64)
         for i in range(k):  # words become numbers again before they grow too large
             if i and base ** (i + 1) * len(sizes) >= 1 << 62:
@@ -107,19 +109,32 @@ def auto_covariance(df: DataFrame, sequence: Column, scales: Mapping[str, Sequen
 
     The products are summed as whole numbers and the mean is taken out afterwards, so the result doesn't depend on the order.
     """
-    out = None
-    for s, v in scales.items():
-        one = df.select(*keep, scale_series(sequence, v).alias("_x")).withColumn("_n", F.size("_x").cast("long"))
-        one = one.withColumn("_sum", F.aggregate("_x", F.lit(0).cast("long"), lambda a, x: a + x))
-        for lag in lags:
-            head, tail = F.slice("_x", F.lit(1), F.greatest(F.col("_n").cast("int") - lag, F.lit(0))), F.slice("_x", F.lit(lag + 1), F.greatest(F.col("_n").cast("int") - lag, F.lit(0)))
-            add = lambda arr: F.aggregate(arr, F.lit(0).cast("long"), lambda a, x: a + x)
-            made = one.withColumn("_p", add(F.zip_with(head, tail, lambda a, b: a * b))).withColumn("_e", add(head) + add(tail))
-            m, d = F.col("_sum").cast("double") / F.col("_n"), (F.col("_n") - lag).cast("double")
-            acc = (F.col("_p").cast("double") - m * F.col("_e").cast("double") + d * m * m) / d / float(UNIT) / float(UNIT)
-            rows = made.select(*keep, F.lit(s).alias("scale_id"), F.lit(lag).alias("lag"), F.when(d > 0, round_half_up(acc, 6)).alias("acc"))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    table, names, kinds = np.array([[*v, 0] for v in scales.values()], dtype=np.int64), list(scales), dict(df.dtypes)
+    code = np.full(256, 20, dtype=np.int64)
+    code[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(20)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out, bad = [], [], []
+            for k, text in enumerate(batch.column("_s").to_pylist()):
+                codes = code[np.frombuffer((text or "").encode("ascii", "replace"), np.uint8)]
+                x, n = table[:, codes], len(codes)
+                total = x.sum(axis=1)
+                for lag in lags:
+                    head, tail = x[:, : max(n - lag, 0)], x[:, lag:]
+                    out.append(np.stack([np.arange(len(names)), np.full(len(names), lag), np.full(len(names), n), total, (head * tail).sum(axis=1), head.sum(axis=1) + tail.sum(axis=1)], axis=1))
+                    rows.append(np.full(len(names), k))
+                    bad.append(np.full(len(names), text is None or bool((codes == 20).any())))
+            if rows:
+                told, bad = np.concatenate(out), np.concatenate(bad)
+                columns = [pa.array(told[:, i]) for i in range(3)] + [pa.array(told[:, i], mask=bad) for i in range(3, 6)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(np.concatenate(rows))) for c in keep), *columns], names=[*keep, "_k", "_lag", "_n", "_sum", "_p", "_e"])
+
+    made = df.select(*keep, sequence.alias("_s")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} long" for c in ("_k", "_lag", "_n", "_sum", "_p", "_e"))]))
+    m, d = F.col("_sum").cast("double") / F.nullif(F.col("_n"), F.lit(0)), (F.col("_n") - F.col("_lag")).cast("double")
+    acc = (F.col("_p").cast("double") - m * F.col("_e").cast("double") + d * m * m) / F.nullif(d, F.lit(0.0)) / float(UNIT) / float(UNIT)
+    scale = F.element_at(F.array(*[F.lit(s) for s in names]), (F.col("_k") + 1).cast("int"))
+    return made.select(*keep, scale.alias("scale_id"), F.col("_lag").cast("int").alias("lag"), F.when(d > 0, round_half_up(acc, 6)).alias("acc"))
 
 
 def integer_codes(sequence: Column) -> Column:

@@ -234,6 +234,37 @@ def test_kmers_are_counted_where_rows_are_read(spark):
         assert "Exchange" not in K.kmer_fractions(df, F.col("s"), k)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_error_matrices_are_parsed_once(spark):
+    from seqloom.operators import structure as S
+
+    texts = ['{"pae":[[1,2],[3,4]]}', '[{"predicted_aligned_error":[[1,2],[3,4]]}]', '{"pae":[[1,2],[3]]}', "no", None, "[]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = df.select("k", S.error_matrix(F.col("t")).alias("m"))
+    assert {r.k: r.m for r in got.collect()} == {0: [[1, 2], [3, 4]], 1: [[1, 2], [3, 4]], 2: None, 3: None, 4: None, 5: None}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_covariance_makes_no_row_for_a_letter(spark):
+    from seqloom.operators import composition as K
+
+    df = spark.createDataFrame([(1, "ACDE"), (2, "A"), (3, ""), (4, "AX")], "entry long, s string")
+    v = list(range(0, 2_000_000, 100_000))
+    out = K.auto_covariance(df, F.col("s"), {"x": v}, (1, 2))
+    got = {(r.entry, r.lag): r.acc for r in out.collect()}
+    mean = lambda lag: sum((i - 1.5) * (i + lag - 1.5) for i in range(4 - lag)) / (4 - lag)
+    assert math.isclose(got[1, 1], mean(1), abs_tol=1e-6) and math.isclose(got[1, 2], mean(2), abs_tol=1e-6) and len(got) == 8
+    assert all(got[e, lag] is None for e in (2, 3, 4) for lag in (1, 2))
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_of_all_rows_are_counted_together(spark):
+    from seqloom.operators import composition as K
+
+    df = spark.createDataFrame([(s,) for s in ("ACDACD", "ACD", "", None)], "s string").coalesce(1)
+    got = K.kmer_counts(df, F.col("s"), 3, (), together=True).groupBy("kmer").agg(F.sum("n").alias("n"))
+    assert {(r.kmer, r.n) for r in got.collect()} == {("ACD", 3), ("CDA", 1), ("DAC", 1)}
+
+
 def test_detection_and_precision_as_defined(spark):
     nan = float("nan")
     rows = [(1, p, s, t) for p, (s, t) in enumerate([(0.9, 1), (0.1, 0), (0.8, 0), (nan, 1), (0.2, 0), (None, 0)])] + [(2, p, s, t) for p, (s, t) in enumerate([(0.7, 0), (0.6, 1), (0.1, 0)])] + [(3, 0, 0.3, 0)]
