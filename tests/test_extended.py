@@ -265,6 +265,19 @@ def test_windows_of_all_rows_are_counted_together(spark):
     assert {(r.kmer, r.n) for r in got.collect()} == {("ACD", 3), ("CDA", 1), ("DAC", 1)}
 
 
+def test_even_windows_are_cut_in_batches(spark):
+    rows = [(1, "ACDEFGHIKLMN", [1, 1, 0, 1, None, 1, 1, None, 0, 1]), (2, "ACDé" * 3, [1] * 12), (3, "ACD", [1, 1, 1]), (4, None, None), (5, "ACDEFGHIK", None)]
+    out = P.even_windows(spark.createDataFrame(rows, "entry long, sequence string, labels array<int>"), 8)
+
+    def both(labels, i):
+        a, b = ((labels[k] if labels and k < len(labels) else None) for k in (i, i - 1))
+        return 0 if 0 in (a, b) else None if None in (a, b) else 1
+
+    want = {(f"{e}_{i}|{i + 1}", s[i - 4 : i + 4], both(labels, i)) for e, s, labels in rows if s for i in range(4, len(s) - 3)}
+    assert {tuple(r) for r in out.collect()} == want and len(want) > 10
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_detection_and_precision_as_defined(spark):
     nan = float("nan")
     rows = [(1, p, s, t) for p, (s, t) in enumerate([(0.9, 1), (0.1, 0), (0.8, 0), (nan, 1), (0.2, 0), (None, 0)])] + [(2, p, s, t) for p, (s, t) in enumerate([(0.7, 0), (0.6, 1), (0.1, 0)])] + [(3, 0, 0.3, 0)]
