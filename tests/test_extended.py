@@ -73,6 +73,21 @@ def test_discovery_of_survivors_equals_discovery_of_all(spark, df_seq):
     assert [r.feature for r in got] == [f for f, _, _ in kept[:12]]
 
 
+def test_bounds_leave_no_feature_out_that_may_pass(spark, df_seq, monkeypatch):
+    parts = P.get_parts(df_seq, PARTS, keep=("entry", "label"))
+    splits, names = segments(1, 3) + patterns()[:20] + periodic_patterns()[:9], {f"SC{s:02d}": scale_values(s) for s in range(12)}
+    exact = {r.number: r for r in T.finalize_moments(A.matrix_moments(parts, PARTS, splits, names)).collect()}
+    bounds = {r.number: r for r in A.matrix_bounds(parts, PARTS, splits, names, 0.2).collect()}
+    assert {k for k, r in exact.items() if r.std_test <= 0.2} <= set(bounds) and {k for k, b in bounds.items() if b.sure} <= {k for k, r in exact.items() if r.std_test <= 0.2}
+    assert all(b.low <= exact[k].abs_mean_dif <= b.high and b.high - b.low < 3e-5 for k, b in bounds.items())
+    only = S.may_pass(A.matrix_bounds(parts, PARTS, splits, names, 0.2), 40)
+    assert len(only) < len(exact) / 4 and {r.number for r in S.prefilter(T.finalize_moments(A.matrix_moments(parts, PARTS, splits, names)), 0.2, 40).collect()} <= set(only)
+    assert {tuple(r) for r in A.matrix_moments(parts, PARTS, splits, names, only=only).collect()} == {tuple(r) for r in A.matrix_moments(parts, PARTS, splits, names).collect() if r.number in set(only)}
+    want = S.discover_wide(parts, PARTS, splits, names, scale_metadata(spark, 12), n=12, n_pre=40).collect()
+    monkeypatch.setattr(S, "MOST_ADDED", 0)
+    assert S.discover_wide(parts, PARTS, splits, names, scale_metadata(spark, 12), n=12, n_pre=40).collect() == want and want
+
+
 def test_p_values():
     assert abs(T.beta_fraction(2.0, 0.5, 0.3) - (1 - math.sqrt(0.7) * 1.15)) < 1e-12
     t = lambda v, df: T.beta_fraction(df / 2, 0.5, df / (df + v * v))
