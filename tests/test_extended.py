@@ -88,6 +88,18 @@ def test_bounds_leave_no_feature_out_that_may_pass(spark, df_seq, monkeypatch):
     assert S.discover_wide(parts, PARTS, splits, names, scale_metadata(spark, 12), n=12, n_pre=40).collect() == want and want
 
 
+def test_statistics_of_chosen_features_need_no_row_per_value(spark, df_seq, monkeypatch):
+    parts = P.get_parts(df_seq, PARTS, keep=("entry", "label"))
+    parts = parts.unionByName(parts.withColumn("label", F.lit(None).cast("int"))).unionByName(parts.limit(3).withColumn("tmd", F.lit("")))
+    only = [0, 3, 7, 20, 50]
+    monkeypatch.setattr(A, "_COUNTED", 30)
+    got = A.matrix_sums(parts, PARTS, segments(1, 3) + periodic_patterns()[:4], SCALES, only)
+    values = A.matrix_values(parts, PARTS, segments(1, 3) + periodic_patterns()[:4], SCALES, ("entry", "label"), only)
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    assert told(T.named_stats(T.stats_of_sums(got))) == told(T.feature_stats(values))
+    assert told(T.named_stats(T.stats_of_sums(got, True), True)) == told(T.feature_stats(values, parametric=True))
+
+
 def test_p_values():
     assert abs(T.beta_fraction(2.0, 0.5, 0.3) - (1 - math.sqrt(0.7) * 1.15)) < 1e-12
     t = lambda v, df: T.beta_fraction(df / 2, 0.5, df / (df + v * v))
