@@ -88,6 +88,16 @@ def test_bounds_leave_no_feature_out_that_may_pass(spark, df_seq, monkeypatch):
     assert S.discover_wide(parts, PARTS, splits, names, scale_metadata(spark, 12), n=12, n_pre=40).collect() == want and want
 
 
+def test_letters_held_at_once_are_bounded(spark, df_seq, monkeypatch):
+    parts = P.get_parts(df_seq, PARTS, keep=("entry", "label"))
+    want = A.matrix_values(parts, PARTS, segments(1, 3), SCALES, only=[0, 5, 40]).collect()
+    monkeypatch.setattr(A, "_LETTERS_AT_ONCE", 100)
+    batch = parts.select(*PARTS).toArrow().combine_chunks().to_batches()[0]
+    cut = list(A._slices(batch, PARTS, 1))
+    assert sum(c.num_rows for c in cut) == batch.num_rows and all(c.num_rows == 1 or sum(len(x) for p in PARTS for x in c.column(p).to_pylist()) <= 100 for c in cut)
+    assert A.matrix_values(parts, PARTS, segments(1, 3), SCALES, only=[0, 5, 40]).collect() == want
+
+
 def test_statistics_of_chosen_features_need_no_row_per_value(spark, df_seq, monkeypatch):
     parts = P.get_parts(df_seq, PARTS, keep=("entry", "label"))
     parts = parts.unionByName(parts.withColumn("label", F.lit(None).cast("int"))).unionByName(parts.limit(3).withColumn("tmd", F.lit("")))
