@@ -151,39 +151,64 @@ def calinski_harabasz(df: DataFrame, label: str, vector: str, dims: int) -> Data
     return between.crossJoin(F.broadcast(within)).select(F.when((k > 1) & (F.col("w") > 0), F.col("b") / (k - 1) / (F.col("w") / (n - k))).otherwise(0.0).alias("ch"))
 
 
-def silhouette(df: DataFrame, key: str, label: str, vector: str, block: int = 2048) -> DataFrame:
-    """One row ``sc``: mean over rows of (b - a) / max(a, b), a the mean distance to the own cluster's others and b the least to another cluster. Rows meet all rows in
-    blocks that go to the tasks one after another; 0 for rows alone in their cluster."""
+#: Rows that a worker compares at once: its own, and others.
+_OWN, _OTHERS = 512, 1024
+
+
+def silhouette(df: DataFrame, key: str, label: str, vector: str, block: int = 1 << 18) -> DataFrame:
+    """One row ``sc``: mean over rows of (b - a) / max(a, b), a the mean distance to the own cluster's others and b the least to another cluster; 0 for rows alone in their
+    cluster. Rows meet all rows, of which about ``block`` at a time go to the workers; a row gets one array of sums by cluster for each such block, and distances stay in
+    tiles. The work grows with the square of the rows, what is held and shuffled doesn't."""
     sc, kind, told = df.sparkSession.sparkContext, dict(df.dtypes)[key], dict(df.dtypes)[label]
-    rows, out = df.select(key, label, vector), None
+    rows = df.select(key, label, vector)
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    if not sizes:
+        return df.sparkSession.createDataFrame([(None,)], "sc double")
+    groups = sorted(sizes)
+    place, n = {g: k for k, g in enumerate(groups)}, sum(sizes.values())
+
+    def matrix(table: pa.RecordBatch | pa.Table) -> np.ndarray:
+        column = table.column(2)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
     def sums(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, y = sent.value
-            groups, of = np.unique(names, return_inverse=True)
-            one = np.zeros((len(y), len(groups)))
-            one[np.arange(len(y)), of] = 1
+            ends, y = sent.value  # rows in the order of their clusters
             for batch in batches:
-                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-                far = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0))
-                total, each = far @ one, len(groups)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), each))), batch.column(1).take(pa.array(np.repeat(np.arange(len(x)), each))), pa.array(np.tile(groups, len(x))).cast(batch.column(1).type), pa.array(total.reshape(-1)), pa.array(np.tile(one.sum(0), len(x)))], names=[key, label, "_other", "_s", "_n"])
+                x = matrix(batch).astype(float)
+                total, size = np.zeros((len(x), len(groups))), (x * x).sum(axis=1)
+                for a, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    for first in range(lo, hi, _OTHERS):
+                        z = y[first : min(first + _OTHERS, hi)].astype(float)
+                        other, turned = (z * z).sum(axis=1), -2 * z.T
+                        for at in range(0, len(x), _OWN):
+                            far = x[at : at + _OWN] @ turned
+                            far += size[at : at + _OWN, None]
+                            far += other
+                            np.sqrt(np.maximum(far, 0.0, out=far), out=far)
+                            total[at : at + _OWN, a] += far.sum(axis=1)
+                column = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(groups), pa.array(total.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], names=[key, label, "_s"])
 
         return run
 
-    held: list = []
-    for row in [*rows.toLocalIterator(), None]:
-        if row is not None:
-            held.append((row[1], np.asarray(row[2], dtype=float)))
-        if held and (row is None or len(held) == block):
-            sent = sc.broadcast((np.array([h[0] for h in held]), np.stack([h[1] for h in held])))
-            part = rows.mapInArrow(sums(sent), f"{key} {kind}, {label} {told}, _other {told}, _s double, _n double")
-            out, held = part if out is None else out.unionByName(part), []
-    if out is None:
-        return df.sparkSession.createDataFrame([(None,)], "sc double")
-    mean = out.groupBy(key, label, "_other").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    own = F.col("_other") == F.col(label)
-    ab = mean.groupBy(key, label).agg(F.max(F.when(own & (F.col("_n") > 1), F.col("_s") / (F.col("_n") - 1))).alias("a"), F.min(F.when(~own, F.col("_s") / F.col("_n"))).alias("b"))
+    spread, out, rounds, blocks = rows.repartition(sc.defaultParallelism * 4), None, -(-n // block), 0
+    for k in range(rounds):
+        mine = rows.filter(F.pmod(F.xxhash64(key), F.lit(rounds)) == k).toArrow()
+        if not mine.num_rows:
+            continue
+        of = np.array([place[g] for g in mine.column(1).to_pylist()])
+        blocks += 1
+        sent = sc.broadcast((np.searchsorted(np.sort(of), np.arange(len(groups) + 1)), matrix(mine)[np.argsort(of, kind="stable")]))
+        part = spread.mapInArrow(sums(sent), f"`{key}` {kind}, `{label}` {told}, _s array<double>")
+        out = part if out is None else out.unionByName(part)
+    # a row has an array for each block; equal keys count as one row of all their distances
+    mean = out.groupBy(key, label).agg((F.count(F.lit(1)) / blocks).alias("_m"), *[F.sum(F.col("_s")[k]).alias(f"_{k}") for k in range(len(groups))])
+    own = lambda k: F.col(label).eqNullSafe(F.lit(groups[k]))
+    a = F.coalesce(*[F.when(own(k), F.col(f"_{k}") / F.nullif(F.col("_m") * sizes[g] - 1, F.lit(0.0))) for k, g in enumerate(groups)], F.lit(None).cast("double"))
+    b = F.array_min(F.array(*[F.when(~own(k), F.col(f"_{k}") / (F.col("_m") * sizes[g])) for k, g in enumerate(groups)]))
+    ab = mean.select(a.alias("a"), b.alias("b"))
     one = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return ab.agg(F.avg(one).alias("sc"))
 

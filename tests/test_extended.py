@@ -121,6 +121,25 @@ def test_bands_of_centers_need_no_row_per_center(spark):
     assert W.center_bands(df, 9, "WH", 3, 20)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_silhouette_hands_on_one_row_per_row_and_block(spark):
+    rng = np.random.default_rng(5)
+    x, lab = rng.normal(size=(90, 6)), rng.integers(0, 4, size=90)
+    lab[0] = 9  # alone in its cluster
+    df = spark.createDataFrame([(i, [float(a) for a in v], int(c)) for i, (v, c) in enumerate(zip(x, lab, strict=True))], "id long, v array<double>, c int")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    s = [0.0]
+    for i in range(1, 90):
+        a = far[i][(lab == lab[i]) & (np.arange(90) != i)].mean()
+        b = min(far[i][lab == c].mean() for c in set(lab) - {lab[i]})
+        s.append((b - a) / max(a, b))
+    for block in (20, 1 << 18):
+        got = C.silhouette(df, "id", "c", "v", block)
+        assert math.isclose(got.first().sc, np.mean(s), rel_tol=1e-7)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == -(-90 // block)
+        assert "_other" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert C.silhouette(df.filter("id < 0"), "id", "c", "v").first().sc is None
+
+
 def test_p_values():
     assert abs(T.beta_fraction(2.0, 0.5, 0.3) - (1 - math.sqrt(0.7) * 1.15)) < 1e-12
     t = lambda v, df: T.beta_fraction(df / 2, 0.5, df / (df + v * v))
