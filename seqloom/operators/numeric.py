@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,51 @@ def tensor_values(df_parts: DataFrame, parts: Sequence[str], splits: Sequence[Sp
     return rows.select(*keep, F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("_n") + 1).alias("feature"), "value")
 
 
+#: Letters whose vectors are held at once.
+_LETTERS_AT_ONCE = 1 << 19
+
+
+def _read(batches: Iterator[pa.RecordBatch], sequence: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """``rows, codes, at``: slices of rows, the numbers of all their letters (20: another letter), and where each row's begin and the last one ends."""
+    code = np.full(1 << 16, 20, dtype=np.int64)
+    code[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(20)
+    for batch in batches:
+        texts, first = batch.column(sequence).to_pylist(), 0
+        ends = np.cumsum([len(t or "") for t in texts])
+        while first < len(texts):
+            begun = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, begun + _LETTERS_AT_ONCE, side="right")))
+            points = np.frombuffer("".join(t or "" for t in texts[first:last]).encode("utf-32-le"), np.uint32)
+            yield batch.slice(first, last - first), code[np.minimum(points, len(code) - 1)], np.concatenate([[0], ends[first:last] - begun])
+            first = last
+
+
+def combined_of(df: DataFrame, sequence: str, tensors: Sequence[Callable[[np.ndarray], np.ndarray]], keep: Sequence[str] = ("entry",)) -> DataFrame:
+    """``keep, n, dims, total``: length, dimensions and sum of several tensors of one sequence side by side. Each tensor is a function of the numbers of the letters (20: another
+    letter) to vectors, NaN where there are none. What belongs to one row needs no join by key: vectors are put together where the sequence is read, and only what is asked of
+    them leaves the worker."""
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, codes, at in _read(batches, sequence):
+            made = [t(codes) for t in tensors]
+            if any(len(t) != len(codes) for t in made):
+                raise ValueError("tensors of other lengths or keys")
+            both = np.concatenate(made, axis=1)
+            each = np.nansum(both, axis=1)
+            total = np.array([each[a:b].sum() for a, b in zip(at[:-1], at[1:], strict=True)])
+            size = np.diff(at)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(size.astype(np.int32)), pa.array(np.full(len(size), both.shape[1], np.int32), mask=size == 0), pa.array(total)], names=[*keep, "n", "dims", "total"])
+
+    return df.select(*dict.fromkeys([*keep, sequence])).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n int, dims int, total double"]))
+
+
+def scale_tensor(scales: Mapping[str, Sequence[int]], unit: float = 100_000.0) -> Callable[[np.ndarray], np.ndarray]:
+    """``residue_tensor`` for ``combined_of``."""
+    table = np.array([[*(x / unit for x in v), np.nan] for v in scales.values()]).T
+    return lambda codes: table[codes]
+
+
 def letter_means(df: DataFrame, sequence: str, tensor: str, spark: SparkSession | None = None) -> DataFrame:
     """``aa, dim, mean, std``: what each letter is worth in each dimension, over all residues; null for letters that don't occur."""
     both = F.arrays_zip(letters_of(F.col(sequence)).alias("aa"), F.col(tensor).alias("v"))
@@ -84,7 +129,7 @@ def letter_means(df: DataFrame, sequence: str, tensor: str, spark: SparkSession
 
 
 def combined(left: DataFrame, right: DataFrame, key: str, tensor: str) -> DataFrame:
-    """Tensors of one key side by side; keys of one side only, and sequences of other lengths, raise when read."""
+    """Tensors of two frames side by side by key (those of one frame need no join: ``combined_of``); keys of one side only, and sequences of other lengths, raise when read."""
     both = left.join(right.withColumnRenamed(tensor, "_more"), key, "full_outer")
     same = F.assert_true(F.col(tensor).isNotNull() & F.col("_more").isNotNull() & (F.size(tensor) == F.size("_more")), F.lit("tensors of other lengths or keys"))
     return both.withColumn("_ok", same).withColumn(tensor, F.zip_with(tensor, "_more", lambda a, b: F.when(F.col("_ok").isNull(), F.concat(a, b)))).drop("_more", "_ok")

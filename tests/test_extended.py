@@ -140,6 +140,21 @@ def test_silhouette_hands_on_one_row_per_row_and_block(spark):
     assert C.silhouette(df.filter("id < 0"), "id", "c", "v").first().sc is None
 
 
+def test_tensors_of_one_row_need_no_join(spark):
+    from seqloom.operators import numeric as N
+
+    rows = [(1, "ACXW"), (2, ""), (3, "Y"), (3, "AA")]
+    df = spark.createDataFrame(rows, "entry long, sequence string")
+    t = N.scale_tensor({"D1": SCALES["SC00"], "D2": SCALES["SC01"]})
+    both = N.combined_of(df, "sequence", [t, lambda codes: t(codes)[:, ::-1]])
+    of = lambda x: sum(SCALES[s][LETTERS.index(a)] / 1e5 for a in x if a != "X" for s in ("SC00", "SC01")) * 2
+    assert [(r.entry, r.n, r.dims) for r in both.collect()] == [(k, len(x), 4 if x else None) for k, x in rows]
+    assert all(math.isclose(r.total, of(x), abs_tol=1e-9) for r, (_, x) in zip(both.collect(), rows, strict=True))
+    assert not {"Join", "Exchange"} & set(both._jdf.queryExecution().optimizedPlan().toString().split())
+    with pytest.raises(Exception, match="other lengths"):
+        N.combined_of(df, "sequence", [t, lambda codes: t(codes[1:])]).collect()
+
+
 def test_p_values():
     assert abs(T.beta_fraction(2.0, 0.5, 0.3) - (1 - math.sqrt(0.7) * 1.15)) < 1e-12
     t = lambda v, df: T.beta_fraction(df / 2, 0.5, df / (df + v * v))
