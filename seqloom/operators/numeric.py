@@ -93,6 +93,52 @@ def _read(batches: Iterator[pa.RecordBatch], sequence: str) -> Iterator[tuple[pa
             first = last
 
 
+def letter_vectors(codes: np.ndarray, scales: Mapping[str, Sequence[int]]) -> np.ndarray:
+    """``(letters, scales)``: values of letters in whole units, and a last column of ones for those that have any."""
+    return np.array([[*v, 0] for v in [*scales.values(), [1] * 20]], dtype=np.int64).T[codes]
+
+
+def residue_values(df: DataFrame, parts: Sequence[str], splits: Sequence[Split], scales: Mapping[str, Sequence[int]], unit: float = 100_000.0, jmd_n_len: int = 10, jmd_c_len: int = 10, keep: Sequence[str] = ("entry",)) -> DataFrame:
+    """``tensor_values`` of ``tensor_parts`` of ``residue_tensor``: the tensors of ``df(keep, sequence, tmd_start, tmd_stop)`` are made where the sequences are read, so that
+    no vector becomes an element of a column. Parts are ranges of positions (those outside of the sequence have no vector), and running sums are whole numbers."""
+    kinds, dims = dict(df.dtypes), len(scales)
+    labels = [f"{p.upper()}-{s.label}-{d}" for p in parts for s in splits for d in scales]
+
+    def ranges(start: np.ndarray, stop: np.ndarray, sizes: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        first, last = start - 1, np.maximum(np.minimum(stop, sizes), start - 1)
+        half = first + np.round((last - first) / 2).astype(np.int64)  # half to even
+        left, right = first - jmd_n_len, last + jmd_c_len
+        return {"tmd": (first, last), "tmd_e": (first, last), "tmd_n": (first, half), "tmd_c": (half, last), "jmd_n": (left, first), "jmd_c": (last, right), "tmd_jmd": (left, right), "jmd_n_tmd_n": (left, half), "tmd_c_jmd_c": (half, right)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, codes, at in _read(batches, "sequence"):
+            x = letter_vectors(codes, scales)
+            running = np.concatenate([np.zeros((1, dims + 1), np.int64), np.cumsum(x, axis=0)])
+            sizes, base = np.diff(at), at[:-1]
+            spans = ranges(*(rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tmd_start", "tmd_stop")), sizes)
+            sums = np.zeros((rows.num_rows, len(parts), len(splits), dims + 1), dtype=np.int64)
+            for p, part in enumerate(parts):
+                a, n = spans[part][0], spans[part][1] - spans[part][0]
+                for s, split in enumerate(splits):
+                    if split.kind == "Segment":
+                        lo, hi = (base + np.clip(a + (n / float(split.args[1]) * float(i)).astype(np.int64), 0, sizes) for i in (split.args[0] - 1, split.args[0]))
+                        sums[:, p, s] = running[hi] - running[lo]
+                        continue
+                    for k in range(rows.num_rows):
+                        where = a[k] + _positions(split, int(n[k]))
+                        sums[k, p, s] = x[base[k] + where[(where >= 0) & (where < sizes[k])].astype(np.int64)].sum(axis=0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                value = (np.floor(sums[..., :dims] / sums[..., dims:] * (1e5 / unit) + 0.5 + 1e-7) / 1e5).reshape(rows.num_rows, -1)
+            step = max(1, (1 << 16) // len(labels))
+            for lo in range(0, rows.num_rows, step):
+                mine = value[lo : lo + step]
+                row = pa.array(np.repeat(np.arange(lo, lo + len(mine)), len(labels)))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c).take(row) for c in keep), pa.array(np.tile(np.arange(len(labels), dtype=np.int32), len(mine))), pa.array(mine.reshape(-1), mask=np.isnan(mine).reshape(-1))], names=[*keep, "_n", "value"])
+
+    rows = df.select(*dict.fromkeys([*keep, "sequence", "tmd_start", "tmd_stop"])).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_n int, value double"]))
+    return rows.select(*keep, F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("_n") + 1).alias("feature"), "value")
+
+
 def combined_of(df: DataFrame, sequence: str, tensors: Sequence[Callable[[np.ndarray], np.ndarray]], keep: Sequence[str] = ("entry",)) -> DataFrame:
     """``keep, n, dims, total``: length, dimensions and sum of several tensors of one sequence side by side. Each tensor is a function of the numbers of the letters (20: another
     letter) to vectors, NaN where there are none. What belongs to one row needs no join by key: vectors are put together where the sequence is read, and only what is asked of

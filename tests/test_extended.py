@@ -140,6 +140,23 @@ def test_silhouette_hands_on_one_row_per_row_and_block(spark):
     assert C.silhouette(df.filter("id < 0"), "id", "c", "v").first().sc is None
 
 
+def test_tensors_made_where_sequences_are_read(spark, monkeypatch):
+    from seqloom.operators import numeric as N
+
+    rng = random.Random(8)
+    rows = [(i % 30, "".join(rng.choices(LETTERS + "X", k=n))) for i, n in enumerate([1, 2, 3, 5, 8, 13, 40, 41, 90, 300] * 4)]
+    df = spark.createDataFrame([(k, s, len(s) // 4 + 1, len(s) * 3 // 4) for k, s in rows], "entry long, sequence string, tmd_start int, tmd_stop int")
+    scales, parts, splits = {"D1": SCALES["SC00"], "D2": SCALES["SC01"]}, ("tmd", "tmd_jmd", "jmd_n_tmd_n", "tmd_c_jmd_c", "jmd_c"), segments(1, 4) + patterns()[:3] + periodic_patterns()[:2]
+    made = N.tensor_parts(df.withColumn("t", N.residue_tensor(F.col("sequence"), scales)), "t", parts, 2)
+    told = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+    monkeypatch.setattr(N, "_LETTERS_AT_ONCE", 70)
+    read = list(N._read(iter(df.toArrow().to_batches()), "sequence"))
+    assert len(read) > 8 and all(at[0] == 0 and at[-1] == len(codes) and (len(codes) <= 70 or part.num_rows == 1) for part, codes, at in read)
+    assert [len(x) for _, x in rows] == [n for _, _, at in read for n in np.diff(at)]
+    got = N.residue_values(df, parts, splits, scales)
+    assert told(got) == told(N.tensor_values(made, parts, splits, ("D1", "D2"))) and "transform" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_tensors_of_one_row_need_no_join(spark):
     from seqloom.operators import numeric as N
 
