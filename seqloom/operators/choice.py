@@ -152,7 +152,7 @@ def calinski_harabasz(df: DataFrame, label: str, vector: str, dims: int) -> Data
 
 
 #: Rows that a worker compares at once: its own, and others.
-_OWN, _OTHERS = 512, 1024
+_OWN, _OTHERS = 128, 1024
 
 
 def silhouette(df: DataFrame, key: str, label: str, vector: str, block: int = 1 << 18) -> DataFrame:
